@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +32,12 @@ def lower_ascii(text: Column) -> Column:
 def crc_bucket(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % n
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with ``value`` computed once a row.
+
+    A column that a lambda refers to may be inlined by the optimizer, and then is
+    computed anew for every element; a lambda's own variable is not.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import chat, html, mixing, quality, secrets
-from strideline.llm.columns import text_of
+from strideline.llm import chat, decontaminate, html, jaccard, langid, mixing, quality, secrets
+from strideline.llm.columns import crc_bucket
 from strideline.sources.tables import table
 
 
@@ -17,6 +17,13 @@ def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op2_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 3) == 1
+    model = langid.fit(docs.filter(~held_out))
+    return langid.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def op3_columns(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -76,7 +83,27 @@ def op7_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES = (op1_extract_text, op3_mix_sources, op5_find_secrets, op6_quality_rules, op7_format_chat)
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits: documents that hold a benchmark item, or one with its slots filled anew."""
+    hits = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "covered", "item_words", "refilled")
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
+
+
+_QUERIES = (
+    op1_extract_text,
+    op2_identify_language,
+    op3_mix_sources,
+    op5_find_secrets,
+    op6_quality_rules,
+    op7_format_chat,
+    op9_decontaminate,
+    op10_ngram_jaccard,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
