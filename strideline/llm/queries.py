@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import chat, decontaminate, html, jaccard, langid, mixing, quality, secrets
+from strideline.llm import chat, decontaminate, html, jaccard, katz, langid, mixing, quality, secrets
 from strideline.llm.columns import crc_bucket
 from strideline.sources.tables import table
 
@@ -32,6 +32,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_columns(table(spark, sf_dir, "documents"))
 
 
+def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 10) == 0)
+
+
 def op5_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = [r.kind for r in secrets.RULES[:3]]
@@ -98,6 +102,7 @@ _QUERIES = (
     op1_extract_text,
     op2_identify_language,
     op3_mix_sources,
+    op4_katz_backoff,
     op5_find_secrets,
     op6_quality_rules,
     op7_format_chat,
