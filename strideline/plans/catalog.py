@@ -298,14 +298,14 @@ def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
       coalesce(sum(won) OVER {_PRIOR}, 0)::DOUBLE / nullif(row_number() OVER ({_W}) - 1, 0) AS win_rate, avg(result) OVER {_PRIOR} AS mean_result,
       avg(result) OVER (PARTITION BY horse ORDER BY race_date RANGE BETWEEN INTERVAL 167 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS mean_168,
       row_number() OVER ({_JW}) - 1 AS jockey_starts, coalesce(sum(won) OVER {_JPRIOR}, 0)::BIGINT AS jockey_wins FROM f)
-    SELECT {_K}, race_date, starts, starts_at_distance, starts_with_jockey, prev_result, round(prev_speed, 6) AS prev_speed, round(mean_result_3, 6) AS mean_result_3,
+    SELECT {_K}, race_date, starts, starts_at_distance, starts_with_jockey, prev_result, prev_speed, round(mean_result_3, 6) AS mean_result_3,
       round(mean_result_6, 6) AS mean_result_6, sum_distance_4, form_diff, rest_days, round(weight_change, 6) AS weight_change, wins, round(win_rate, 6) AS win_rate,
       round(mean_result, 6) AS mean_result, round(mean_168, 6) AS mean_168, jockey_starts, jockey_wins,
       round({_pct("mean_168", "race_id, race_date")}, 6) AS mean_168_rank, round({_pct("weight", "race_id, race_date", "DESC")}, 6) AS weight_rank FROM h"""
 )
 def form_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = form.form_features(runs(spark, sf_dir))
-    rounded = ("prev_speed", "mean_result_3", "mean_result_6", "weight_change", "win_rate", "mean_result", "mean_168", "mean_168_rank", "weight_rank")
+    rounded = ("mean_result_3", "mean_result_6", "weight_change", "win_rate", "mean_result", "mean_168", "mean_168_rank", "weight_rank")
     names = [*KEY, "race_date", "starts", "starts_at_distance", "starts_with_jockey", "prev_result", "prev_speed", "mean_result_3", "mean_result_6"]
     names += ["sum_distance_4", "form_diff", "rest_days", "weight_change", "wins", "win_rate", "mean_result", "mean_168", "jockey_starts", "jockey_wins"]
     names += ["mean_168_rank", "weight_rank"]

@@ -1 +1,288 @@
 """Registered queries of preparation, models and evaluation."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strideline.operators import evaluate, models, prep, splits
+from strideline.plans.catalog import register
+from strideline.sources.scratch import Scratch
+from strideline.sources.tables import table
+
+NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_HOLES = "SELECT *, nullif(l_linenumber, 3) AS x, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_returnflag END AS s FROM lineitem"
+
+
+def _holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.withColumns({"x": F.nullif("l_linenumber", F.lit(3)), "s": F.when(F.col("l_linenumber") != 3, F.col("l_returnflag"))})
+
+
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, features, label, weight and fold, scaled on the training rows."""
+    li = table(spark, sf_dir, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("double"))
+    li = li.withColumn("fold", splits.folds("l_orderkey", 5))
+    rows = prep.chain(NUM).fit(li.filter("fold != 0")).transform(li).select(*KEY, "features", "label", "fold")
+    return models.balanced(rows, "label")
+
+
+# Preparation
+
+
+@register(
+    f"""WITH h AS ({_HOLES}) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(coalesce(x, (SELECT avg(x) FROM h)), 6) AS x_mean,
+    coalesce(s, (SELECT s FROM h WHERE s IS NOT NULL GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)) AS s_mode, (x IS NULL)::INT AS x_missing FROM h"""
+)
+def impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _holes(spark, sf_dir)
+    x = prep.fill(h, prep.fit_fill(h, ["x"]), indicator=True)
+    out = prep.fill(x, prep.fit_fill(h, ["s"], "mode"))
+    return out.select(*KEY, F.round("x", 6).alias("x_mean"), F.col("s").alias("s_mode"), F.col("x_missing").cast("int"))
+
+
+@register(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_tax - (SELECT avg(l_tax) FROM lineitem)) / (SELECT stddev_pop(l_tax) FROM lineitem), 6) AS tax,
+    round(l_quantity / (SELECT max(abs(l_quantity)) FROM lineitem), 6) AS quantity FROM lineitem"""
+)
+def scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = prep.max_abs(prep.standardise(table(spark, sf_dir, "lineitem"), ["l_tax"]), ["l_quantity"])
+    return li.select(*KEY, F.round("l_tax", 6).alias("tax"), F.round("l_quantity", 6).alias("quantity"))
+
+
+@register("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS value, 1 AS one FROM lineitem")
+def onehot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.onehot_long(table(spark, sf_dir, "lineitem"), KEY, "l_returnflag")
+
+
+@register("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dense_rank() OVER (ORDER BY l_quantity) - 1 AS code FROM lineitem")
+def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.label_encode(table(spark, sf_dir, "lineitem"), "l_quantity", "code").select(*KEY, "code")
+
+
+@register()
+def chained_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").withColumn("l_tax", F.when(F.col("l_linenumber") != 3, F.col("l_tax")))
+    return prep.iterative_fill(li.select(*KEY, *NUM), NUM, 1)
+
+
+@register()
+def polynomial_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return prep.chain(NUM, ["l_returnflag"], degree=2, components=2).fit(li).transform(li).select(*KEY, "features")
+
+
+@register()
+def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matrix(spark, sf_dir)
+    best = prep.select_best(m, "label", k=2).withColumnRenamed("chosen", "anova")
+    model = RandomForestClassifier(numTrees=10, seed=42).fit(m)
+    return prep.select_from_model(best, model, NUM, 2).select(*KEY, "anova", "chosen")
+
+
+# Models: scored hold-out rows, fold 0
+
+
+def _fit(name: str) -> None:
+    @register(name=f"fit_{name}")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = matrix(spark, sf_dir)
+        model = models.LEARNERS[name](len(NUM), 2).fit(m.filter("fold != 0"))
+        return model.transform(m.filter("fold = 0")).select(*KEY, "label", "prediction")
+
+
+for _name in models.LEARNERS:
+    _fit(_name)
+
+
+def _regress(name: str) -> None:
+    @register(name=f"fit_{name}")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        li = table(spark, sf_dir, "lineitem").withColumn("fold", splits.folds("l_orderkey", 5)).withColumn("label", F.col("l_extendedprice") / 1000)
+        v = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(li)
+        return models.REGRESSORS[name]().fit(v.filter("fold != 0")).transform(v.filter("fold = 0")).select(*KEY, "label", "prediction")
+
+
+for _name in models.REGRESSORS:
+    _regress(_name)
+
+
+@register()
+def fit_polynomial_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").withColumn("fold", splits.folds("l_orderkey", 5)).withColumn("label", F.col("l_extendedprice") / 1000)
+    v = prep.chain(["l_quantity", "l_discount", "l_tax"], degree=2).fit(li.filter("fold != 0")).transform(li)
+    return models.REGRESSORS["linear"]().fit(v.filter("fold != 0")).transform(v.filter("fold = 0")).select(*KEY, "label", "prediction")
+
+
+@register()
+def fit_ridge_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matrix(spark, sf_dir)
+    return models.ridge_classifier(m.filter("fold != 0"), m.filter("fold = 0"), "label").select(*KEY, "label", "prediction")
+
+
+@register()
+def fit_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("double"))
+    cols = [f"e{i}" for i in range(16)]
+    v = VectorAssembler(inputCols=cols, outputCol="features").transform(
+        e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)])
+    )
+    v = models.balanced(v, "label").withColumn("fold", splits.folds("vec_id", 5))
+    return models.LEARNERS["logistic_l2"](16, 10).fit(v.filter("fold != 0")).transform(v.filter("fold = 0")).select("vec_id", "label", "prediction")
+
+
+@register()
+def self_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matrix(spark, sf_dir)
+    model, _ = models.self_training(m.withColumn("label", F.when(F.col("fold") < 3, F.col("label"))), "label", 2, 0.52)
+    return model.transform(m.filter("fold = 0")).select(*KEY, "label", "prediction")
+
+
+@register()
+def conditional_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = prep.standardise(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"]).withColumn("won", (F.col("l_linenumber") == 1).cast("double"))
+    beta = models.conditional_logit(li, "l_orderkey", "won", ["l_quantity", "l_tax"])
+    return spark.createDataFrame([("l_quantity", beta[0]), ("l_tax", beta[1])], "feature string, beta double")
+
+
+@register(
+    """WITH p AS (SELECT a.vec_id AS asked, b.vec_id AS other, b.label AS l,
+      round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: ((x[1] - x[2])::DOUBLE) * ((x[1] - x[2])::DOUBLE))), 9) AS gap
+      FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY gap, other) AS r FROM p),
+    v AS (SELECT asked, l, count(*) AS n FROM r WHERE r <= 15 GROUP BY 1, 2),
+    b AS (SELECT asked, l, row_number() OVER (PARTITION BY asked ORDER BY n DESC, l) AS k FROM v)
+    SELECT b.asked, b.l AS vote, m.mean_label FROM b JOIN (SELECT asked, (sum(l * n) / sum(n))::DOUBLE AS mean_label FROM v GROUP BY 1) m ON b.asked = m.asked WHERE k = 1"""
+)
+def knn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return models.nearest(e, e.filter(F.col("vec_id") % 20 == 0), "vec_id", "embedding", "label")
+
+
+# Ensembles
+
+
+@register()
+def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "stack")
+    m = scratch.save(matrix(spark, sf_dir), "matrix")
+    parts = []
+    for name in ("logistic_l2", "linear_svm", "tree"):
+        oof = evaluate.out_of_fold(m, models.LEARNERS[name](len(NUM), 2), "fold", 5)
+        parts.append(oof.select(*KEY, F.col("score").alias(name), *(["label", "fold"] if name == "logistic_l2" else [])).dropDuplicates(KEY))
+    rows = reduce(lambda a, b: a.join(b, KEY), parts)
+    v = VectorAssembler(inputCols=["logistic_l2", "linear_svm", "tree"], outputCol="features").transform(rows)
+    meta = RandomForestClassifier(numTrees=20, seed=42).fit(v.filter("fold != 0"))
+    return meta.transform(v.filter("fold = 0")).select(*KEY, "label", "prediction")
+
+
+@register()
+def bagging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matrix(spark, sf_dir)
+    return models.bagging(m.filter("fold != 0"), m.filter("fold = 0"), KEY, "label", 3).select(*KEY, "label", "prediction")
+
+
+@register()
+def adaboost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matrix(spark, sf_dir)
+    return models.adaboost(m.filter("fold != 0"), m.filter("fold = 0"), "label", 3).select(*KEY, "label", "prediction")
+
+
+@register()
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oof = evaluate.out_of_fold(matrix(spark, sf_dir), models.LEARNERS["linear_svm"](len(NUM), 2), "fold", 3)
+    return models.calibrate(oof, "label", "score").select(*KEY, "label", "score", "calibrated")
+
+
+# Selection and evaluation, on a prediction that SQL can repeat
+
+_TOLD = """SELECT l_returnflag AS label, CASE WHEN l_linestatus = 'O' THEN 'N' WHEN l_linenumber > 3 THEN 'R' ELSE 'A' END AS told FROM lineitem"""
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.when(F.col("l_linestatus") == "O", "N").when(F.col("l_linenumber") > 3, "R").otherwise("A")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), told.alias("told"))
+
+
+@register(f"SELECT label, told AS prediction, count(*) AS n FROM ({_TOLD}) GROUP BY 1, 2")
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(_told(spark, sf_dir), "label", "told")
+
+
+_REPORT = f"""SELECT c AS cls, p AS precision, r AS recall, support, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM (
+    SELECT c, coalesce(tp::DOUBLE / nullif(t, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(support, 0), 0) AS r, support FROM (
+    SELECT c, count(*) FILTER (label = c) AS support, count(*) FILTER (told = c) AS t, count(*) FILTER (label = c AND told = c) AS tp
+    FROM ({_TOLD}), (SELECT DISTINCT l_returnflag AS c FROM lineitem) GROUP BY c))"""
+
+
+@register(f"SELECT cls, round(precision, 9) AS precision, round(recall, 9) AS recall, support, round(f1, 9) AS f1 FROM ({_REPORT})")
+def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = evaluate.class_report(_told(spark, sf_dir), "label", "told")
+    return r.select("cls", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), "support", F.round("f1", 9).alias("f1"))
+
+
+@register(
+    "SELECT "
+    + ", ".join(f"round(avg({m}), 9) AS macro_{m}" for m in ("precision", "recall", "f1"))
+    + ", "
+    + ", ".join(f"round(sum({m} * support) / sum(support), 9) AS weighted_{m}" for m in ("precision", "recall", "f1"))
+    + f", round(sum(recall * support) / sum(support), 9) AS accuracy FROM ({_REPORT})"
+)
+def named_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = evaluate.summary(_told(spark, sf_dir), "label", "told")
+    return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
+
+
+@register(
+    "SELECT round(sqrt(avg((l_tax - l_discount) * (l_tax - l_discount))), 9) AS rmse, round(avg(abs(l_tax - l_discount)), 9) AS mae, round(sqrt(avg((l_tax - l_discount) * (l_tax - l_discount))), 9) AS rmse_of_score FROM lineitem"
+)
+def rmse_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = evaluate.regression_errors(table(spark, sf_dir, "lineitem"), "l_discount", "l_tax")
+    return e.select(*[F.round(c, 9).alias(c) for c in e.columns])
+
+
+_MEMBERS = ("l_linenumber % 2", "l_linenumber % 3", "l_partkey % 2")
+
+
+@register(
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (SELECT m FROM (VALUES ({_MEMBERS[0]}), ({_MEMBERS[1]}), ({_MEMBERS[2]})) t(m) GROUP BY m ORDER BY count(*) DESC, m LIMIT 1)::BIGINT AS vote,
+    round(({_MEMBERS[0]} + {_MEMBERS[1]} + {_MEMBERS[2]}) / 3.0::DOUBLE, 9) AS mean FROM lineitem"""
+)
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").withColumns({f"m{i}": F.expr(m).cast("bigint") for i, m in enumerate(_MEMBERS)})
+    names = [f"m{i}" for i in range(3)]
+    out = evaluate.mean_vote(evaluate.hard_vote(li, names, "vote"), names, "mean")
+    return out.select(*KEY, F.col("vote").cast("bigint"), F.round("mean", 9).alias("mean"))
+
+
+@register()
+def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oof = evaluate.out_of_fold(matrix(spark, sf_dir), models.LEARNERS["logistic_l2"](len(NUM), 2), "fold", 5)
+    return evaluate.fold_scores(oof, "fold", "label")
+
+
+@register()
+def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = {"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}
+    return evaluate.search(matrix(spark, sf_dir), lambda **p: LogisticRegression(maxIter=10, **p), evaluate.draw(grid, 3), "fold", 3, "label")
+
+
+@register()
+def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = [{"regParam": r} for r in (0.01, 0.1)]
+    return evaluate.search(matrix(spark, sf_dir), lambda **p: LogisticRegression(maxIter=10, **p), grid, "fold", 3, "label")
+
+
+@register()
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matrix(spark, sf_dir)
+    rows = []
+    for name in ("logistic_l2", "tree", "forest"):
+        told = models.LEARNERS[name](len(NUM), 2).fit(m.filter("fold != 0")).transform(m.filter("fold = 0"))
+        rows.append(evaluate.summary(told, "label", "prediction").withColumn("model", F.lit(name)))
+    return reduce(DataFrame.unionByName, rows)
