@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import chat, decontaminate, html, jaccard, katz, langid, mixing, quality, secrets
+from strideline.llm import chat, decontaminate, html, jaccard, katz, langid, mixing, quality, secrets, suffixes
 from strideline.llm.columns import crc_bucket
 from strideline.sources.tables import table
 
@@ -87,6 +87,11 @@ def op7_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits: documents that hold a benchmark item, or one with its slots filled anew."""
     hits = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -106,6 +111,7 @@ _QUERIES = (
     op5_find_secrets,
     op6_quality_rules,
     op7_format_chat,
+    op8_suffix_dedup,
     op9_decontaminate,
     op10_ngram_jaccard,
 )
