@@ -195,7 +195,7 @@ def adaboost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oof = evaluate.out_of_fold(matrix(spark, sf_dir), models.LEARNERS["linear_svm"](len(NUM), 2), "fold", 3)
+    oof = evaluate.out_of_fold(matrix(spark, sf_dir), models.LEARNERS["linear_svm"](len(NUM), 2), "fold", 5)
     return models.calibrate(oof, "label", "score").select(*KEY, "label", "score", "calibrated")
 
 
@@ -269,13 +269,13 @@ def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = {"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}
-    return evaluate.search(matrix(spark, sf_dir), lambda **p: LogisticRegression(maxIter=10, **p), evaluate.draw(grid, 3), "fold", 3, "label")
+    return evaluate.search(matrix(spark, sf_dir), lambda **p: LogisticRegression(maxIter=10, **p), evaluate.draw(grid, 3), "fold", 5, "label")
 
 
 @register()
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = [{"regParam": r} for r in (0.01, 0.1)]
-    return evaluate.search(matrix(spark, sf_dir), lambda **p: LogisticRegression(maxIter=10, **p), grid, "fold", 3, "label")
+    return evaluate.search(matrix(spark, sf_dir), lambda **p: LogisticRegression(maxIter=10, **p), grid, "fold", 5, "label")
 
 
 @register()
