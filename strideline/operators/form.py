@@ -122,12 +122,12 @@ def pct_rank_in(c: str, keys: str | list[str], descending: bool = False) -> Colu
 def pct_rank_global(df: DataFrame, c: str, out: str, descending: bool = False) -> DataFrame:
     """The same over the whole table. Only distinct values are put in order, in ranges; then they are joined back."""
     scratch = Scratch(df.sparkSession, "rank")
-    values = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("ties"))
-    order = F.col("v").desc() if descending else F.col("v").asc()
+    values = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("ties"))
+    order = F.col("__v").desc() if descending else F.col("__v").asc()
     placed = scratch.save(global_running(values, [order], scratch, "values", total="ties"), "placed")
     n = placed.agg(F.sum("ties")).first()[0] or 1
-    share = placed.select("v", ((F.col("before") + 1 + (F.col("ties") - 1) / 2) / F.lit(n)).alias(out))
-    return df.join(share, F.col(c) == F.col("v"), "left").drop("v")
+    share = placed.select("__v", ((F.col("before") + 1 + (F.col("ties") - 1) / 2) / F.lit(n)).alias(out))
+    return df.join(share, F.col(c) == F.col("__v"), "left").drop("__v")
 
 
 def form_features(runs: DataFrame) -> DataFrame:
