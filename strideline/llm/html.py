@@ -177,7 +177,6 @@ def main_text(page: str | None, window: int = 3, min_block: int = 80) -> str:
     return "\n".join(kept)
 
 
-@F.pandas_udf(T.StringType())
 def _main_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in pages:
         yield batch.map(main_text, na_action=None)
@@ -185,6 +184,7 @@ def _main_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """``row``: the input's columns; ``text``: the page's main text, never null."""
+    main_text_of = F.pandas_udf(_main_text, T.StringType())
     return pages.select(F.struct(*pages.columns).alias("row"), F.col(html).cast("string").alias("html")).select(
-        "row", F.coalesce(_main_text("html"), F.lit("")).alias("text")
+        "row", F.coalesce(main_text_of("html"), F.lit("")).alias("text")
     )

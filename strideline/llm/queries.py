@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import chat, decontaminate, html, jaccard, katz, langid, mixing, quality, secrets, suffixes
+from strideline.llm import chat, decontaminate, html, jaccard, katz, langid, mixing, quality, secrets, suffixes, twins
 from strideline.llm.columns import crc_bucket
 from strideline.sources.tables import table
 
@@ -122,4 +122,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return twins.oracle_sql()

@@ -203,7 +203,6 @@ _SPANS = T.ArrayType(
 )
 
 
-@F.pandas_udf(_SPANS)
 def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         out: list[list[dict]] = []
@@ -217,11 +216,10 @@ def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``row``: the input's columns; ``text``; ``spans``: array of (start, kind, end)."""
     return docs.select(F.struct(*docs.columns).alias("row"), text_of(text).alias("text")).withColumn(
-        "spans", _scan("text")
+        "spans", F.pandas_udf(_scan, _SPANS)("text")
     )
 
 
-@F.pandas_udf(T.StringType())
 def _masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
     def one(text: str, found) -> str:
         out, at = [], 0
@@ -244,7 +242,7 @@ def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     found = find_secrets(docs, text)
     new = F.when(F.col(f"row.{text}").isNull(), F.lit(None).cast("string")).when(
         F.size("spans") == 0, F.col("text")
-    ).otherwise(_masked("text", "spans"))
+    ).otherwise(F.pandas_udf(_masked, T.StringType())("text", "spans"))
     out = found.select("row.*", new.alias("__text"))
     cols = {text: F.col("__text")}
     if "n_chars" in docs.columns:

@@ -239,7 +239,6 @@ def cut(raw: bytes, spans) -> tuple[int, int, int, bytes]:
     return len(raw), removed, n, b"".join([*out, raw[at:]])
 
 
-@F.pandas_udf(_CUT)
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows = [
         cut(t.encode("utf-8", "surrogatepass"), [] if s is None else [(x["a"], x["b"]) for x in s]) for t, s in zip(texts, spans, strict=True)
@@ -253,4 +252,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     spans = scratch.save(repeated_spans(docs, width, key, text, scratch).withColumnsRenamed({"ord": "so", "th": "sh"}), "spans")
     scratch.drop("regions", "unique", "order", "owned", "suffixes", "own", "merge1", "merge2", "array", "runs")
     rows = _keyed(docs, key, text).join(spans, (F.col("ord") == F.col("so")) & (F.col("th") == F.col("sh")), "left")
-    return rows.select("row", _cut("t", "spans").alias("x")).select("row", "x.*")
+    return rows.select("row", F.pandas_udf(_cut, _CUT)("t", "spans").alias("x")).select("row", "x.*")
