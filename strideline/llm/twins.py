@@ -43,6 +43,45 @@ SELECT d.doc_id, coalesce(n.k, 0)::BIGINT AS n_shingles, c.component_id FROM doc
 JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
 """
 
+_CLASSES = ("blank", "upper", "letter", "digit", "mark", "symbol", "other")
+_SUM_OWN, _SUM_REF = (" + ".join(f"{a}.{c}" for c in _CLASSES) for a in ("s", "r"))
+
+
+def _part(x: str, y: str) -> str:
+    return f"(CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END)"
+
+
+_CLASS_TERMS = " + ".join(
+    _part(x, y) + " + " + _part(y, x) for x, y in ((f"(s.{c}::DOUBLE / ({_SUM_OWN}))", f"(r.{c}::DOUBLE / ({_SUM_REF}))") for c in _CLASSES)
+)
+
+QUALITY = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+a AS (SELECT *, {_WORDS.format("t")} AS ws, regexp_replace(t, '\p{{L}}+', '', 'g') AS rest,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+b AS (SELECT *, length(rest) - length(translate(rest, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS blank,
+      len(regexp_extract_all(t, '\p{{Lu}}')) AS upper, length(rest) - length(translate(rest, '0123456789', '')) AS digit,
+      length(rest) - length(translate(rest, '.,;:!?''"()-', '')) AS mark, length(rest) - length(translate(rest, '#*$%&|<>', '')) AS symbol FROM a),
+s AS (SELECT *, length(t) - length(rest) - upper AS letter, length(rest) - blank - digit - mark - symbol AS other, len(ws) AS n FROM b),
+r0 AS (SELECT lang, sum(n)::DOUBLE AS words, {", ".join(f"sum({c})::DOUBLE AS {c}" for c in _CLASSES)} FROM s GROUP BY lang HAVING sum(n) >= 1000),
+sw AS (SELECT lang, word, count(*) AS k FROM (SELECT lang, unnest({_WORDS.format("lower(t)")}) AS word FROM d) WHERE length(word) <= 5 GROUP BY 1, 2),
+top AS (SELECT lang, word, k FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k DESC, word) AS i FROM sw) WHERE i <= 30),
+r AS (SELECT * FROM r0),
+h AS (SELECT doc_id, word, count(*) AS k FROM (SELECT s.doc_id, s.lang, lower(w) AS word FROM s, unnest(ws) u(w) WHERE n >= 150 AND length(w) <= 5) x GROUP BY 1, 2),
+q AS (SELECT s.doc_id, coalesce(h.k, 0)::DOUBLE / s.n AS p, top.k::DOUBLE / r.words AS ref FROM s JOIN r ON s.lang IS NOT DISTINCT FROM r.lang
+      JOIN top ON top.lang IS NOT DISTINCT FROM s.lang LEFT JOIN h ON h.doc_id = s.doc_id AND h.word = top.word WHERE s.n >= 150),
+q2 AS (SELECT * FROM q UNION ALL SELECT doc_id, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(ref)) FROM q GROUP BY doc_id),
+wd AS (SELECT doc_id, sqrt(greatest(0, sum({_part("p", "ref")} + {_part("ref", "p")}) / 2)) AS dist FROM q2 GROUP BY doc_id),
+cd AS (SELECT s.doc_id, sqrt(greatest(0, ({_CLASS_TERMS}) / 2)) AS dist FROM s JOIN r ON s.lang IS NOT DISTINCT FROM r.lang WHERE length(t) >= 200),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS w3 FROM (SELECT doc_id, ws, unnest(range(1, n - 1)) AS i FROM s)),
+g2 AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w3) AS k FROM g) WHERE k > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS k FROM g2, (VALUES (0), (1), (2)) v(j) GROUP BY doc_id),
+z AS (SELECT s.*, coalesce(rep.k, 0) AS rw, s.n < 50 OR 100 * coalesce(rep.k, 0) > 50 * s.n AS failed FROM s LEFT JOIN rep ON rep.doc_id = s.doc_id)
+SELECT z.doc_id, n::BIGINT AS n_words, (length(t) - blank)::BIGINT AS word_chars, symbol::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  rw::BIGINT AS n_repeat_words, failed AS base_failed, NOT failed AND coalesce(cd.dist, 0) <= 0.3 AND coalesce(wd.dist, 0) <= 0.3 AS kept
+FROM z LEFT JOIN cd ON cd.doc_id = z.doc_id LEFT JOIN wd ON wd.doc_id = z.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": MIX, "op7_format_chat": CHAT, "op10_ngram_jaccard": JACCARD}
+    return {"op3_mix_sources": MIX, "op6_quality_rules": QUALITY, "op7_format_chat": CHAT, "op10_ngram_jaccard": JACCARD}
