@@ -6,6 +6,8 @@ costs one task and not the lineage before the table.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not given:
         given = tempfile.mkdtemp(prefix="strideline-")
+        atexit.register(shutil.rmtree, given, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
 
