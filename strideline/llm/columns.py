@@ -20,8 +20,7 @@ def text_of(name: str) -> Column:
 
 def words_of(text: Column) -> Column:
     """Array of the words of a non-null text; empty for a blank text."""
-    trimmed = F.btrim(text, F.lit(BLANKS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def lower_ascii(text: Column) -> Column:
