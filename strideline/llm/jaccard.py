@@ -9,11 +9,13 @@ element among the first n - ceil(t n) + 1 of each (the prefix). Steps:
 2. Documents with equal sets are one unit, units with the same prefix and size one
    group. Groups that share a prefix element are candidates.
 3. In the bucket of a prefix element every group is first paired with the bucket's
-   least group only; the pairs are expanded to units and verified. Most of a large
-   bucket is then connected.
-4. Pairs of a bucket whose units are still in different components, of fitting sizes
-   and not ruled out by the triangle inequality over the bucket's least unit, are
-   verified too. After that every link between different texts is either found or
+   centre only, the group in which the element comes first, so the one with the
+   fewest rare shingles of its own; the pairs are expanded to units and verified.
+   Most of a large bucket is then connected.
+4. Pairs of a bucket whose units are still in different components are verified too,
+   unless their sizes, the places of the element (what is left after it bounds the
+   overlap; exact at the first common element) or the triangle inequality over the
+   bucket's centre rule them out. After that every link between different texts is either found or
    lies inside a component, so components are exact with few pairs.
 
 Defined results: a text with fewer than five words has its whole sequence as its one
@@ -144,7 +146,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(packed, pa.binary())], names=["unit", "s"])
 
     rows = docs.select(F.col(key).alias("__key"), text_of(text).alias("__text")).join(wanted, F.col("__key").eqNullSafe(F.col("doc")))
-    return rows.select("unit", "__text").mapInArrow(work, "unit bigint, s binary").groupBy("unit").agg(F.first("s").alias("s"))
+    return rows.select("unit", "__text").mapInArrow(work, "unit bigint, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,6 +174,13 @@ def _fits(m: Column, n: Column, percent: int) -> Column:
     return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
 
+def _meets(p: Column, q: Column, percent: int) -> Column:
+    """Sizes fit, and what is left from the element on suffices if it is the first common one."""
+    m, n = (x.bitwiseAND(F.lit(0xFFFFFFFF)) for x in (p, q))
+    left = F.least(m - F.shiftright(p, 32), n - F.shiftright(q, 32))
+    return _fits(m, n, percent) & ((100 + percent) * left >= percent * (m + n))
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, keep: dict[str, Column] | None = None
 ) -> DataFrame:
@@ -184,36 +193,40 @@ def near_duplicates(
     units = scratch.save(
         rows.filter("unit is not null").groupBy("unit").agg(F.min("doc").alias("doc"), F.first("grp").alias("grp"), F.first("n").alias("n")), "units"
     )
-    # Prefix elements that at least two groups share.
-    entries = rows.filter("prefix is not null").select("grp", F.explode("prefix").alias("element"))
+    # Prefix elements that at least two groups share. ``at`` and the size are one number.
+    entries = rows.filter("prefix is not null").select("grp", "n", F.posexplode("prefix").alias("at", "element"))
+    entries = entries.select("element", "grp", (F.shiftleft(F.col("at").cast("bigint"), 32) + F.col("n")).alias("place"))
+    keys = entries.groupBy("element").agg(
+        F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.min(F.struct("place", "grp")).alias("first")
+    )
     keys = scratch.save(
-        entries.groupBy("element").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).filter("least != most").select("element", "least"), "keys"
+        keys.filter("g0 != g1").select(F.col("element").alias("of"), F.col("first.grp").alias("centre"), F.col("first.place").alias("centre_place")), "keys"
     )
     # Units by group: the least speaks for the group. A group of several units is a bucket too.
-    speakers = units.groupBy("grp").agg(F.min("unit").alias("speaker"), F.max("unit").alias("last"))
+    speakers = units.groupBy("grp").agg(F.min("unit").alias("speaker"), F.max("unit").alias("last"), F.first("n").alias("gn"))
     speakers = scratch.save(speakers, "speakers")
-    shared = entries.join(keys.withColumnRenamed("element", "of"), F.col("element") == F.col("of")).select("element", "grp", "least").distinct()
-    own = speakers.filter("speaker != last").select(F.xxhash64("grp", F.lit("group")).alias("element"), "grp", F.col("grp").alias("least"))
+    shared = entries.join(keys, F.col("element") == F.col("of")).select("element", "grp", "place", "centre", "centre_place").distinct()
+    own = speakers.filter("speaker != last").select(
+        F.xxhash64("grp", F.lit("group")).alias("element"), "grp", F.col("gn").alias("place"), F.col("grp").alias("centre"), F.col("gn").alias("centre_place")
+    )
     shared = scratch.save(shared.union(own), "shared")
-    stars = shared.filter("grp != least").select("grp", "least").distinct()
+    slim = scratch.save(rows.drop("prefix", "grp"), "slim")
+    scratch.drop("rows", "keys")
+    stars = shared.filter("grp != centre").filter(_meets(F.col("place"), F.col("centre_place"), percent)).select("grp", "centre").distinct()
     s1, s2 = (speakers.select(F.col("grp").alias(f"{x}g"), F.col("speaker").alias(f"{x}u")) for x in ("p", "q"))
-    between = stars.join(s1, F.col("grp") == F.col("pg")).join(s2, F.col("least") == F.col("qg")).select(F.col("pu").alias("u"), F.col("qu").alias("v"))
+    between = stars.join(s1, F.col("grp") == F.col("pg")).join(s2, F.col("centre") == F.col("qg")).select(F.col("pu").alias("u"), F.col("qu").alias("v"))
     inside = units.join(speakers.filter("speaker != last").withColumnRenamed("grp", "sg"), F.col("grp") == F.col("sg")).filter("unit != speaker")
-    n1, n2 = (units.select(F.col("unit").alias(f"{x}unit"), F.col("n").alias(f"{x}n")) for x in ("p", "q"))
     first_pairs = scratch.save(
         between.union(inside.select(F.col("unit").alias("u"), F.col("speaker").alias("v")))
         .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
         .distinct(),
         "first-pairs",
     )
-    fitting = (
-        first_pairs.join(n1, F.col("a") == F.col("punit")).join(n2, F.col("b") == F.col("qunit")).filter(_fits(F.col("pn"), F.col("qn"), percent)).select("a", "b")
-    )
     # Sets of the units that may be compared, once each.
     groups = shared.select("grp").distinct()
     wanted = units.join(groups.withColumnRenamed("grp", "wg"), F.col("grp") == F.col("wg"), "left_semi").select("unit", "doc")
     sets = scratch.save(_sets(docs, wanted, key, text, width), "sets")
-    scores = scratch.save(_verified(fitting, sets, percent), "scores")
+    scores = scratch.save(_verified(first_pairs, sets, percent), "scores")
     links = scores.filter("linked").select("a", "b")
     found = components(links, scratch, "stars")
 
@@ -222,16 +235,16 @@ def near_duplicates(
     far = far.union(far.select("b", "a", "d")).select(F.col("a").alias("du"), F.col("b").alias("dv"), "d")
     members = (
         shared.join(units.select(F.col("grp").alias("ug"), "unit", "n"), F.col("grp") == F.col("ug"))
-        .join(s2, F.col("least") == F.col("qg"))
+        .join(s2, F.col("centre") == F.col("qg"))
         .join(found, F.col("unit") == F.col("node"), "left")
         .join(far, (F.col("unit") == F.col("du")) & (F.col("qu") == F.col("dv")), "left")
-        .select("element", "unit", "n", F.coalesce("component", "unit").alias("c"), F.when(F.col("unit") == F.col("qu"), 0.0).otherwise(F.col("d")).alias("d"))
+        .select("element", "unit", "place", F.coalesce("component", "unit").alias("c"), F.when(F.col("unit") == F.col("qu"), 0.0).otherwise(F.col("d")).alias("d"))
     )
     open_keys = members.groupBy("element").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select(F.col("element").alias("oe"))
-    members = scratch.save(members.join(open_keys, F.col("element") == F.col("oe"), "left_semi"), "members")
+    members = scratch.save(members.distinct().join(open_keys, F.col("element") == F.col("oe"), "left_semi"), "members")
     main = members.groupBy("element", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("element").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
     side = members.join(main.withColumnRenamed("element", "me"), F.col("element") == F.col("me"))
-    left = side.filter("c != main").select(*[F.col(x).alias(f"l{x}") for x in ("element", "unit", "n", "c", "d", "main")])
+    left = side.filter("c != main").select(*[F.col(x).alias(f"l{x}") for x in ("element", "unit", "place", "c", "d", "main")])
     slack = 1 - percent / 100 + 1e-9
     # Outside the main component each pair is met from both sides, so one side is enough there.
     cross = left.join(
@@ -239,7 +252,7 @@ def near_duplicates(
         (F.col("lelement") == F.col("element"))
         & (F.col("lc") != F.col("c"))
         & ((F.col("c") == F.col("lmain")) | (F.col("lunit") < F.col("unit")))
-        & _fits(F.col("ln"), F.col("n"), percent)
+        & _meets(F.col("lplace"), F.col("place"), percent)
         & (F.abs(F.coalesce(F.col("ld") - F.col("d"), F.lit(0.0))) <= slack),
     )
     cross = cross.select(F.least("lunit", "unit").alias("a"), F.greatest("lunit", "unit").alias("b")).distinct()
@@ -253,8 +266,8 @@ def near_duplicates(
     by_unit = scratch.save(
         least.join(smallest, F.col("c") == F.col("sc")).select(F.col("unit").alias("of"), "component_id"), "by-unit"
     )
-    scratch.drop("sets", "members", "shared", "keys", "scores")
-    return rows.select(*names, "doc", "n", "unit").join(by_unit, F.col("unit") == F.col("of"), "left").select(
+    scratch.drop("sets", "members", "shared", "scores")
+    return slim.select(*names, "doc", "n", "unit").join(by_unit, F.col("unit") == F.col("of"), "left").select(
         *names, "doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")
     )
 
