@@ -47,17 +47,14 @@ class Decontamination:
 def _tokens(text: Column) -> tuple[Column, Column]:
     """Template words and plain words of a text, one for one."""
     # A capital after a blank and no sentence end marks a name.
-    marked = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;][ \t])(?=\p{Lu}\p{L})", "\u0002")
+    marked = F.regexp_replace(text, r"([\p{L}\p{N},;][ \t])(?=\p{Lu}\p{L})", "$1\u0002")
     bare = F.btrim(F.regexp_replace(F.regexp_replace(marked, r"[^\p{L}\p{M}\p{N}\s\u0002]+", ""), r"[\s\u0002]*\s[\s]*", " "))
     # A number keeps one place, whatever its digits; a unit is named by the number before it.
     template = F.lower(F.regexp_replace(bare, r"\u0002\S+", "<name>"))
-    template = F.regexp_replace(template, r"(?<!\S)\p{N}\S*", "<num>")
-    template = F.regexp_replace(template, r"(?<=<num> )(?:" + "|".join(UNITS) + r")(?!\S)", "<unit>")
-    empty = F.array().cast("array<string>")
-    return (
-        F.when(bare == "", empty).otherwise(F.split(template, " ")),
-        F.when(bare == "", empty).otherwise(F.split(F.lower(F.replace(bare, F.lit("\u0002"), F.lit(""))), " ")),
-    )
+    template = F.regexp_replace(template, r"(^| )\p{N}\S*", "$1<num>")
+    template = F.regexp_replace(template, r"<num> (?:" + "|".join(UNITS) + r")(?!\S)", "<num> <unit>")
+    # A text without words is one empty word, which is shorter than any window.
+    return F.split(template, " "), F.split(F.lower(F.replace(bare, F.lit("\u0002"), F.lit(""))), " ")
 
 
 def _windows(words: Column, width: Column | int) -> Column:
@@ -83,11 +80,15 @@ def find_contamination(
     scratch = Scratch(docs.sparkSession, "decontaminate")
     template, plain = _tokens(F.col("t"))
     items = benchmark.select(F.col(item).alias("item"), text_of(item_text).alias("t")).select(
-        "item", template.alias("it"), plain.alias("ip")
+        "item", template.alias("it"), plain.alias("ip"), F.btrim("t").rlike(r"^\p{Lu}\p{L}").alias("capital")
     )
     items = items.withColumn("w", F.least(F.lit(cfg.width), F.size("it"))).filter(F.col("w") >= cfg.least)
+    # Inside a document's sentence the capital that begins an item reads as a name: its first window has that form too.
+    grams = items.select("item", "it", "ip", "w", F.explode(let(F.col("it"), lambda x: _windows(x, F.col("w")))).alias("g"))
+    named = items.filter("capital").withColumn("it", F.concat(F.array(F.lit("<name>")), F.slice("it", 2, F.size("it") - 1)))
+    named = named.select("item", "it", "ip", "w", F.get(let(F.slice("it", 1, F.col("w")), lambda x: _windows(x, F.col("w"))), F.lit(0)).alias("g"))
     grams = (
-        items.select("item", "it", "ip", "w", F.explode(let(F.col("it"), lambda x: _windows(x, F.col("w")))).alias("g"))
+        grams.unionByName(named)
         .withColumn("literal", F.size(F.filter(F.slice("it", F.col("g.at") + 1, F.col("w")), lambda x: ~x.startswith("<"))))
         .filter(2 * F.col("literal") >= F.col("w"))
         .select(
