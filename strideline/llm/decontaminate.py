@@ -10,11 +10,15 @@ values meet one. Windows that are matched and agree cover item words; a document
 contaminated by an item when they cover at least ``min_percent`` of its words. So
 copies are found, and so are questions with other numbers, names or units.
 
-Items shorter than a window have windows of their own length, down to ``least``
-words; shorter ones are not looked for.
-
-Defined results: null text is empty and matches nothing; a window of fewer than half
-literal words is not used; repeated rows are found alike; an empty table of either
+The plain lower-cased words of the windows are hash-joined as well, so that a verbatim
+copy is found whatever its case and however many numbers or names it holds. Items
+shorter than a window have windows of their own length; those shorter than ``least``
+words are looked for by their plain words only.
+
+Defined results: null text is empty and matches nothing; slots are filled anew only in
+windows of which half the words at least are literal; an item of at most ``alone`` words
+is found only as a whole sentence or line, for inside running text it is a common
+phrase; repeated rows are found alike; an empty table of either
 kind gives an empty result. A result row is (doc, item); extra columns take no part.
 """
 
@@ -42,6 +46,7 @@ class Decontamination:
     width: int = 8
     least: int = 5
     min_percent: int = 50
+    alone: int = 2
 
 
 def _tokens(text: Column) -> tuple[Column, Column]:
@@ -57,14 +62,38 @@ def _tokens(text: Column) -> tuple[Column, Column]:
     return F.split(template, " "), F.split(F.lower(F.replace(bare, F.lit("\u0002"), F.lit(""))), " ")
 
 
-def _windows(words: Column, width: Column | int) -> Column:
-    """Array of (hash, place) of the windows of ``width`` words, with enough literal words."""
-    w = F.lit(width) if isinstance(width, int) else width
-    made = F.transform(
-        F.sequence(F.lit(0), F.size(words) - w),
-        lambda i: F.struct(F.xxhash64(w, F.slice(words, i + 1, w)).alias("h"), i.alias("at")),
-    )
-    return F.when(F.size(words) >= w, made).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
+def _windows(words: Column, widths: list[int]) -> Column:
+    """Array of (h, at, w): hash, place and width of all windows of ``widths`` words.
+
+    Hashes of windows double in width, so that a word is read once; a width between
+    two powers is two windows that overlap.
+    """
+
+    def joined(h: Column, step: int, made) -> Column:
+        return F.when(F.size(h) > step, F.transform(F.sequence(F.lit(0), F.size(h) - 1 - step), made))
+
+    def of_width(h: Column, p: int, w: int) -> Column:
+        made = joined(
+            h, w - p, lambda i: F.struct(F.xxhash64(F.lit(w), F.get(h, i), F.get(h, i + w - p)).alias("h"), i.alias("at"), F.lit(w).alias("w"))
+        )
+        return F.coalesce(made, F.array().cast("array<struct<h:bigint,at:int,w:int>>"))
+
+    def level(h: Column, p: int) -> Column:
+        found = [of_width(h, p, w) for w in widths if p <= w < 2 * p]
+        if max(widths) >= 2 * p:
+            double = F.coalesce(joined(h, p, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + p))), F.array().cast("array<bigint>"))
+            found.append(let(double, lambda g: level(g, 2 * p)))
+        return F.concat(F.array().cast("array<struct<h:bigint,at:int,w:int>>"), *found)
+
+    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: level(h, 1))
+
+
+def _ends(text: Column) -> Column:
+    """Of each plain word, whether a sentence or line ends with it."""
+    ended = F.regexp_replace(F.translate(text, "\u0003", ""), r"[.!?:;]+[\"'’”)\]]*(?=\s|\z)|[\r\n]+", "\u0003 ")
+    bare = F.regexp_replace(ended, r"[^\p{L}\p{M}\p{N}\s\u0003]+", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"[\s\u0003]*\u0003[\s\u0003]*", "\u0003 "), r"\A[\s\u0003]+|\s+\z", "")
+    return F.transform(F.split(F.regexp_replace(bare, r"\s+", " "), " "), lambda x: x.endswith("\u0003"))
 
 
 def find_contamination(
@@ -82,44 +111,60 @@ def find_contamination(
     items = benchmark.select(F.col(item).alias("item"), text_of(item_text).alias("t")).select(
         "item", template.alias("it"), plain.alias("ip"), F.btrim("t").rlike(r"^\p{Lu}\p{L}").alias("capital")
     )
-    items = items.withColumn("w", F.least(F.lit(cfg.width), F.size("it"))).filter(F.col("w") >= cfg.least)
-    # Inside a document's sentence the capital that begins an item reads as a name: its first window has that form too.
-    grams = items.select("item", "it", "ip", "w", F.explode(let(F.col("it"), lambda x: _windows(x, F.col("w")))).alias("g"))
-    named = items.filter("capital").withColumn("it", F.concat(F.array(F.lit("<name>")), F.slice("it", 2, F.size("it") - 1)))
-    named = named.select("item", "it", "ip", "w", F.get(let(F.slice("it", 1, F.col("w")), lambda x: _windows(x, F.col("w"))), F.lit(0)).alias("g"))
-    grams = (
-        grams.unionByName(named)
-        .withColumn("literal", F.size(F.filter(F.slice("it", F.col("g.at") + 1, F.col("w")), lambda x: ~x.startswith("<"))))
-        .filter(2 * F.col("literal") >= F.col("w"))
-        .select(
-            F.col("g.h").alias("ih"), "item", F.col("g.at").alias("iat"), "w", F.size("it").alias("item_words"),
-            F.slice("it", F.col("g.at") + 1, F.col("w")).alias("iw"), F.slice("ip", F.col("g.at") + 1, F.col("w")).alias("ipw"),
-        )
-    )
-    # Saved, so that the planner knows its size: broadcast under the session's threshold, else merged.
-    grams = scratch.save(grams, "grams")
-    widths = sorted(r["w"] for r in grams.select("w").distinct().collect())  # at most width - least + 1 numbers
+    items = items.withColumn("iw", F.least(F.lit(cfg.width), F.size("ip"))).filter(F.get("ip", F.lit(0)) != "")
+    widths = sorted(r["iw"] for r in items.select("iw").distinct().collect())  # at most width numbers
     if not widths:
         widths = [cfg.width]
+    # Items shorter than ``least`` have no template; a window without a slot is a plain one.
+    filled = [w for w in widths if w >= cfg.least]
+
+    def grams_of(rows: DataFrame, words: str, ws: list[int]) -> DataFrame:
+        made = rows.select("item", F.col(words).alias("words"), "ip", "iw", F.explode(let(F.col(words), lambda x: _windows(x, ws))).alias("g"))
+        return made.filter(F.col("g.w") == F.col("iw")).select(
+            F.col("g.h").alias("ih"), "item", F.col("g.at").alias("iat"), F.col("g.w").alias("w"), F.size("ip").alias("item_words"),
+            F.slice("words", F.col("g.at") + 1, F.col("g.w")).alias("iw"), F.slice("ip", F.col("g.at") + 1, F.col("g.w")).alias("ipw"),
+            F.lit(words == "ip").alias("plain"),
+        )
+
+    grams = grams_of(items, "ip", widths)
+    if filled:
+        # Inside a document's sentence the capital that begins an item reads as a name: its first window has that form too.
+        named = items.filter("capital").withColumn("it", F.concat(F.array(F.lit("<name>")), F.slice("it", 2, F.size("it") - 1)))
+        slotted = grams_of(items, "it", filled).unionByName(grams_of(named, "it", filled).filter("iat = 0"))
+        literal = F.size(F.filter("iw", lambda x: ~x.startswith("<")))
+        grams = grams.unionByName(slotted.filter((2 * literal >= F.col("w")) & (literal < F.col("w"))))
+    # Saved, so that the planner knows its size: broadcast under the session's threshold, else merged.
+    grams = scratch.save(grams, "grams")
     looked = docs.select(F.col(key).alias("doc"), text_of(text).alias("t"))
-    windows = looked.select("doc", template.alias("dt")).select("doc", let(F.col("dt"), lambda x: F.concat(*[_windows(x, w) for w in widths])).alias("gs"))
+    windows = looked.select("doc", template.alias("dt"), plain.alias("dp")).select(
+        "doc",
+        let(F.col("dp"), lambda x: _windows(x, widths)).alias("gs"),
+        (let(F.col("dt"), lambda x: _windows(x, filled)) if filled else F.array().cast("array<struct<h:bigint,at:int,w:int>>")).alias("ts"),
+    )
     # Only ids, places and hashes meet the benchmark; the words follow for the documents that were hit.
-    met = windows.select("doc", F.explode("gs").alias("g")).select("doc", F.col("g.h").alias("h"), F.col("g.at").alias("at"))
-    met = scratch.save(met.join(grams, F.col("h") == F.col("ih")), "met")
+    both = F.array(F.struct(F.lit(True).alias("plain"), F.col("gs")), F.struct(F.lit(False).alias("plain"), F.col("ts").alias("gs")))
+    met = windows.select("doc", F.explode(both).alias("b")).select("doc", F.col("b.plain").alias("dplain"), F.explode("b.gs").alias("g"))
+    met = met.select("doc", "dplain", F.col("g.h").alias("h"), F.col("g.at").alias("at"))
+    met = scratch.save(met.join(grams, (F.col("h") == F.col("ih")) & (F.col("dplain") == F.col("plain"))).drop("dplain"), "met")
     hit_docs = scratch.save(met.select(F.col("doc").alias("hit")).distinct(), "hit-docs")
-    words = looked.join(hit_docs, F.col("doc") == F.col("hit"), "left_semi").select(F.col("doc").alias("of"), template.alias("dt"), plain.alias("dp"))
+    words = looked.join(hit_docs, F.col("doc") == F.col("hit"), "left_semi").select(
+        F.col("doc").alias("of"), template.alias("dt"), plain.alias("dp"), _ends(F.col("t")).alias("de")
+    )
+    starts = (F.col("at") == 0) | F.get("de", F.col("at") - 1)
+    ends = (F.col("at") + F.col("w") == F.size("dp")) | F.get("de", F.col("at") + F.col("w") - 1)
     hits = (
         met.join(words, F.col("doc") == F.col("of"))
-        .filter(F.slice("dt", F.col("at") + 1, F.col("w")) == F.col("iw"))
+        .filter(F.slice(F.when(F.col("plain"), F.col("dp")).otherwise(F.col("dt")), F.col("at") + 1, F.col("w")) == F.col("iw"))
+        .filter((F.col("item_words") > cfg.alone) | starts & ends)
         .select("doc", "item", "item_words", "w", "iat", (F.col("at") - F.col("iat")).alias("diagonal"), "iw", "ipw",
-                F.slice("dp", F.col("at") + 1, F.col("w")).alias("dpw"))
+                F.slice("dp", F.col("at") + 1, F.col("w")).alias("dpw"), "plain")
     )
     slots = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.col("w") - 1),
             lambda i: F.struct(F.get(F.col("iw"), i).alias("kind"), F.get(F.col("ipw"), i).alias("ours"), F.get(F.col("dpw"), i).alias("theirs")),
         ),
-        lambda s: s["kind"].startswith("<"),
+        lambda s: ~F.col("plain") & s["kind"].startswith("<"),
     )
     hits = hits.select("doc", "item", "item_words", "w", "iat", "diagonal", slots.alias("slots"))
     pairs = F.array_distinct(F.flatten(F.collect_set("slots")))

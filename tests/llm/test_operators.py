@@ -343,6 +343,18 @@ def test_contamination(spark):
     assert {2, 3, 4, 7} <= {r["doc_id"] for r in kept.collect()} and kept.columns == _docs(spark, docs).columns
 
 
+def test_contamination_by_plain_words(spark):
+    filler = "some quite ordinary words that are in no benchmark at all and go on for a while "
+    items = ["What is 3 + 5 * 12 - 7 + 40", "Call Anna Bert Carl Dora Emil Fritz Greta Hans", "How many is 7", ITEM, "yes"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    docs = [filler + x + " " + filler for x in items[:4]]
+    docs += [filler + ITEM.lower() + " " + filler, filler + ITEM.title(), filler + "and yes " + filler, "Is it so?\n\nYes.\n" + filler, "yes", filler]
+    docs.append(filler + items[0].replace("5", "6").replace("12", "9"))  # other numbers among few literal words
+    hits = decontaminate.find_contamination(_docs(spark, docs), bench).collect()
+    assert {(r["doc"], r["item"]) for r in hits} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (5, 3), (7, 4), (8, 4)}
+    assert not any(r["refilled"] for r in hits)
+
+
 def test_contamination_of_nothing(spark):
     assert decontaminate.find_contamination(_docs(spark, ["a"]).limit(0), _bench(spark)).count() == 0
     assert decontaminate.find_contamination(_docs(spark, [ITEM]), _bench(spark).limit(0)).count() == 0
