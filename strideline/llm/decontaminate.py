@@ -1,14 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become a template: a number ``<num>``, a unit after a number ``<unit>``, a
-capitalised word inside a sentence ``<name>``, any other word itself in lower case
+Words become a template: a number ``<num>``, a unit after a number ``<unit>``, a run
+of capitalised words inside a sentence ``<name>``, any other word itself in lower case
 without punctuation. Windows of ``width`` template words of the documents are
 hash-joined with those of the benchmark items. Matched windows on one diagonal
 (document position less item position) are one alignment; its slots must agree: an
 item's value at a placeholder always meets the same document value and no two item
-values meet one. Windows that are matched and agree cover item words; a document is
-contaminated by an item when they cover at least ``min_percent`` of its words. So
-copies are found, and so are questions with other numbers, names or units.
+values meet one. Near diagonals (other names of more words, words put in or left out)
+are added up as long as their slots agree. Windows that are matched and agree cover
+item words; a document is contaminated by an item when they cover at least
+``min_percent`` of its words. So copies are found, and so are questions with other
+numbers, names or units.
 
 The plain lower-cased words of the windows are hash-joined as well, so that a verbatim
 copy is found whatever its case and however many numbers or names it holds. Items
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.llm.columns import let, text_of
@@ -49,17 +51,27 @@ class Decontamination:
     alone: int = 2
 
 
-def _tokens(text: Column) -> tuple[Column, Column]:
-    """Template words and plain words of a text, one for one."""
+def _tokens(text: Column) -> tuple[Column, Column, Column]:
+    """Template words of a text, their values one for one, and its plain words.
+
+    A run of name words is one template word; \u0001 joins the words of its value.
+    """
     # A capital after a blank and no sentence end marks a name.
     marked = F.regexp_replace(text, r"([\p{L}\p{N},;][ \t])(?=\p{Lu}\p{L})", "$1\u0002")
-    bare = F.btrim(F.regexp_replace(F.regexp_replace(marked, r"[^\p{L}\p{M}\p{N}\s\u0002]+", ""), r"[\s\u0002]*\s[\s]*", " "))
+    marked = F.regexp_replace(marked, r"(\u0002[\p{L}\p{M}\p{N}'’-]+)[ \t](?=\u0002)", "$1\u0001")
+    bare = F.btrim(F.regexp_replace(F.regexp_replace(marked, r"[^\p{L}\p{M}\p{N}\s\u0001\u0002]+", ""), r"[\s\u0002]*\s[\s]*", " "))
     # A number keeps one place, whatever its digits; a unit is named by the number before it.
     template = F.lower(F.regexp_replace(bare, r"\u0002\S+", "<name>"))
     template = F.regexp_replace(template, r"(^| )\p{N}\S*", "$1<num>")
     template = F.regexp_replace(template, r"<num> (?:" + "|".join(UNITS) + r")(?!\S)", "<num> <unit>")
-    # A text without words is one empty word, which is shorter than any window.
-    return F.split(template, " "), F.split(F.lower(F.replace(bare, F.lit("\u0002"), F.lit(""))), " ")
+    values = F.lower(F.replace(bare, F.lit("\u0002"), F.lit("")))
+    # A text without words is one empty word, which is no item's.
+    return F.split(template, " "), F.split(values, " "), F.split(F.replace(values, F.lit("\u0001"), F.lit(" ")), " ")
+
+
+def _joints(values: Column) -> Column:
+    """How many more plain words than template words the values have."""
+    return F.aggregate(values, F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit("\u0001"), F.lit(""))))
 
 
 def _windows(words: Column, widths: list[int]) -> Column:
@@ -90,7 +102,7 @@ def _windows(words: Column, widths: list[int]) -> Column:
 
 def _ends(text: Column) -> Column:
     """Of each plain word, whether a sentence or line ends with it."""
-    ended = F.regexp_replace(F.translate(text, "\u0003", ""), r"[.!?:;]+[\"'’”)\]]*(?=\s|\z)|[\r\n]+", "\u0003 ")
+    ended = F.regexp_replace(F.translate(text, "\u0001\u0003", " "), r"[.!?:;]+[\"'’”)\]]*(?=\s|\z)|[\r\n]+", "\u0003 ")
     bare = F.regexp_replace(ended, r"[^\p{L}\p{M}\p{N}\s\u0003]+", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"[\s\u0003]*\u0003[\s\u0003]*", "\u0003 "), r"\A[\s\u0003]+|\s+\z", "")
     return F.transform(F.split(F.regexp_replace(bare, r"\s+", " "), " "), lambda x: x.endswith("\u0003"))
@@ -107,30 +119,43 @@ def find_contamination(
 ) -> DataFrame:
     """doc, item, covered and item_words, and whether slots were filled anew, of every hit."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    template, plain = _tokens(F.col("t"))
+    template, values, plain = _tokens(F.col("t"))
     items = benchmark.select(F.col(item).alias("item"), text_of(item_text).alias("t")).select(
-        "item", template.alias("it"), plain.alias("ip"), F.btrim("t").rlike(r"^\p{Lu}\p{L}").alias("capital")
+        "item", template.alias("it"), values.alias("iv"), plain.alias("ip"), F.btrim("t").rlike(r"^\p{Lu}\p{L}").alias("capital")
     )
-    items = items.withColumn("iw", F.least(F.lit(cfg.width), F.size("ip"))).filter(F.get("ip", F.lit(0)) != "")
-    widths = sorted(r["iw"] for r in items.select("iw").distinct().collect())  # at most width numbers
+    items = items.filter(F.get("ip", F.lit(0)) != "")
+    fits = F.array(F.least(F.lit(cfg.width), F.size("ip")), F.least(F.lit(cfg.width), F.size("it")), F.least(F.lit(cfg.width), F.size("it") - 1))
+    widths = sorted(r["w"] for r in items.select(F.explode(fits).alias("w")).distinct().filter("w > 0").collect())  # at most width numbers
     if not widths:
         widths = [cfg.width]
-    # Items shorter than ``least`` have no template; a window without a slot is a plain one.
+    # Fewer words than ``least`` are no template; a window without a slot is a plain one.
     filled = [w for w in widths if w >= cfg.least]
 
-    def grams_of(rows: DataFrame, words: str, ws: list[int]) -> DataFrame:
-        made = rows.select("item", F.col(words).alias("words"), "ip", "iw", F.explode(let(F.col(words), lambda x: _windows(x, ws))).alias("g"))
-        return made.filter(F.col("g.w") == F.col("iw")).select(
+    def grams_of(rows: DataFrame, words: str, of: str, ws: list[int]) -> DataFrame:
+        made = rows.select("item", F.col(words).alias("words"), F.col(of).alias("of"), "ip", F.explode(let(F.col(words), lambda x: _windows(x, ws))).alias("g"))
+        made = made.filter(F.col("g.w") == F.least(F.lit(cfg.width), F.size("words")))
+        lo = F.col("g.at") + _joints(F.slice("of", 1, F.col("g.at")))
+        inside = F.slice("of", F.col("g.at") + 1, F.col("g.w"))
+        return made.select(
             F.col("g.h").alias("ih"), "item", F.col("g.at").alias("iat"), F.col("g.w").alias("w"), F.size("ip").alias("item_words"),
-            F.slice("words", F.col("g.at") + 1, F.col("g.w")).alias("iw"), F.slice("ip", F.col("g.at") + 1, F.col("g.w")).alias("ipw"),
-            F.lit(words == "ip").alias("plain"),
+            lo.alias("lo"), (lo + F.col("g.w") + _joints(inside)).alias("hi"),
+            F.slice("words", F.col("g.at") + 1, F.col("g.w")).alias("iw"), inside.alias("ivw"), F.lit(words == "ip").alias("plain"),
         )
 
-    grams = grams_of(items, "ip", widths)
+    grams = grams_of(items, "ip", "ip", widths)
     if filled:
-        # Inside a document's sentence the capital that begins an item reads as a name: its first window has that form too.
-        named = items.filter("capital").withColumn("it", F.concat(F.array(F.lit("<name>")), F.slice("it", 2, F.size("it") - 1)))
-        slotted = grams_of(items, "it", filled).unionByName(grams_of(named, "it", filled).filter("iat = 0"))
+        # Inside a document's sentence the capital that begins an item reads as a name, alone
+        # or with the name after it: its first window has these forms too.
+        def rest(x: str, k: int) -> Column:
+            return F.slice(x, k, F.greatest(F.size(x) - k + 1, F.lit(0)))
+
+        name = F.array(F.lit("<name>"))
+        named = items.filter("capital").withColumn("it", F.concat(name, rest("it", 2)))
+        runs = named.filter(F.get("it", F.lit(1)) == "<name>").withColumns(
+            {"it": F.concat(name, rest("it", 3)), "iv": F.concat(F.array(F.array_join(F.slice("iv", 1, 2), "\u0001")), rest("iv", 3))}
+        )
+        first = grams_of(named, "it", "iv", filled).unionByName(grams_of(runs, "it", "iv", filled)).filter("iat = 0")
+        slotted = grams_of(items, "it", "iv", filled).unionByName(first)
         literal = F.size(F.filter("iw", lambda x: ~x.startswith("<")))
         grams = grams.unionByName(slotted.filter((2 * literal >= F.col("w")) & (literal < F.col("w"))))
     # Saved, so that the planner knows its size: broadcast under the session's threshold, else merged.
@@ -148,55 +173,80 @@ def find_contamination(
     met = scratch.save(met.join(grams, (F.col("h") == F.col("ih")) & (F.col("dplain") == F.col("plain"))).drop("dplain"), "met")
     hit_docs = scratch.save(met.select(F.col("doc").alias("hit")).distinct(), "hit-docs")
     words = looked.join(hit_docs, F.col("doc") == F.col("hit"), "left_semi").select(
-        F.col("doc").alias("of"), template.alias("dt"), plain.alias("dp"), _ends(F.col("t")).alias("de")
+        F.col("doc").alias("of"), template.alias("dt"), values.alias("dv"), plain.alias("dp"), _ends(F.col("t")).alias("de")
     )
+    runs = F.filter(F.transform("dv", lambda x, i: F.struct(i.alias("i"), _joints(F.array(x)).alias("n"))), lambda x: x["n"] > 0)
+    words = words.withColumn("dr", F.when(F.size("dv") < F.size("dp"), runs).otherwise(F.array().cast("array<struct<i:int,n:int>>")))
     starts = (F.col("at") == 0) | F.get("de", F.col("at") - 1)
     ends = (F.col("at") + F.col("w") == F.size("dp")) | F.get("de", F.col("at") + F.col("w") - 1)
-    hits = (
-        met.join(words, F.col("doc") == F.col("of"))
-        .filter(F.slice(F.when(F.col("plain"), F.col("dp")).otherwise(F.col("dt")), F.col("at") + 1, F.col("w")) == F.col("iw"))
-        .filter((F.col("item_words") > cfg.alone) | starts & ends)
-        .select("doc", "item", "item_words", "w", "iat", (F.col("at") - F.col("iat")).alias("diagonal"), "iw", "ipw",
-                F.slice("dp", F.col("at") + 1, F.col("w")).alias("dpw"), "plain")
-    )
+    # The place of a template word among the plain words of the document.
+    moved = F.aggregate(F.filter("dr", lambda x: x["i"] < F.col("at")), F.lit(0), lambda n, x: n + x["n"])
+    place = F.col("at") + F.when(F.col("plain"), 0).otherwise(moved)
     slots = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.col("w") - 1),
-            lambda i: F.struct(F.get(F.col("iw"), i).alias("kind"), F.get(F.col("ipw"), i).alias("ours"), F.get(F.col("dpw"), i).alias("theirs")),
+            lambda i: F.struct(F.get(F.col("iw"), i).alias("kind"), F.get(F.col("ivw"), i).alias("ours"), F.get(F.col("dvw"), i).alias("theirs")),
         ),
         lambda s: ~F.col("plain") & s["kind"].startswith("<"),
     )
-    hits = hits.select("doc", "item", "item_words", "w", "iat", "diagonal", slots.alias("slots"))
-    pairs = F.array_distinct(F.flatten(F.collect_set("slots")))
+    hits = (
+        met.join(words, F.col("doc") == F.col("of"))
+        .filter(F.slice(F.when(F.col("plain"), F.col("dp")).otherwise(F.col("dt")), F.col("at") + 1, F.col("w")) == F.col("iw"))
+        .filter((F.col("item_words") > cfg.alone) | starts & ends)
+        .select("doc", "item", "item_words", "w", "lo", "hi", (place - F.col("lo")).alias("diagonal"), "iw", "ivw",
+                F.slice("dv", F.col("at") + 1, F.col("w")).alias("dvw"), "plain")
+        .select("doc", "item", "item_words", "lo", "hi", "diagonal", slots.alias("slots"))
+    )
+
+    def covered(at: Column) -> Column:
+        return F.aggregate(
+            F.array_sort(at),
+            F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")),
+            lambda s, x: F.struct(
+                F.greatest(s["to"], x["hi"]).alias("to"), (s["n"] + F.greatest(F.lit(0), x["hi"] - F.greatest(s["to"], x["lo"]))).alias("n")
+            ),
+            lambda s: s["n"],
+        )
+
+    def agree(pairs: Column) -> Column:
+        n = F.size(pairs)
+        return (n == F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p["ours"]))))) & (
+            n == F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p["theirs"]))))
+        )
+
     aligned = (
         hits.groupBy("doc", "item", "item_words", "diagonal")
         .agg(
-            F.sort_array(F.collect_set(F.struct("iat", "w"))).alias("at"),
-            F.sort_array(F.collect_set(F.when(F.size("slots") == 0, F.struct("iat", "w")))).alias("literal_at"),
-            pairs.alias("pairs"),
-        )
-        .withColumn(
-            "agree",
-            (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["ours"])))))
-            & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["theirs"]))))),
+            F.collect_set(F.struct("lo", "hi")).alias("at"),
+            F.collect_set(F.when(F.size("slots") == 0, F.struct("lo", "hi"))).alias("literal_at"),
+            F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"),
         )
         # Where slots disagree, only the windows without slots count.
-        .withColumn("used", F.when(F.col("agree"), F.col("at")).otherwise(F.col("literal_at")))
-        .withColumn(
-            "covered",
-            F.aggregate(
-                "used",
-                F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")),
-                lambda s, x: F.struct(
-                    (x["iat"] + x["w"]).alias("to"), (s["n"] + x["iat"] + x["w"] - F.greatest(s["to"], x["iat"])).alias("n")
-                ),
-                lambda s: s["n"],
-            ),
+        .withColumn("agree", agree(F.col("pairs")))
+        .withColumns({"at": F.when(F.col("agree"), F.col("at")).otherwise(F.col("literal_at")), "pairs": F.when(F.col("agree"), F.col("pairs")).otherwise(F.slice("pairs", 1, 0))})
+    )
+    # A diagonal that is near the one before it belongs to the same copy.
+    by = Window.partitionBy("doc", "item").orderBy("diagonal")
+    far = F.col("diagonal") - F.lag("diagonal").over(by) > F.greatest(F.lit(cfg.width), F.col("item_words") / 2)
+    aligned = aligned.withColumn("far", F.coalesce(far, F.lit(True)).cast("int")).withColumn("copy", F.sum("far").over(by))
+    parts = F.struct((-covered(F.col("at"))).alias("less"), "diagonal", "at", "literal_at", "pairs")
+    copies = aligned.groupBy("doc", "item", "item_words", "copy").agg(F.sort_array(F.collect_list(parts)).alias("parts"))
+
+    def add(s: Column, x: Column) -> Column:
+        """The widest diagonals first; of one whose slots disagree with theirs, the windows without slots."""
+        pairs = F.array_distinct(F.concat(s["pairs"], x["pairs"]))
+        return F.when(agree(pairs), F.struct(pairs.alias("pairs"), F.concat(s["at"], x["at"]).alias("at"))).otherwise(
+            F.struct(s["pairs"].alias("pairs"), F.concat(s["at"], x["literal_at"]).alias("at"))
         )
-        .filter(100 * F.col("covered") >= cfg.min_percent * F.col("item_words"))
+
+    none = F.struct(F.slice(F.col("parts")[0]["pairs"], 1, 0).alias("pairs"), F.slice(F.col("parts")[0]["at"], 1, 0).alias("at"))
+    copies = copies.select(
+        "doc", "item", "item_words", F.aggregate("parts", none, add).alias("all"), covered(F.flatten(F.transform("parts", lambda x: x["literal_at"]))).alias("copied")
     )
-    refilled = F.col("agree") & F.exists("pairs", lambda p: p["ours"] != p["theirs"])
-    return aligned.groupBy("doc", "item").agg(
+    least = cfg.min_percent * F.col("item_words")
+    copies = copies.withColumn("covered", covered(F.col("all.at"))).filter(100 * F.col("covered") >= least)
+    refilled = (F.col("copied") < F.col("covered")) & F.exists("all.pairs", lambda p: p["ours"] != p["theirs"])
+    return copies.groupBy("doc", "item").agg(
         F.max("covered").cast("bigint").alias("covered"),
         F.max("item_words").cast("bigint").alias("item_words"),
         F.max(refilled).alias("refilled"),

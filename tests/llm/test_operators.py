@@ -355,6 +355,25 @@ def test_contamination_by_plain_words(spark):
     assert not any(r["refilled"] for r in hits)
 
 
+def test_contamination_over_near_diagonals(spark):
+    filler = "some quite ordinary words that are in no benchmark at all and go on for a while "
+    words = [f"w{chr(97 + i)}" for i in range(30)]
+    words[10], words[20] = "Maria", "Peter"
+    item = " ".join(words)
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    plain = item.lower().split()
+    docs = [
+        item.replace("Maria", "Ana Lopez").replace("Peter", "Jan van Ek").replace("van", "Van"),
+        " ".join([*plain[:10], "so", *plain[10:20], "then", *plain[20:]]),
+        " ".join([*plain[:9], *plain[10:20], *plain[21:]]),
+        " ".join([*plain[:9], filler * 4, *plain[20:]]),  # pieces far from each other
+        item.replace("Maria", "Ana Lopez").replace("Peter", "Ana Lopez"),  # only one of the slots counts
+    ]
+    hits = decontaminate.find_contamination(_docs(spark, [filler + x + " " + filler for x in docs]), bench).collect()
+    assert {(r["doc"], r["refilled"]) for r in hits} == {(0, True), (1, False), (2, False), (4, True)}
+    assert all(r["covered"] <= 30 and r["item_words"] == 30 for r in hits)
+
+
 def test_contamination_of_nothing(spark):
     assert decontaminate.find_contamination(_docs(spark, ["a"]).limit(0), _bench(spark)).count() == 0
     assert decontaminate.find_contamination(_docs(spark, [ITEM]), _bench(spark).limit(0)).count() == 0
