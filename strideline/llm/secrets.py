@@ -46,6 +46,16 @@ class Rule:
         return [m.span() for m in self.compiled().finditer(text) if len(m[self.counted]) >= self.least]
 
 
+#: Between the lines of a key: blanks, escaped line ends, and the marks of quoted or concatenated lines.
+_GAP = r"""(?:[\s>|#*"',]|\\+[nrt])"""
+#: The last line of a key: base64 that is no plain word, or stands alone on its line.
+_TAIL = r"""(?:[A-Za-z0-9+/]*[0-9+/=][A-Za-z0-9+/=]*|[A-Za-z0-9+/]+(?=[\x20\t]*(?:[\r\n\\"']|\Z)))"""
+#: A private key from its BEGIN line to its END line; without END, its headers and base64 lines.
+_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----|"
+    rf"(?:{_GAP}*(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:(?:{_GAP}+[A-Za-z0-9+/=]{{16,}})+(?:{_GAP}+{_TAIL})?|{_GAP}*(?:[\r\n]|\\n){_GAP}*{_TAIL})?)"
+)
+
 #: What counts as a secret. The first three are the base kinds.
 RULES = (
     Rule(
@@ -57,7 +67,7 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]+", 0, 32),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),

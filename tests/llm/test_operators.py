@@ -231,6 +231,22 @@ def test_index_loses_no_match(spark):
     assert clean[0] == "x <ASSIGN>' y" and clean[7] is None and clean[6] == key[:31]
 
 
+def test_redaction_leaves_no_byte_of_a_key(spark):
+    r = np.random.default_rng(1)
+    lines = ["".join(r.choice(list("ABCDEFGHijklmnop0123456789+/"), 64)) for _ in range(5)] + ["Zz9+Zz8="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    bodies = ["\n".join(lines), head + "\n".join(lines), "\\n".join(lines), "\r\n".join(lines)]
+    cases = [f"before {begin}{g}{b}{g}{end} after" for b, g in zip(bodies, ["\n", "\n", "\\n", "\r\n"], strict=True)]
+    cases += [f"before {begin}{g}{b}{g} after" for b, g in zip(bodies, ["\n", "\n", "\\n", "\r\n"], strict=True)]
+    cases += [f"before {begin} after", "".join(f"before {begin}\n{bodies[0]}\n{end} after " for _ in range(2)).strip()]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(_docs(spark, cases)).collect()}
+    for i, c in enumerate(cases):
+        assert not any(x in clean[i] for x in [*lines, "END", "DEK"]), clean[i]
+        assert clean[i].startswith("before <PRIVATE_KEY>") and clean[i].endswith("after")
+    assert clean[len(cases) - 1].count("<PRIVATE_KEY>") == 2
+
+
 # op6
 
 
