@@ -11,6 +11,9 @@ A page that marks its article (``article``, ``main`` or role=main) has weight on
 inside the mark and threshold 1, so short paragraphs stay; else the threshold is
 ``min_block`` characters, and where no window reaches it the fullest window's.
 
+Furniture that wraps the article mark, or most of the text of a page without one,
+does not count as furniture. An unclosed head ends at the first block element.
+
 Defined results: null, empty or markup-only html gives the empty string; unclosed
 elements end with the page; an unclosed script, style or comment swallows the rest;
 repeated rows are read alike; an empty table gives an empty result.
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Elements whose content is never text.
-_SILENT = "script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|title|head"
+_SILENT = "script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|title"
 #: Elements that are page furniture.
 _FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "audio", "video"}
 _ROLES = {
@@ -55,6 +58,7 @@ _CLOSED_BY_BLOCK = {"p"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|math|iframe|object)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
     rf"|<(?P<silent>{_SILENT})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=silent)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
@@ -64,51 +68,90 @@ _ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _is_furniture(tag: str, attrs: str) -> bool:
+#: Why an element is furniture: hidden or by role; by its tag or a whole name; by a form's tag or a part of a name.
+_HIDDEN, _NAMED, _LOOSE = 1, 2, 3
+
+
+def _furniture(tag: str, attrs: str) -> int:
+    """One of the three reasons, or 0."""
+    found = 0
     if tag in _FURNITURE:
-        return True
+        found = _LOOSE if tag in ("form", "fieldset") else _NAMED
     if tag in ("html", "body", "article", "main") or not attrs:
-        return False
+        return found
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return found or _HIDDEN
         if name == "role" and value.lower() in _ROLES:
-            return True
+            return found or _HIDDEN
         if name in ("class", "id") and any(x.lower() in _NAMES for x in _PART.findall(value)):
-            return True
-    return False
+            whole = any(x.lower() in _NAMES for x in value.split())
+            found = min(found or _LOOSE, _NAMED if whole else _LOOSE)
+    return found
+
+
+def _wrappers(kinds: list[int], raw: list[tuple[str, int, bool, tuple[int, ...]]], marks: list[tuple[int, ...]]) -> set[int]:
+    """Elements that look like furniture and wrap the page's text: they do not count.
+
+    While every mark of the article is inside furniture, the outermost element round
+    the most marked text is a wrapper. On a page without marks, one known only loosely
+    is if it holds most of the text.
+    """
+    open_: set[int] = set()
+    while True:
+        held: dict[int, int] = {}
+        if marks:
+            if any(not [x for x in m if x not in open_] for m in marks):
+                return open_
+            for m in marks:
+                left = [x for x in m if x not in open_]
+                if all(kinds[x] != _HIDDEN for x in left):
+                    held.setdefault(left[0], 0)
+        for _, weight, inside, ids in raw:
+            left = [x for x in ids if x not in open_]
+            if left and (left[0] in held if marks else kinds[left[0]] == _LOOSE):
+                held[left[0]] = held.get(left[0], 0) + (weight if inside or not marks else 0)
+        best = max(held, key=lambda x: (held[x], -x), default=None)
+        if best is None or not marks and 2 * held[best] <= sum(weight for _, weight, _, _ in raw):
+            return open_
+        open_.add(best)
 
 
 def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """Lines as (text, weight or -1 for furniture, inside a marked article), and whether the page marks one."""
-    lines: list[tuple[str, int, bool]] = []
+    raw: list[tuple[str, int, bool, tuple[int, ...]]] = []  # text, weight, inside, furniture round it
+    kinds: list[int] = []  # of each furniture element, why it is one
+    within: list[int] = []  # furniture that is open
+    marks_at: list[tuple[int, ...]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # element, furniture, article
-    furniture = article = links = 0
-    marked = False
+    article = links = 0
+    head = False
 
     def cut() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                weight = -1 if furniture else max(0, len(text) - linked)
-                lines.append((text, weight, article > 0))
+                raw.append((text, max(0, len(text) - linked), article > 0, tuple(within)))
             parts.clear()
         linked = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal furniture, article, links
+        nonlocal article, links
         while len(stack) > depth:
             tag, f, a = stack.pop()
-            furniture -= f
+            if f:
+                within.pop()
             article -= a
             links -= tag == "a"
 
     def said(text: str) -> None:
         nonlocal linked
+        if head:
+            return
         parts.append(text)
         if links:
             linked += len(" ".join(entities.unescape(text).split()))
@@ -127,7 +170,13 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         attrs = m["attrs"] or ""
         opens = not m["close"]
         marks = opens and (tag in ("article", "main") or "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs) is not None)
-        hides = opens and _is_furniture(tag, attrs)
+        kind = _furniture(tag, attrs) if opens and not marks else 0
+        hides = kind > 0
+        if tag == "head":
+            head = opens
+            continue
+        # An unclosed head ends where the body or a block begins.
+        head = head and not (opens and (tag in _BLOCK or marks))
         if tag in _BLOCK or hides or marks:
             cut()
             if opens and tag in _BLOCK:
@@ -139,10 +188,13 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if opens:
             if tag not in _VOID and not attrs.endswith("/"):
                 stack.append((tag, hides, marks))
-                furniture += hides
+                if hides:
+                    within.append(len(kinds))
+                    kinds.append(kind)
                 article += marks
                 links += tag == "a"
-                marked |= marks and not furniture
+                if marks:
+                    marks_at.append(tuple(within))
         else:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
@@ -153,7 +205,9 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     if at < len(page):
         said(page[at:])
     cut()
-    return lines, marked
+    wrappers = _wrappers(kinds, raw, marks_at)
+    lines = [(text, weight if wrappers.issuperset(ids) else -1, inside) for text, weight, inside, ids in raw]
+    return lines, any(wrappers.issuperset(ids) for ids in marks_at)
 
 
 def main_text(page: str | None, window: int = 3, min_block: int = 80) -> str:

@@ -67,6 +67,25 @@ def test_main_text_of_marked_and_unmarked_pages():
     assert [html.main_text(x) for x in (None, "", "<p></p>", "<!-- a", "<script>x")] == [""] * 5
 
 
+def test_main_text_is_not_swallowed():
+    long = "long text " * 20
+    body = f"<p>{long}</p>"
+    want = long.strip()
+    assert html.main_text(f"<html><head><title>x</title><meta charset=u><body>{body}") == want
+    assert html.main_text(f"<head><script>'<p>'</script><title>x</title><article>{body}</article>") == want
+    for tag in ("svg", "math", "iframe", "object"):
+        assert html.main_text(f"<body><{tag} class='a>b' /><{tag}/>{body}") == want
+        assert html.main_text(f"<{tag}>no</{tag}>{body}") == want
+    nav, foot = "<nav><p>go there</p></nav>", "<footer>end</footer>"
+    for wrap in ("<form id=aspnetForm>", "<div class='layout has-sidebar'>", "<div class='no-comments'>"):
+        close = "</form>" if "form" in wrap[:5] else "</div>"
+        for inner in (f"<article>{body}</article>", f"<div role=main>{body}</div>", body):
+            assert html.main_text(f"<body>{wrap}{nav}{inner}<div class=sidebar>{long}</div>{foot}{close}" if inner != body else f"{wrap}{nav}{body}{foot}{close}") == want
+    # Furniture stays furniture beside the article.
+    assert html.main_text(f"<main>{body}</main><aside class=related><article>{long}</article></aside>") == want
+    assert html.main_text(f"<div>{body}</div><div id=comments><p>{long}</p><p>{long}</p></div>") == want
+
+
 def test_extract_text_on_frames(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a</p></article>"), (2, None, None), (2, None, None)], "page_id bigint, url string, html string")
     assert sorted(r["text"] for r in html.extract_text(pages.withColumn("text", F.lit("clash"))).collect()) == ["", "", "a"]
