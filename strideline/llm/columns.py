@@ -18,6 +18,11 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def row_key(key: str, text: str) -> Column:
+    """A row's id, which may be null, and its text as one string that is never null."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")), F.lit(":"), F.md5(text_of(text)))
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a non-null text; empty for a blank text."""
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")

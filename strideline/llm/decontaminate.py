@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.llm.columns import let, text_of
+from strideline.llm.columns import let, row_key, text_of
 from strideline.sources.scratch import Scratch
 
 #: Units of measure, currency and time that may follow a number.
@@ -160,7 +160,7 @@ def find_contamination(
         grams = grams.unionByName(slotted.filter((2 * literal >= F.col("w")) & (literal < F.col("w"))))
     # Saved, so that the planner knows its size: broadcast under the session's threshold, else merged.
     grams = scratch.save(grams, "grams")
-    looked = docs.select(F.col(key).alias("doc"), text_of(text).alias("t"))
+    looked = docs.select(row_key(key, text).alias("doc"), F.col(key).alias("id"), text_of(text).alias("t"))
     windows = looked.select("doc", template.alias("dt"), plain.alias("dp")).select(
         "doc",
         let(F.col("dp"), lambda x: _windows(x, widths)).alias("gs"),
@@ -173,7 +173,7 @@ def find_contamination(
     met = scratch.save(met.join(grams, (F.col("h") == F.col("ih")) & (F.col("dplain") == F.col("plain"))).drop("dplain"), "met")
     hit_docs = scratch.save(met.select(F.col("doc").alias("hit")).distinct(), "hit-docs")
     words = looked.join(hit_docs, F.col("doc") == F.col("hit"), "left_semi").select(
-        F.col("doc").alias("of"), template.alias("dt"), values.alias("dv"), plain.alias("dp"), _ends(F.col("t")).alias("de")
+        F.col("doc").alias("of"), "id", template.alias("dt"), values.alias("dv"), plain.alias("dp"), _ends(F.col("t")).alias("de")
     )
     runs = F.filter(F.transform("dv", lambda x, i: F.struct(i.alias("i"), _joints(F.array(x)).alias("n"))), lambda x: x["n"] > 0)
     words = words.withColumn("dr", F.when(F.size("dv") < F.size("dp"), runs).otherwise(F.array().cast("array<struct<i:int,n:int>>")))
@@ -193,9 +193,9 @@ def find_contamination(
         met.join(words, F.col("doc") == F.col("of"))
         .filter(F.slice(F.when(F.col("plain"), F.col("dp")).otherwise(F.col("dt")), F.col("at") + 1, F.col("w")) == F.col("iw"))
         .filter((F.col("item_words") > cfg.alone) | starts & ends)
-        .select("doc", "item", "item_words", "w", "lo", "hi", (place - F.col("lo")).alias("diagonal"), "iw", "ivw",
+        .select("doc", "id", "item", "item_words", "w", "lo", "hi", (place - F.col("lo")).alias("diagonal"), "iw", "ivw",
                 F.slice("dv", F.col("at") + 1, F.col("w")).alias("dvw"), "plain")
-        .select("doc", "item", "item_words", "lo", "hi", "diagonal", slots.alias("slots"))
+        .select("doc", "id", "item", "item_words", "lo", "hi", "diagonal", slots.alias("slots"))
     )
 
     def covered(at: Column) -> Column:
@@ -215,7 +215,7 @@ def find_contamination(
         )
 
     aligned = (
-        hits.groupBy("doc", "item", "item_words", "diagonal")
+        hits.groupBy("doc", "id", "item", "item_words", "diagonal")
         .agg(
             F.collect_set(F.struct("lo", "hi")).alias("at"),
             F.collect_set(F.when(F.size("slots") == 0, F.struct("lo", "hi"))).alias("literal_at"),
@@ -230,7 +230,7 @@ def find_contamination(
     far = F.col("diagonal") - F.lag("diagonal").over(by) > F.greatest(F.lit(cfg.width), F.col("item_words") / 2)
     aligned = aligned.withColumn("far", F.coalesce(far, F.lit(True)).cast("int")).withColumn("copy", F.sum("far").over(by))
     parts = F.struct((-covered(F.col("at"))).alias("less"), "diagonal", "at", "literal_at", "pairs")
-    copies = aligned.groupBy("doc", "item", "item_words", "copy").agg(F.sort_array(F.collect_list(parts)).alias("parts"))
+    copies = aligned.groupBy("doc", "id", "item", "item_words", "copy").agg(F.sort_array(F.collect_list(parts)).alias("parts"))
 
     def add(s: Column, x: Column) -> Column:
         """The widest diagonals first; of one whose slots disagree with theirs, the windows without slots."""
@@ -241,12 +241,12 @@ def find_contamination(
 
     none = F.struct(F.slice(F.col("parts")[0]["pairs"], 1, 0).alias("pairs"), F.slice(F.col("parts")[0]["at"], 1, 0).alias("at"))
     copies = copies.select(
-        "doc", "item", "item_words", F.aggregate("parts", none, add).alias("all"), covered(F.flatten(F.transform("parts", lambda x: x["literal_at"]))).alias("copied")
+        "id", "item", "item_words", F.aggregate("parts", none, add).alias("all"), covered(F.flatten(F.transform("parts", lambda x: x["literal_at"]))).alias("copied")
     )
     least = cfg.min_percent * F.col("item_words")
     copies = copies.withColumn("covered", covered(F.col("all.at"))).filter(100 * F.col("covered") >= least)
     refilled = (F.col("copied") < F.col("covered")) & F.exists("all.pairs", lambda p: p["ours"] != p["theirs"])
-    return copies.groupBy("doc", "item").agg(
+    return copies.groupBy(F.col("id").alias("doc"), "item").agg(
         F.max("covered").cast("bigint").alias("covered"),
         F.max("item_words").cast("bigint").alias("item_words"),
         F.max(refilled).alias("refilled"),
@@ -254,7 +254,9 @@ def find_contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination = Decontamination(), key: str = "doc_id") -> DataFrame:
-    """The documents whose id is on no hit; rows with a null id stay, being on none."""
-    hit = find_contamination(docs, benchmark, cfg, key).select(F.col("doc").alias("__hit")).distinct()
+    """The documents that are on no hit; rows are told apart by id, null or not, and text."""
+    names = docs.columns
+    docs = docs.withColumn("__row", row_key(key, "text"))
+    hit = find_contamination(docs, benchmark, cfg, "__row").select(F.col("doc").alias("__hit")).distinct()
     hit = Scratch(docs.sparkSession, "decontaminated").save(hit, "hits")
-    return docs.join(hit, docs[key] == hit["__hit"], "left_anti")
+    return docs.join(hit, F.col("__row") == F.col("__hit"), "left_anti").select(*names)

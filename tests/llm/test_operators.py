@@ -409,6 +409,14 @@ def test_contamination_over_near_diagonals(spark):
     assert all(r["covered"] <= 30 and r["item_words"] == 30 for r in hits)
 
 
+def test_contamination_of_null_and_shared_ids(spark):
+    rows = [(None, "so " + ITEM, "a"), (None, "clean text", "b"), (7, "and " + ITEM, "c"), (7, "another clean text", "d"), (8, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, mark string")
+    assert {(r["doc"], r["item"]) for r in decontaminate.find_contamination(docs, _bench(spark)).collect()} == {(None, 1), (7, 1)}
+    kept = decontaminate.drop_contaminated(docs, _bench(spark))
+    assert {r["mark"] for r in kept.collect()} == {"b", "d", "e"} and kept.columns == docs.columns
+
+
 def test_contamination_of_nothing(spark):
     assert decontaminate.find_contamination(_docs(spark, ["a"]).limit(0), _bench(spark)).count() == 0
     assert decontaminate.find_contamination(_docs(spark, [ITEM]), _bench(spark).limit(0)).count() == 0
