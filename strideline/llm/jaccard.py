@@ -275,15 +275,15 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that are near duplicates of a kept one.
 
-    Of a component the rows with its smallest id stay, one of those with equal text.
-    Documents without words are linked with nothing and stay.
+    Of a component one row stays: that of the smallest id, null ids last, and of the
+    smallest text hash among equal ids. Documents without words are linked with nothing
+    and stay.
     """
-    stamp = F.md5(text_of(text))
-    found = near_duplicates(docs, key, text, keep={"stamp": stamp})
-    chosen = found.filter((F.col("doc") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc", "stamp").distinct()
+    row = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("id"), F.md5(text_of(text)).alias("stamp"))
+    found = near_duplicates(docs.withColumn("__row", row), "__row", text)
+    chosen = found.filter((F.col("doc") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc").distinct()
     blank = ~text_of(text).rlike(r"[^\x20\x09-\x0D]")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("__key"), stamp.alias("__stamp"), blank.alias("__blank"))
-    stay = packed.filter(~F.col("__blank")).join(chosen, (F.col("__key") == F.col("doc")) & (F.col("__stamp") == F.col("stamp")), "left_semi")
-    stay = stay.groupBy("__key", "__stamp").agg(F.first("row").alias("row"))
-    unnamed = packed.filter(~F.col("__blank") & F.col("__key").isNull()).select("row")
-    return stay.select("row").unionByName(packed.filter("__blank").select("row")).unionByName(unnamed).select("row.*")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), row.alias("__row"), blank.alias("__blank"))
+    stay = packed.filter(~F.col("__blank")).join(chosen, F.col("__row") == F.col("doc"), "left_semi")
+    stay = stay.groupBy("__row").agg(F.first("row").alias("row"))
+    return stay.select("row").unionByName(packed.filter("__blank").select("row")).select("row.*")

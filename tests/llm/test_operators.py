@@ -469,6 +469,15 @@ def test_one_of_each(spark, texts):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_judges_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, a), (None, a + " more"), (3, b), (None, b), (None, c), (5, None), (None, ""), (4, b)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sum((r["text"] or "").startswith("a0 ") for r in kept) == 1
+    assert sorted(((r["doc_id"], r["text"]) for r in kept if r["text"] in (b, c)), key=str) == sorted([(3, b), (None, c)], key=str)
+    assert sum(not r["text"] for r in kept) == 2 and len(kept) == 5
+
+
 # All
 
 
