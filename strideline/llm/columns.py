@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space of the word definition: space and the bytes 09 to 0D.
@@ -28,9 +28,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def row_of(docs: DataFrame) -> Column:
+    """All columns of a table as one struct, whatever their names."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def quoted(name: str) -> str:
+    """A column name as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def crc_bucket(key: str, n: int) -> Column:

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strideline.llm.columns import row_of
+
 #: Elements whose content is never text.
 _SILENT = "script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|title"
 #: Elements that are page furniture.
@@ -239,6 +241,6 @@ def _main_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """``row``: the input's columns; ``text``: the page's main text, never null."""
     main_text_of = F.pandas_udf(_main_text, T.StringType())
-    return pages.select(F.struct(*pages.columns).alias("row"), F.col(html).cast("string").alias("html")).select(
+    return pages.select(row_of(pages).alias("row"), F.col(html).cast("string").alias("html")).select(
         "row", F.coalesce(main_text_of("html"), F.lit("")).alias("text")
     )

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.columns import text_of
+from strideline.llm.columns import row_of, text_of
 from strideline.llm.components import components
 from strideline.llm.hashing import blocks, combined, mixed, word_hashes
 from strideline.sources.scratch import Scratch
@@ -283,7 +283,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found = near_duplicates(docs.withColumn("__row", row), "__row", text)
     chosen = found.filter((F.col("doc") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc").distinct()
     blank = ~text_of(text).rlike(r"[^\x20\x09-\x0D]")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), row.alias("__row"), blank.alias("__blank"))
+    packed = docs.select(row_of(docs).alias("row"), row.alias("__row"), blank.alias("__blank"))
     stay = packed.filter(~F.col("__blank")).join(chosen, F.col("__row") == F.col("doc"), "left_semi")
     stay = stay.groupBy("__row").agg(F.first("row").alias("row"))
     return stay.select("row").unionByName(packed.filter("__blank").select("row")).select("row.*")

@@ -55,10 +55,8 @@ def op5_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(table(spark, sf_dir, "documents"))
-    return out.select(
-        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
-    )
+    out = quality.judge(table(spark, sf_dir, "documents"), keep={"doc_id": F.col("doc_id")})
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

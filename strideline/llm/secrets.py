@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideline.llm.columns import text_of
+from strideline.llm.columns import row_of, text_of
 
 
 @dataclass(frozen=True)
@@ -225,7 +225,7 @@ def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``row``: the input's columns; ``text``; ``spans``: array of (start, kind, end)."""
-    return docs.select(F.struct(*docs.columns).alias("row"), text_of(text).alias("text")).withColumn(
+    return docs.select(row_of(docs).alias("row"), text_of(text).alias("text")).withColumn(
         "spans", F.pandas_udf(_scan, _SPANS)("text")
     )
 

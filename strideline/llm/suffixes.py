@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strideline.functions.ordering import global_running
-from strideline.llm.columns import text_of
+from strideline.llm.columns import row_of, text_of
 from strideline.llm.hashing import Spans, blocks, buffer_of
 from strideline.sources.scratch import Scratch
 
@@ -210,7 +210,7 @@ def repeated_spans(docs: DataFrame, width: int, key: str, text: str, scratch: Sc
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = text_of(text)
-    return docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(key), F.lit(2**63 - 1)).alias("ord"), F.xxhash64(t).alias("th"), t.alias("t"))
+    return docs.select(row_of(docs).alias("row"), F.coalesce(F.col(key), F.lit(2**63 - 1)).alias("ord"), F.xxhash64(t).alias("th"), t.alias("t"))
 
 
 _CUT = T.StructType(
