@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.llm.columns import let, row_key, text_of
+from strideline.llm.columns import BLANKS, let, row_key, text_of
 from strideline.sources.scratch import Scratch
 
 #: Units of measure, currency and time that may follow a number.
@@ -51,22 +51,36 @@ class Decontamination:
     alone: int = 2
 
 
-def _tokens(text: Column) -> tuple[Column, Column, Column]:
-    """Template words of a text, their values one for one, and its plain words.
+#: Marks that the templates put into a text: words of one value, a name, an end. Taken out of texts before.
+_JOINT, _NAME, _END = "\u0001", "\u0002", "\u0003"
+
+
+def _plain(text: Column) -> Column:
+    """The words of a text in lower case without punctuation; of a text without words, one empty word."""
+    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}\s]+", "")
+    return F.split(F.btrim(bare, F.lit(BLANKS)), r"\s+")
+
+
+def _slotted(text: Column) -> Column:
+    """Whether the text may hold a number or a name."""
+    return text.rlike(r"\p{N}|[\p{L},;][ \t]\p{Lu}\p{L}")
+
+
+def _template(text: Column) -> tuple[Column, Column]:
+    """Template words of a text and their values one for one.
 
     A run of name words is one template word; \u0001 joins the words of its value.
     """
     # A capital after a blank and no sentence end marks a name.
-    marked = F.regexp_replace(text, r"([\p{L}\p{N},;][ \t])(?=\p{Lu}\p{L})", "$1\u0002")
+    marked = F.regexp_replace(F.translate(text, _JOINT + _NAME + _END, ""), r"([\p{L}\p{N},;][ \t])(?=\p{Lu}\p{L})", "$1\u0002")
     marked = F.regexp_replace(marked, r"(\u0002[\p{L}\p{M}\p{N}'’-]+)[ \t](?=\u0002)", "$1\u0001")
-    bare = F.btrim(F.regexp_replace(F.regexp_replace(marked, r"[^\p{L}\p{M}\p{N}\s\u0001\u0002]+", ""), r"[\s\u0002]*\s[\s]*", " "))
+    bare = F.regexp_replace(F.regexp_replace(marked, r"[^\p{L}\p{M}\p{N}\s\u0001\u0002]+", ""), r"[\s\u0002]*\s[\s]*", " ")
+    bare = F.btrim(bare)
     # A number keeps one place, whatever its digits; a unit is named by the number before it.
     template = F.lower(F.regexp_replace(bare, r"\u0002\S+", "<name>"))
     template = F.regexp_replace(template, r"(^| )\p{N}\S*", "$1<num>")
     template = F.regexp_replace(template, r"<num> (?:" + "|".join(UNITS) + r")(?!\S)", "<num> <unit>")
-    values = F.lower(F.replace(bare, F.lit("\u0002"), F.lit("")))
-    # A text without words is one empty word, which is no item's.
-    return F.split(template, " "), F.split(values, " "), F.split(F.replace(values, F.lit("\u0001"), F.lit(" ")), " ")
+    return F.split(template, " "), F.split(F.lower(F.replace(bare, F.lit(_NAME), F.lit(""))), " ")
 
 
 def _joints(values: Column) -> Column:
@@ -74,35 +88,24 @@ def _joints(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit("\u0001"), F.lit(""))))
 
 
-def _windows(words: Column, widths: list[int]) -> Column:
-    """Array of (h, at, w): hash, place and width of all windows of ``widths`` words.
+def _hashes(words: Column, width: int, plain: bool) -> Column:
+    """Hashes of all windows of ``width`` words, in their order; each word is hashed once. Null where there is none."""
+    kind = F.lit(width if plain else -width)
 
-    Hashes of windows double in width, so that a word is read once; a width between
-    two powers is two windows that overlap.
-    """
+    def windows(h: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(h) - width)
+        return F.when(F.size(h) >= width, F.transform(places, lambda i: F.xxhash64(kind, *[F.get(h, i + k) for k in range(width)])))
 
-    def joined(h: Column, step: int, made) -> Column:
-        return F.when(F.size(h) > step, F.transform(F.sequence(F.lit(0), F.size(h) - 1 - step), made))
+    return let(F.transform(words, lambda x: F.xxhash64(x)), windows)
 
-    def of_width(h: Column, p: int, w: int) -> Column:
-        made = joined(
-            h, w - p, lambda i: F.struct(F.xxhash64(F.lit(w), F.get(h, i), F.get(h, i + w - p)).alias("h"), i.alias("at"), F.lit(w).alias("w"))
-        )
-        return F.coalesce(made, F.array().cast("array<struct<h:bigint,at:int,w:int>>"))
 
-    def level(h: Column, p: int) -> Column:
-        found = [of_width(h, p, w) for w in widths if p <= w < 2 * p]
-        if max(widths) >= 2 * p:
-            double = F.coalesce(joined(h, p, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + p))), F.array().cast("array<bigint>"))
-            found.append(let(double, lambda g: level(g, 2 * p)))
-        return F.concat(F.array().cast("array<struct<h:bigint,at:int,w:int>>"), *found)
-
-    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: level(h, 1))
+def _sought(words: Column, width: int, plain: bool) -> Column:
+    return let(words, lambda x: _hashes(x, width, plain))
 
 
 def _ends(text: Column) -> Column:
     """Of each plain word, whether a sentence or line ends with it."""
-    ended = F.regexp_replace(F.translate(text, "\u0001\u0003", " "), r"[.!?:;]+[\"'’”)\]]*(?=\s|\z)|[\r\n]+", "\u0003 ")
+    ended = F.regexp_replace(F.translate(text, _JOINT + _NAME + _END, ""), r"[.!?:;]+[\"'’”)\]]*(?=\s|\z)|[\r\n]+", "\u0003 ")
     bare = F.regexp_replace(ended, r"[^\p{L}\p{M}\p{N}\s\u0003]+", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"[\s\u0003]*\u0003[\s\u0003]*", "\u0003 "), r"\A[\s\u0003]+|\s+\z", "")
     return F.transform(F.split(F.regexp_replace(bare, r"\s+", " "), " "), lambda x: x.endswith("\u0003"))
@@ -119,7 +122,7 @@ def find_contamination(
 ) -> DataFrame:
     """doc, item, covered and item_words, and whether slots were filled anew, of every hit."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    template, values, plain = _tokens(F.col("t"))
+    (template, values), plain = _template(F.col("t")), _plain(F.col("t"))
     items = benchmark.select(F.col(item).alias("item"), text_of(item_text).alias("t")).select(
         "item", template.alias("it"), values.alias("iv"), plain.alias("ip"), F.btrim("t").rlike(r"^\p{Lu}\p{L}").alias("capital")
     )
@@ -132,14 +135,16 @@ def find_contamination(
     filled = [w for w in widths if w >= cfg.least]
 
     def grams_of(rows: DataFrame, words: str, of: str, ws: list[int]) -> DataFrame:
-        made = rows.select("item", F.col(words).alias("words"), F.col(of).alias("of"), "ip", F.explode(let(F.col(words), lambda x: _windows(x, ws))).alias("g"))
+        by_width = [F.struct(F.lit(w).alias("w"), _hashes(F.col(words), w, words == "ip").alias("hs")) for w in ws]
+        made = rows.select("item", F.col(words).alias("words"), F.col(of).alias("of"), "ip", F.explode(F.array(*by_width)).alias("g"))
         made = made.filter(F.col("g.w") == F.least(F.lit(cfg.width), F.size("words")))
-        lo = F.col("g.at") + _joints(F.slice("of", 1, F.col("g.at")))
-        inside = F.slice("of", F.col("g.at") + 1, F.col("g.w"))
+        made = made.select("item", "words", "of", "ip", F.col("g.w").alias("w"), F.posexplode("g.hs").alias("at", "h"))
+        lo = F.col("at") + _joints(F.slice("of", 1, F.col("at")))
+        inside = F.slice("of", F.col("at") + 1, F.col("w"))
         return made.select(
-            F.col("g.h").alias("ih"), "item", F.col("g.at").alias("iat"), F.col("g.w").alias("w"), F.size("ip").alias("item_words"),
-            lo.alias("lo"), (lo + F.col("g.w") + _joints(inside)).alias("hi"),
-            F.slice("words", F.col("g.at") + 1, F.col("g.w")).alias("iw"), inside.alias("ivw"), F.lit(words == "ip").alias("plain"),
+            F.col("h").alias("ih"), "item", F.col("at").alias("iat"), "w", F.size("ip").alias("item_words"),
+            lo.alias("lo"), (lo + F.col("w") + _joints(inside)).alias("hi"),
+            F.slice("words", F.col("at") + 1, F.col("w")).alias("iw"), inside.alias("ivw"), F.lit(words == "ip").alias("plain"),
         )
 
     grams = grams_of(items, "ip", "ip", widths)
@@ -161,16 +166,12 @@ def find_contamination(
     # Saved, so that the planner knows its size: broadcast under the session's threshold, else merged.
     grams = scratch.save(grams, "grams")
     looked = docs.select(row_key(key, text).alias("doc"), F.col(key).alias("id"), text_of(text).alias("t"))
-    windows = looked.select("doc", template.alias("dt"), plain.alias("dp")).select(
-        "doc",
-        let(F.col("dp"), lambda x: _windows(x, widths)).alias("gs"),
-        (let(F.col("dt"), lambda x: _windows(x, filled)) if filled else F.array().cast("array<struct<h:bigint,at:int,w:int>>")).alias("ts"),
-    )
+    # Windows with a slot differ from plain ones; texts without any are not made into templates.
+    found = [_sought(plain, w, True) for w in widths]
+    found += [F.when(_slotted(F.col("t")), _sought(template, w, False)) for w in filled]
     # Only ids, places and hashes meet the benchmark; the words follow for the documents that were hit.
-    both = F.array(F.struct(F.lit(True).alias("plain"), F.col("gs")), F.struct(F.lit(False).alias("plain"), F.col("ts").alias("gs")))
-    met = windows.select("doc", F.explode(both).alias("b")).select("doc", F.col("b.plain").alias("dplain"), F.explode("b.gs").alias("g"))
-    met = met.select("doc", "dplain", F.col("g.h").alias("h"), F.col("g.at").alias("at"))
-    met = scratch.save(met.join(grams, (F.col("h") == F.col("ih")) & (F.col("dplain") == F.col("plain"))).drop("dplain"), "met")
+    met = looked.select("doc", F.explode(F.array(*found)).alias("hs")).select("doc", F.posexplode("hs").alias("at", "h"))
+    met = scratch.save(met.join(grams, F.col("h") == F.col("ih")), "met")
     hit_docs = scratch.save(met.select(F.col("doc").alias("hit")).distinct(), "hit-docs")
     words = looked.join(hit_docs, F.col("doc") == F.col("hit"), "left_semi").select(
         F.col("doc").alias("of"), "id", template.alias("dt"), values.alias("dv"), plain.alias("dp"), _ends(F.col("t")).alias("de")
