@@ -1,7 +1,7 @@
 """Language-model scoring with a Katz backoff bigram model.
 
-P(w | v) is the Good-Turing discounted share of a bigram that was seen at least
-``min_count`` times after v, else alpha(v) P(w); P(w) is the discounted share of a
+P(w | v) is the Good-Turing discounted share of a bigram that was seen after v, once
+or more often (``min_count``), else alpha(v) P(w); P(w) is the discounted share of a
 word that was seen, else the mass that the discounts leave. alpha(v) is
 (1 - sum of the seen bigrams' shares) / (1 - sum of their words' P), so every
 distribution sums to 1 exactly. Where discounts leave nothing, the total is one more.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,19 +38,50 @@ from strideline.sources.scratch import Scratch
 #: Hashes of the end token and of the context before the first word.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 HOT_CONTEXTS = 10_000
-BLOCK_CHARS = 6 << 20
+BLOCK_CHARS = 4 << 20
 PARTITION_BYTES = 8 << 20
 #: Counts up to this are discounted.
 TOP = 5
 
 
 def _thin(a: np.ndarray) -> bytes:
-    """uint32 values byte plane by byte plane: the upper ones are mostly zero and pack well."""
-    return a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Whole numbers byte plane by byte plane after their width: the upper planes are mostly zero and pack well."""
+    width = 8 if len(a) and int(a.max()) >= 2**32 else 4
+    return bytes([width]) + a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def _thick(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    planes = np.frombuffer(b, np.uint8)
+    width = int(planes[0])
+    return np.ascontiguousarray(planes[1:].reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
+def _packed(nums: np.ndarray) -> bytes:
+    """Sums of contexts, a row each: whole numbers thinly, the last column as it is."""
+    return _thin(nums[:, :-1].T.ravel()) + nums[:, -1].astype("<f8").tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    n = (len(b) - 1) // (b[0] * (TOP + 2) + 8)
+    out = np.empty((n, TOP + 3))
+    out[:, :-1] = _thick(b[: len(b) - 8 * n]).reshape(TOP + 2, n).T
+    out[:, -1] = np.frombuffer(b[len(b) - 8 * n :], "<f8")
+    return out
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of Arrow batches one at a time; binary values are views of the batch."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {}
+            for name, column in zip(batch.schema.names, batch.columns, strict=True):
+                value = column[i]
+                row[name] = value.as_buffer() if pa.types.is_binary(column.type) and value.is_valid else value.as_py()
+            yield row
+
+
+def _batch(columns: dict[str, tuple[pa.DataType, list]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for t, v in columns.values()], names=[*columns])
 
 
 def discounts(n: list[float]) -> np.ndarray:
@@ -100,9 +131,7 @@ def _blocks(docs: DataFrame, key: str, text: str, held_out: Column) -> DataFrame
     rows = docs.select(F.col(key).alias("k"), held_out.alias("h"), text_of(text).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
 
-    def work(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
             at = 0
@@ -150,39 +179,43 @@ def _part(h: np.ndarray, bits: int) -> np.ndarray:
 def _unigram_table(table: DataFrame, bits: int) -> DataFrame:
     """block, part, c: totals of the block's words in the part; and by part the sums in nums."""
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for block, words, counts in zip(pdf["block"], pdf["words"], pdf["counts"], strict=True):
-                w, c = np.frombuffer(words, np.uint64), _thick(counts)
-                part = _part(w, bits)
-                cut = np.flatnonzero(np.diff(part, prepend=-1))
-                yield pd.DataFrame(
-                    {
-                        "part": part[cut],
-                        "block": block,
-                        "words": [x.tobytes() for x in np.split(w, cut[1:])],
-                        "counts": [_thin(x) for x in np.split(c, cut[1:])],
-                    }
-                )
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = [np.frombuffer(x, np.uint64) for x in pdf["words"]]
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            w, c = np.frombuffer(row["words"], np.uint64), _thick(row["counts"])
+            part = _part(w, bits)
+            cut = np.flatnonzero(np.diff(part, prepend=-1))
+            yield _batch(
+                {
+                    "part": (pa.int32(), part[cut]),
+                    "block": (pa.int64(), [row["block"]] * len(cut)),
+                    "words": (pa.binary(), [x.tobytes() for x in np.split(w, cut[1:])] if len(cut) else []),
+                    "counts": (pa.binary(), [_thin(x) for x in np.split(c, cut[1:])] if len(cut) else []),
+                }
+            )
+
+    def add(group: pa.Table) -> pa.Table:
+        rows = list(_each(group.to_batches()))
+        w = [np.frombuffer(r["words"], np.uint64) for r in rows]
         distinct, at = np.unique(np.concatenate(w), return_inverse=True)
-        total = np.bincount(at, np.concatenate([_thick(x) for x in pdf["counts"]]), minlength=len(distinct)).astype(np.int64)
+        total = np.bincount(at, np.concatenate([_thick(r["counts"]) for r in rows]), minlength=len(distinct)).astype(np.int64)
         answers = np.split(total[at], np.cumsum([len(x) for x in w])[:-1])
         seen = total[total > 0]
         nums = [float(len(seen)), float(seen.sum()), *_counts_of_counts(seen)]
-        return pd.DataFrame(
-            {
-                "block": [*pdf["block"], -1],
-                "part": int(pdf["part"].iloc[0]),
-                "c": [*(_thin(x) for x in answers), None],
-                "nums": [*([None] * len(pdf)), nums],
-            }
+        return pa.Table.from_batches(
+            [
+                _batch(
+                    {
+                        "block": (pa.int64(), [*[r["block"] for r in rows], -1]),
+                        "part": (pa.int32(), [rows[0]["part"]] * (len(rows) + 1)),
+                        "c": (pa.binary(), [*(_thin(x) for x in answers), None]),
+                        "nums": (pa.list_(pa.float64()), [*([None] * len(rows)), nums]),
+                    }
+                )
+            ]
         )
 
-    sent = table.select("block", "words", "counts").mapInPandas(send, "part int, block bigint, words binary, counts binary")
-    return sent.groupBy("part").applyInPandas(add, "block bigint, part int, c binary, nums array<double>")
+    sent = table.select("block", "words", "counts").mapInArrow(send, "part int, block bigint, words binary, counts binary")
+    return sent.groupBy("part").applyInArrow(add, "block bigint, part int, c binary, nums array<double>")
 
 
 def _sums(df: DataFrame, size: int) -> list[float]:
@@ -227,37 +260,39 @@ def _runs(v: np.ndarray) -> np.ndarray:
 def _bigram_table(table: DataFrame, uni: Unigrams, hot_least: int, bits: int, min_count: int) -> DataFrame:
     """Answers by block and part: c, and ctx by context; kind 1 rows: sums of hot contexts; kind 2: counts of counts."""
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                b = BlockBigrams(row, hot_least, bits)
-                n = np.bincount(b.of[b.learned], minlength=len(b.part))
-                out = []
-                for s in b.parts():
-                    run = _runs(b.v[s])
-                    out.append(
-                        (
-                            int(b.part[s.start]), row["block"], b.v[s][run].tobytes(), _thin(np.diff([*run, s.stop - s.start])),
-                            b.hot[s][run].tobytes(), b.words[b.w[s]].tobytes(), _thin(b.c1[b.w[s]]), _thin(n[s]),
-                        )
-                    )
-                yield pd.DataFrame(out, columns=["part", "block", "v", "run", "hot", "w", "c1", "n"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = [_thick(x).astype(np.int64) for x in pdf["run"]]
-        vs = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["v"]])
-        hot_run = np.concatenate([np.frombuffer(x, bool) for x in pdf["hot"]])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            b = BlockBigrams(row, hot_least, bits)
+            n = np.bincount(b.of[b.learned], minlength=len(b.part))
+            out: dict[str, list] = {k: [] for k in ("part", "v", "run", "hot", "w", "c1", "n")}
+            for s in b.parts():
+                run = _runs(b.v[s])
+                out["part"].append(int(b.part[s.start]))
+                out["v"].append(b.v[s][run].tobytes())
+                out["run"].append(_thin(np.diff([*run, s.stop - s.start])))
+                out["hot"].append(b.hot[s][run].tobytes())
+                out["w"].append(b.words[b.w[s]].tobytes())
+                out["c1"].append(_thin(b.c1[b.w[s]]))
+                out["n"].append(_thin(n[s]))
+            kinds = {k: (pa.int32() if k == "part" else pa.binary(), v) for k, v in out.items()}
+            yield _batch({"part": kinds.pop("part"), "block": (pa.int64(), [row["block"]] * len(out["part"])), **kinds})
+
+    def add(group: pa.Table) -> pa.Table:
+        rows = list(_each(group.to_batches()))
+        runs = [_thick(r["run"]).astype(np.int64) for r in rows]
+        vs = np.concatenate([np.frombuffer(r["v"], np.uint64) for r in rows])
+        hot_run = np.concatenate([np.frombuffer(r["hot"], bool) for r in rows])
         contexts, v_of = np.unique(vs, return_inverse=True)
         is_hot = np.zeros(len(contexts), bool)
         is_hot[v_of] = hot_run
         v = np.repeat(v_of, np.concatenate(runs))
-        w = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["w"]])
+        w = np.concatenate([np.frombuffer(r["w"], np.uint64) for r in rows])
         order = np.lexsort((w, v))
         new = np.concatenate([[True], (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])])
         first = np.flatnonzero(new)
-        n = np.concatenate([_thick(x) for x in pdf["n"]]).astype(np.int64)
+        n = np.concatenate([_thick(r["n"]) for r in rows]).astype(np.int64)
         c = np.add.reduceat(n[order], first)
-        p1 = uni.p(np.concatenate([_thick(x) for x in pdf["c1"]]).astype(np.int64)[order][first])
+        p1 = uni.p(np.concatenate([_thick(r["c1"]) for r in rows]).astype(np.int64)[order][first])
         cv = v[order][first]
         total = np.empty_like(v)
         total[order] = c[np.cumsum(new) - 1]
@@ -270,23 +305,27 @@ def _bigram_table(table: DataFrame, uni: Unigrams, hot_least: int, bits: int, mi
         lens = np.cumsum([r.sum() for r in runs])
         ctx = np.split(nums[v_of], np.cumsum([len(r) for r in runs])[:-1])
         hots = np.flatnonzero(is_hot)
-        k = len(pdf)
-        return pd.DataFrame(
-            {
-                "kind": [0] * k + [1] * len(hots) + [2],
-                "block": [*pdf["block"], *[-1] * (len(hots) + 1)],
-                "part": int(pdf["part"].iloc[0]),
-                "c": [*(_thin(x) for x in np.split(total, lens[:-1])), *[None] * (len(hots) + 1)],
-                "ctx": [*(np.ascontiguousarray(x.T).tobytes() for x in ctx), *[None] * (len(hots) + 1)],
-                "v": [*[0] * k, *contexts[hots].view(np.int64), 0],
-                "nums": [*[None] * k, *nums[hots].tolist(), _counts_of_counts(c[c > 0])],
-            }
+        k, none = len(rows), [None] * (len(hots) + 1)
+        return pa.Table.from_batches(
+            [
+                _batch(
+                    {
+                        "kind": (pa.int32(), [0] * k + [1] * len(hots) + [2]),
+                        "block": (pa.int64(), [*[r["block"] for r in rows], *[-1] * (len(hots) + 1)]),
+                        "part": (pa.int32(), [rows[0]["part"]] * (k + len(hots) + 1)),
+                        "c": (pa.binary(), [*(_thin(x) for x in np.split(total, lens[:-1])), *none]),
+                        "ctx": (pa.binary(), [*map(_packed, ctx), *none]),
+                        "v": (pa.int64(), [*[0] * k, *contexts[hots].view(np.int64).tolist(), 0]),
+                        "nums": (pa.list_(pa.float64()), [*[None] * k, *nums[hots].tolist(), _counts_of_counts(c[c > 0])]),
+                    }
+                )
+            ]
         )
 
-    sent = table.select("block", "words", "tokens", "c1", "ends", "held").mapInPandas(
+    sent = table.select("block", "words", "tokens", "c1", "ends", "held").mapInArrow(
         send, "part int, block bigint, v binary, run binary, hot binary, w binary, c1 binary, n binary"
     )
-    return sent.groupBy("part").applyInPandas(
+    return sent.groupBy("part").applyInArrow(
         add, "kind int, block bigint, part int, c binary, ctx binary, v bigint, nums array<double>"
     )
 
@@ -305,7 +344,7 @@ def bigram_logs(
 
 
 def score(
-    docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", min_count: int = 2
+    docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", min_count: int = 1
 ) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
@@ -317,15 +356,16 @@ def score(
     uni = unigrams_of(int(tokens), int(distinct), n)
     by_block = answers.filter("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "c"))).alias("got"))
 
-    def with_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["c1"] = [_thin(np.concatenate([_thick(x["c"]) for x in got])) for got in pdf["got"]]
-            yield pdf[["block", "keys", "held", "ends", "words", "tokens", "c1"]]
+    def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c1 = [_thin(np.concatenate([_thick(x["c"]) for x in got.as_py()])) for got in batch.column("got")]
+            names = ["block", "keys", "held", "ends", "words", "tokens"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(c1, pa.binary())], names=[*names, "c1"])
 
     kind = table.schema["keys"].dataType.simpleString()
     schema = f"block bigint, keys {kind}, held array<boolean>, ends binary, words binary, tokens binary, c1 binary"
     joined = table.drop("counts").join(by_block.withColumnRenamed("block", "of"), F.col("block") == F.col("of")).drop("of")
-    known = scratch.save(joined.mapInPandas(with_counts, schema), "known")
+    known = scratch.save(joined.mapInArrow(with_counts, schema), "known")
     scratch.drop("blocks", "unigrams")
 
     bits = _bits((sizes["t"] or 0) * 3)
@@ -341,38 +381,38 @@ def score(
         )
     )
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_v, hot_nums = sent.value
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
+        for batch in batches:
+            for i, row in enumerate(_each([batch])):
                 b = BlockBigrams(row, hot_least, bits)
                 c = np.concatenate([_thick(x["c"]) for x in row["got"]]).astype(np.int64)
                 ctx = np.empty((len(c), TOP + 3))
                 for s, x in zip(b.parts(), row["got"], strict=True):
-                    run = _runs(b.v[s])
-                    own = np.frombuffer(x["ctx"], float).reshape(TOP + 3, -1).T
-                    ctx[s] = np.repeat(own, np.diff([*run, s.stop - s.start]), axis=0)
+                    ctx[s] = np.repeat(_unpacked(x["ctx"]), np.diff([*_runs(b.v[s]), s.stop - s.start]), axis=0)
                 if b.hot.any():
                     ctx[b.hot] = hot_nums[np.searchsorted(hot_v, b.v[b.hot])]
                 logs = bigram_logs(b, c, ctx, uni, factors, min_count)[b.of]
                 first = np.concatenate([[0], b.ends[:-1]])
                 c1 = b.c1[b.token]
-                yield pd.DataFrame(
-                    {
-                        "k": row["keys"],
-                        "held_out": row["held"],
-                        "n_tokens": b.ends - first,
-                        "n_known": np.add.reduceat((c1 > 0).astype(np.int64), first),
-                        "train_tokens": uni.tokens,
-                        "base_score": np.add.reduceat(uni.base(c1), first),
-                        "score": np.add.reduceat(logs, first),
-                    }
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("keys")[i].values,
+                        pa.array(row["held"], pa.bool_()),
+                        pa.array(b.ends - first, pa.int64()),
+                        pa.array(np.add.reduceat((c1 > 0).astype(np.int64), first)),
+                        pa.array(np.full(len(first), uni.tokens, np.int64)),
+                        pa.array(np.add.reduceat(uni.base(c1), first)),
+                        pa.array(np.add.reduceat(logs, first)),
+                    ],
+                    names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                del b, c, ctx, logs, c1
 
     got = pairs.filter("kind = 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "c", "ctx"))).alias("got"))
     rows = known.join(got.withColumnRenamed("block", "of"), F.col("block") == F.col("of")).drop("of")
     element = known.schema["keys"].dataType.elementType.simpleString()
-    out = rows.mapInPandas(
+    out = rows.mapInArrow(
         finish,
         f"k {element}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )

@@ -192,10 +192,10 @@ def _katz(train, asked):
         if v not in after:
             return p1(w)
         f = after[v]
-        t, seen = sum(f.values()), sum(d(d2, c) * c for c in f.values() if c >= 2)
+        t, seen = sum(f.values()), sum(d(d2, c) * c for c in f.values())
         t = t if seen < t - 1e-9 else t + 1
         c = f.get(w, 0)
-        return d(d2, c) * c / t if c >= 2 else (1 - seen / t) / (1 - sum(p1(x) for x, c in f.items() if c >= 2)) * p1(w)
+        return d(d2, c) * c / t if c else (1 - seen / t) / (1 - sum(map(p1, f))) * p1(w)
 
     for v in list(after)[:20]:
         assert abs(sum(p(v, w) for w in c1) + p(v, ("unseen",)) - 1) < 1e-9  # exactly normalised
