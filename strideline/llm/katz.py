@@ -11,6 +11,7 @@ sorted dictionary of 64-bit word hashes. For each of two tables, unigrams and
 bigrams, every block sends its distinct entries with their training counts to the
 table's partitions (by hash range), the partition adds them up, and answers the
 block's entries with totals and sums over contexts; the block looks up per token.
+Unigrams also number the words, so that bigrams travel in a few bytes.
 A frequent entry is one row a block, whatever its count. Followers of contexts with
 at least N / HOT_CONTEXTS tokens are dealt by bigram; those contexts, at most
 HOT_CONTEXTS + 1 of them, are added up and broadcast.
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,37 +37,39 @@ from strideline.llm.columns import text_of
 from strideline.llm.hashing import blocks, mixed, word_hashes
 from strideline.sources.scratch import Scratch
 
-#: Hashes of the end token and of the context before the first word.
-END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Hash of the end token; number of the context before the first word.
+END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0)
 HOT_CONTEXTS = 10_000
-BLOCK_CHARS = 4 << 20
-PARTITION_BYTES = 8 << 20
+BLOCK_CHARS = 3 << 20
+PARTITION_BYTES = 4 << 20
 #: Counts up to this are discounted.
 TOP = 5
 
 
 def _thin(a: np.ndarray) -> bytes:
-    """Whole numbers byte plane by byte plane after their width: the upper planes are mostly zero and pack well."""
+    """Whole numbers byte plane by byte plane after their width, packed: the upper planes are mostly zero."""
     width = 8 if len(a) and int(a.max()) >= 2**32 else 4
-    return bytes([width]) + a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return zstandard.compress(bytes([width]) + a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
 
 
 def _thick(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8)
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8)
     width = int(planes[0])
     return np.ascontiguousarray(planes[1:].reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def _packed(nums: np.ndarray) -> bytes:
-    """Sums of contexts, a row each: whole numbers thinly, the last column as it is."""
-    return _thin(nums[:, :-1].T.ravel()) + nums[:, -1].astype("<f8").tobytes()
+    """Sums of contexts but their tokens, a row each: whole numbers thinly, the last column as it is."""
+    floats = nums[:, -1].astype("<f8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(nums).to_bytes(8, "little") + zstandard.compress(floats, 1) + _thin(nums[:, 1:-1].T.ravel())
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    n = (len(b) - 1) // (b[0] * (TOP + 2) + 8)
-    out = np.empty((n, TOP + 3))
-    out[:, :-1] = _thick(b[: len(b) - 8 * n]).reshape(TOP + 2, n).T
-    out[:, -1] = np.frombuffer(b[len(b) - 8 * n :], "<f8")
+    n = int.from_bytes(b[:8], "little")
+    out = np.empty((n, TOP + 2))
+    floats = zstandard.ZstdDecompressor().decompressobj()
+    out[:, -1] = np.ascontiguousarray(np.frombuffer(floats.decompress(b[8:]), np.uint8).reshape(8, n).T).view("<f8").ravel()
+    out[:, :-1] = _thick(floats.unused_data).reshape(TOP + 1, n).T
     return out
 
 
@@ -177,7 +181,7 @@ def _part(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _unigram_table(table: DataFrame, bits: int) -> DataFrame:
-    """block, part, c: totals of the block's words in the part; and by part the sums in nums."""
+    """block, part, c, at: totals of the block's words in the part and their numbers in it; and by part the sums in nums."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
@@ -198,7 +202,8 @@ def _unigram_table(table: DataFrame, bits: int) -> DataFrame:
         w = [np.frombuffer(r["words"], np.uint64) for r in rows]
         distinct, at = np.unique(np.concatenate(w), return_inverse=True)
         total = np.bincount(at, np.concatenate([_thick(r["counts"]) for r in rows]), minlength=len(distinct)).astype(np.int64)
-        answers = np.split(total[at], np.cumsum([len(x) for x in w])[:-1])
+        ends = np.cumsum([len(x) for x in w])[:-1]
+        answers, places = np.split(total[at], ends), np.split(at, ends)
         seen = total[total > 0]
         nums = [float(len(seen)), float(seen.sum()), *_counts_of_counts(seen)]
         return pa.Table.from_batches(
@@ -208,6 +213,7 @@ def _unigram_table(table: DataFrame, bits: int) -> DataFrame:
                         "block": (pa.int64(), [*[r["block"] for r in rows], -1]),
                         "part": (pa.int32(), [rows[0]["part"]] * (len(rows) + 1)),
                         "c": (pa.binary(), [*(_thin(x) for x in answers), None]),
+                        "at": (pa.binary(), [*(_thin(x) for x in places), None]),
                         "nums": (pa.list_(pa.float64()), [*([None] * len(rows)), nums]),
                     }
                 )
@@ -215,7 +221,7 @@ def _unigram_table(table: DataFrame, bits: int) -> DataFrame:
         )
 
     sent = table.select("block", "words", "counts").mapInArrow(send, "part int, block bigint, words binary, counts binary")
-    return sent.groupBy("part").applyInArrow(add, "block bigint, part int, c binary, nums array<double>")
+    return sent.groupBy("part").applyInArrow(add, "block bigint, part int, c binary, at binary, nums array<double>")
 
 
 def _sums(df: DataFrame, size: int) -> list[float]:
@@ -228,33 +234,47 @@ class BlockBigrams:
     """The distinct bigrams of a block, in the order in which they are sent."""
 
     def __init__(self, row, hot_least: int, bits: int):
-        self.words = np.frombuffer(row["words"], np.uint64)
+        self.ids = _thick(row["ids"]).astype(np.uint64)
         self.c1 = _thick(row["c1"]).astype(np.int64)
         token = _thick(row["tokens"]).astype(np.int64)
         self.ends = np.frombuffer(row["ends"], "<i8")
         self.learned = np.repeat(~np.asarray(row["held"], bool), np.diff(self.ends, prepend=0))
-        begin = len(self.words)
+        begin = len(self.ids)
         before = np.empty_like(token)
         before[1:] = token[:-1]
         before[np.concatenate([[0], self.ends[:-1]])] = begin
         pair, of = np.unique((before.astype(np.uint64) << np.uint64(32)) | token.astype(np.uint64), return_inverse=True)
         v, w = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        hash_v = np.append(self.words, BEGIN)[v]
+        id_v = np.append(self.ids, BEGIN)[v]
         hot = np.append(self.c1 >= hot_least, True)[v]
-        part = _part(np.where(hot, mixed(hash_v + mixed(self.words[w])), mixed(hash_v)), bits)
+        part = _part(np.where(hot, mixed(id_v + mixed(self.ids[w])), mixed(id_v)), bits)
         order = np.argsort(part, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         self.of, self.token = rank[of], token
-        self.v, self.w, self.hash_v, self.hot, self.part = hash_v[order], w[order], hash_v[order], hot[order], part[order]
+        self.v, self.w, self.hot, self.part = id_v[order], w[order], hot[order], part[order]
+        self.n = np.bincount(self.of[self.learned], minlength=len(pair))
+        # Contexts by runs of one part. Where all training tokens of a context are in this block, it needs no answer.
+        self.run = np.flatnonzero(np.concatenate([[True], (self.v[1:] != self.v[:-1]) | (self.part[1:] != self.part[:-1])]))
+        self.tokens = np.append(self.c1, -1)[v][order][self.run]
+        self.own = ~self.hot[self.run] & (np.add.reduceat(self.n, self.run) == self.tokens)
 
     def parts(self) -> list[slice]:
         cut = np.flatnonzero(np.diff(self.part, prepend=-1))
         return [slice(a, b) for a, b in zip(cut, [*cut[1:], len(self.part)], strict=True)]
 
 
-def _runs(v: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    def runs_of(self, s: slice) -> slice:
+        return slice(*np.searchsorted(self.run, [s.start, s.stop]))
+
+
+def context_sums(of: np.ndarray, c: np.ndarray, p1: np.ndarray, size: int, min_count: int) -> np.ndarray:
+    """By context: tokens, followers seen 1 to TOP times, tokens of the others, and the sum of the seen followers' P."""
+    kept = c >= min_count
+    out = [np.bincount(of, c, minlength=size)]
+    out += [np.bincount(of, kept & (c == r), minlength=size) for r in range(1, TOP + 1)]
+    out += [np.bincount(of, np.where(kept & (c > TOP), c, 0), minlength=size), np.bincount(of, np.where(kept, p1, 0.0), minlength=size)]
+    return np.stack(out, axis=1)
 
 
 def _bigram_table(table: DataFrame, uni: Unigrams, hot_least: int, bits: int, min_count: int) -> DataFrame:
@@ -263,30 +283,30 @@ def _bigram_table(table: DataFrame, uni: Unigrams, hot_least: int, bits: int, mi
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             b = BlockBigrams(row, hot_least, bits)
-            n = np.bincount(b.of[b.learned], minlength=len(b.part))
-            out: dict[str, list] = {k: [] for k in ("part", "v", "run", "hot", "w", "c1", "n")}
+            out: dict[str, list] = {k: [] for k in ("part", "v", "run", "kind", "w", "c1", "n")}
             for s in b.parts():
-                run = _runs(b.v[s])
+                r = b.runs_of(s)
+                run = b.run[r]
                 out["part"].append(int(b.part[s.start]))
-                out["v"].append(b.v[s][run].tobytes())
-                out["run"].append(_thin(np.diff([*run, s.stop - s.start])))
-                out["hot"].append(b.hot[s][run].tobytes())
-                out["w"].append(b.words[b.w[s]].tobytes())
+                out["v"].append(_thin(b.v[run]))
+                out["run"].append(_thin(np.diff(run, append=s.stop)))
+                out["kind"].append((b.hot[run] + 2 * b.own[r]).astype(np.uint8).tobytes())
+                out["w"].append(_thin(b.ids[b.w[s]]))
                 out["c1"].append(_thin(b.c1[b.w[s]]))
-                out["n"].append(_thin(n[s]))
+                out["n"].append(_thin(b.n[s]))
             kinds = {k: (pa.int32() if k == "part" else pa.binary(), v) for k, v in out.items()}
             yield _batch({"part": kinds.pop("part"), "block": (pa.int64(), [row["block"]] * len(out["part"])), **kinds})
 
     def add(group: pa.Table) -> pa.Table:
         rows = list(_each(group.to_batches()))
         runs = [_thick(r["run"]).astype(np.int64) for r in rows]
-        vs = np.concatenate([np.frombuffer(r["v"], np.uint64) for r in rows])
-        hot_run = np.concatenate([np.frombuffer(r["hot"], bool) for r in rows])
+        vs = np.concatenate([_thick(r["v"]).astype(np.int64) for r in rows])
+        kind = np.concatenate([np.frombuffer(r["kind"], np.uint8) for r in rows])
         contexts, v_of = np.unique(vs, return_inverse=True)
         is_hot = np.zeros(len(contexts), bool)
-        is_hot[v_of] = hot_run
+        is_hot[v_of] = kind == 1
         v = np.repeat(v_of, np.concatenate(runs))
-        w = np.concatenate([np.frombuffer(r["w"], np.uint64) for r in rows])
+        w = np.concatenate([_thick(r["w"]).astype(np.int64) for r in rows])
         order = np.lexsort((w, v))
         new = np.concatenate([[True], (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])])
         first = np.flatnonzero(new)
@@ -296,14 +316,10 @@ def _bigram_table(table: DataFrame, uni: Unigrams, hot_least: int, bits: int, mi
         cv = v[order][first]
         total = np.empty_like(v)
         total[order] = c[np.cumsum(new) - 1]
-        kept = c >= min_count
-        size = len(contexts)
-        nums = [np.bincount(cv, c, minlength=size)]
-        nums += [np.bincount(cv, kept & (c == r), minlength=size) for r in range(1, TOP + 1)]
-        nums += [np.bincount(cv, np.where(kept & (c > TOP), c, 0), minlength=size), np.bincount(cv, np.where(kept, p1, 0.0), minlength=size)]
-        nums = np.stack(nums, axis=1)
+        nums = context_sums(cv, c, p1, len(contexts), min_count)
         lens = np.cumsum([r.sum() for r in runs])
-        ctx = np.split(nums[v_of], np.cumsum([len(r) for r in runs])[:-1])
+        cut = np.cumsum([len(r) for r in runs])[:-1]
+        ctx = [nums[x[k == 0]] for x, k in zip(np.split(v_of, cut), np.split(kind, cut), strict=True)]
         hots = np.flatnonzero(is_hot)
         k, none = len(rows), [None] * (len(hots) + 1)
         return pa.Table.from_batches(
@@ -315,15 +331,15 @@ def _bigram_table(table: DataFrame, uni: Unigrams, hot_least: int, bits: int, mi
                         "part": (pa.int32(), [rows[0]["part"]] * (k + len(hots) + 1)),
                         "c": (pa.binary(), [*(_thin(x) for x in np.split(total, lens[:-1])), *none]),
                         "ctx": (pa.binary(), [*map(_packed, ctx), *none]),
-                        "v": (pa.int64(), [*[0] * k, *contexts[hots].view(np.int64).tolist(), 0]),
+                        "v": (pa.int64(), [*[0] * k, *contexts[hots].tolist(), 0]),
                         "nums": (pa.list_(pa.float64()), [*[None] * k, *nums[hots].tolist(), _counts_of_counts(c[c > 0])]),
                     }
                 )
             ]
         )
 
-    sent = table.select("block", "words", "tokens", "c1", "ends", "held").mapInArrow(
-        send, "part int, block bigint, v binary, run binary, hot binary, w binary, c1 binary, n binary"
+    sent = table.select("block", "ids", "tokens", "c1", "ends", "held").mapInArrow(
+        send, "part int, block bigint, v binary, run binary, kind binary, w binary, c1 binary, n binary"
     )
     return sent.groupBy("part").applyInArrow(
         add, "kind int, block bigint, part int, c binary, ctx binary, v bigint, nums array<double>"
@@ -351,24 +367,31 @@ def score(
     scratch = Scratch(spark, "katz")
     table = scratch.save(_blocks(docs, key, text, F.coalesce(held_out, F.lit(False))), "blocks")
     sizes = table.agg(F.sum(F.length("words")).alias("w"), F.sum(F.length("tokens")).alias("t")).first()
-    answers = scratch.save(_unigram_table(table, _bits(sizes["w"] or 0)), "unigrams")
+    word_bits = _bits(sizes["w"] or 0)
+    answers = scratch.save(_unigram_table(table, word_bits), "unigrams")
     distinct, tokens, *n = _sums(answers.filter("block = -1"), TOP + 4)
     uni = unigrams_of(int(tokens), int(distinct), n)
-    by_block = answers.filter("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "c"))).alias("got"))
+    by_block = answers.filter("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "c", "at"))).alias("got"))
 
     def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words get numbers: their place in the part, then the part; 0 is kept for the context before the first word."""
         for batch in batches:
-            c1 = [_thin(np.concatenate([_thick(x["c"]) for x in got.as_py()])) for got in batch.column("got")]
-            names = ["block", "keys", "held", "ends", "words", "tokens"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(c1, pa.binary())], names=[*names, "c1"])
+            c1, ids = [], []
+            for got in batch.column("got"):
+                got = got.as_py()
+                c1.append(_thin(np.concatenate([_thick(x["c"]) for x in got])))
+                ids.append(_thin(np.concatenate([(_thick(x["at"]).astype(np.int64) << word_bits | x["part"]) + 1 for x in got])))
+            names = ["block", "keys", "held", "ends", "tokens"]
+            made = [pa.array(c1, pa.binary()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *made], names=[*names, "c1", "ids"])
 
     kind = table.schema["keys"].dataType.simpleString()
-    schema = f"block bigint, keys {kind}, held array<boolean>, ends binary, words binary, tokens binary, c1 binary"
-    joined = table.drop("counts").join(by_block.withColumnRenamed("block", "of"), F.col("block") == F.col("of")).drop("of")
+    schema = f"block bigint, keys {kind}, held array<boolean>, ends binary, tokens binary, c1 binary, ids binary"
+    joined = table.drop("counts", "words").join(by_block.withColumnRenamed("block", "of"), F.col("block") == F.col("of")).drop("of")
     known = scratch.save(joined.mapInArrow(with_counts, schema), "known")
     scratch.drop("blocks", "unigrams")
 
-    bits = _bits((sizes["t"] or 0) * 3)
+    bits = _bits((sizes["t"] or 0) * 6)
     hot_least = max(1, -(-int(tokens) // HOT_CONTEXTS))
     pairs = scratch.save(_bigram_table(known, uni, hot_least, bits, min_count), "bigrams")
     factors = discounts(_sums(pairs.filter("kind = 2"), TOP + 2))
@@ -376,8 +399,8 @@ def score(
     hot_rows = hot.collect()  # at most HOT_CONTEXTS + 1
     sent = spark.sparkContext.broadcast(
         (
-            np.array(sorted(np.uint64(r["v"] % 2**64) for r in hot_rows), np.uint64),
-            np.array([list(r)[1:] for r in sorted(hot_rows, key=lambda r: r["v"] % 2**64)], float).reshape(-1, TOP + 3),
+            np.array(sorted(r["v"] for r in hot_rows), np.uint64),
+            np.array([list(r)[1:] for r in sorted(hot_rows, key=lambda r: r["v"])], float).reshape(-1, TOP + 3),
         )
     )
 
@@ -387,11 +410,17 @@ def score(
             for i, row in enumerate(_each([batch])):
                 b = BlockBigrams(row, hot_least, bits)
                 c = np.concatenate([_thick(x["c"]) for x in row["got"]]).astype(np.int64)
-                ctx = np.empty((len(c), TOP + 3))
+                run_of = np.repeat(np.arange(len(b.run)), np.diff(b.run, append=len(c)))
+                ctx = context_sums(run_of, b.n, uni.p(b.c1[b.w]), len(b.run), min_count)
                 for s, x in zip(b.parts(), row["got"], strict=True):
-                    ctx[s] = np.repeat(_unpacked(x["ctx"]), np.diff([*_runs(b.v[s]), s.stop - s.start]), axis=0)
-                if b.hot.any():
-                    ctx[b.hot] = hot_nums[np.searchsorted(hot_v, b.v[b.hot])]
+                    r = b.runs_of(s)
+                    asked = np.arange(r.start, r.stop)[~b.own[r] & ~b.hot[b.run[r]]]
+                    ctx[asked, 1:] = _unpacked(x["ctx"])
+                    ctx[asked, 0] = b.tokens[asked]
+                hot = b.hot[b.run]
+                if hot.any():
+                    ctx[hot] = hot_nums[np.searchsorted(hot_v, b.v[b.run][hot])]
+                ctx = ctx[run_of]
                 logs = bigram_logs(b, c, ctx, uni, factors, min_count)[b.of]
                 first = np.concatenate([[0], b.ends[:-1]])
                 c1 = b.c1[b.token]
