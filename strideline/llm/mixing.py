@@ -3,40 +3,37 @@
 Every source is a queue of its documents in a shuffled order, repeated as often as
 its target allows. A document's virtual finish time is the source's tokens up to
 and with it, divided by the source's target; all documents are range-sorted by
-finish time and the mix ends where the tokens reach the total budget. The document
-that a source is sending at that moment is cut to the tokens sent by then.
+finish time and the mix is truncated where the tokens reach the total budget. So every
+source ends within a document of its target, and the last document taken may be cut.
 
 Targets: sources, by code point and null last, have the weights in turn and share
 the budget; a target stops at ``max_repeats`` times its source's size, and the
 excess is shared anew by weight until no target is above.
 
 Defined results: null text has size 0; a document of size 0 takes 0; equal ids are
-told apart by their text's md5, and rows alike in both are interchangeable; an empty
-table gives an empty result; a budget of 0 takes 0.
+told apart by their text's md5, and rows alike in both are interchangeable; equal
+finish times go by source, repeat, shuffled order; a very long text is counted whole;
+extra columns take no part; an empty table gives an empty result; a budget of 0 takes 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strideline.functions.ordering import global_running
 from strideline.llm.columns import WORD, text_of
 from strideline.sources.scratch import Scratch
 
-#: Rows of a source that one task orders.
-ROWS_A_BUCKET = 50_000
-
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int, scratch: Scratch) -> DataFrame:
-    """source, rank, source_size, target; ``sizes`` has source and size."""
+    """source, rank, source_size, source_start (sizes of earlier sources) and target; ``sizes`` has source and size."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = global_running(per, [F.col("source").isNull(), F.col("source")], scratch, "sources", position="rank")
+    ranked = global_running(per, [F.col("source").isNull(), F.col("source")], scratch, "sources", "source_size", "rank", "source_start")
     turn = (F.col("rank") - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
     ranked = scratch.save(
-        ranked.select("source", "rank", "source_size", weight.alias("weight")).withColumn(
+        ranked.select("source", "rank", "source_size", "source_start", weight.alias("weight")).withColumn(
             "most", F.col("source_size") * F.lit(float(max_repeats))
         ),
         "ranked",
@@ -57,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int,
             break
         level = new
     target = F.least(F.col("most"), F.col("weight") * F.lit(level))
-    return ranked.select("source", "rank", "source_size", target.alias("target"))
+    return ranked.select("source", "rank", "source_size", "source_start", target.alias("target"))
 
 
 def mix(
@@ -86,24 +83,9 @@ def mix(
     targets = scratch.save(source_targets(sized, weights, max_repeats, scratch), "targets")
     d = sized.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
-    # Tokens of the source before each document, in two steps: a source may hold a third of all rows.
-    n = sized.count()
-    buckets = max(1, -(-n // ROWS_A_BUCKET))
-    d = scratch.save(
-        d.withColumn("bucket", F.floor(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("double") * buckets / 2.0**32)),
-        "joined",
-    )
-    within = ["rank", "bucket"]
-    sums = d.groupBy(*within).agg(F.sum("size").alias("bucket_size"))
-    earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        *[F.col(x).alias(f"of_{x}") for x in within],
-        F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start"),
-    )
-    own = Window.partitionBy(*within).orderBy("shuffled", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(sums, (F.col("rank") == F.col("of_rank")) & (F.col("bucket") == F.col("of_bucket"))).withColumn(
-        "start", F.col("bucket_start") + F.coalesce(F.sum("size").over(own), F.lit(0))
-    )
+    # Tokens of the source before each document: one order over all sources, for a source may hold a third of all rows.
+    d = global_running(d, ["rank", "shuffled", "tie", "size"], scratch, "queues", total="size")
+    d = d.withColumn("start", F.col("before") - F.col("source_start")).drop("before", "position", "source_start")
     # One packet a document and repeat that can begin within the target.
     times = F.least(F.lit(max_repeats), F.greatest(F.lit(1), F.ceil(F.col("target") / F.greatest("source_size", F.lit(1)))))
     packets = d.withColumn("repeat", F.explode(F.sequence(F.lit(0), times.cast("int") - 1))).select(
@@ -113,16 +95,11 @@ def mix(
     packets = packets.withColumn(
         "finish", F.when(F.col("target") > 0, (F.col("sent") + F.col("size")) / F.col("target")).otherwise(F.lit(float("inf")))
     )
-    ordered = scratch.save(
-        global_running(packets, ["finish", "rank", "repeat", "shuffled", "tie"], scratch, "packets", total="size"), "ordered"
-    )
+    ordered = global_running(packets, ["finish", "rank", "repeat", "shuffled", "tie", "size"], scratch, "packets", total="size")
     budget = sized.agg(F.sum("size")).first()[0] or 0
-    # Virtual time at which the budget is reached: a packet's finish where the sum first meets it.
-    end = ordered.filter(F.col("before") + F.col("size") >= budget).agg(F.min("finish")).first()[0]
-    cut = F.least(F.lit(end if end is not None else 1.0), F.lit(1.0))
-    sent = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(cut * F.col("target") + 0.5).cast("bigint") - F.col("sent")))
+    took = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(budget) - F.col("before")))
     return (
-        ordered.withColumn("took", sent)
+        ordered.withColumn("took", took)
         .groupBy("rank", "shuffled", "tie", "key", "source", "size", "source_size", "target")
         .agg(F.sum("took").alias("took"), F.count_if(F.col("repeat") == 0).alias("rows"))
         # Rows alike in id and text were one group: deal their sum out again, at most max_repeats times the size each.

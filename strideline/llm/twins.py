@@ -13,12 +13,15 @@ f AS (SELECT *, 3.0::DOUBLE * source_size AS most, 3.0::DOUBLE * source_size / w
 c AS (SELECT a.ratio, (SELECT sum(source_size)::DOUBLE FROM s) AS total, coalesce((SELECT sum(most) FROM f b WHERE b.ratio < a.ratio), 0) AS capped,
       (SELECT sum(weight) FROM f b WHERE b.ratio >= a.ratio) AS open FROM f a),
 l AS (SELECT (total - capped) / open AS level FROM c WHERE (total - capped) / open <= ratio ORDER BY ratio LIMIT 1),
-t AS (SELECT source, source_size, least(most, weight * level) AS target FROM f, l),
-p AS (SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS stop,
-      coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY shuffled, tie, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(0, least(size, stop - start)) + greatest(0, least(size, stop - start - source_size))
-  + greatest(0, least(size, stop - start - 2 * source_size)))::BIGINT AS taken FROM p
+t AS (SELECT source, rank, source_size, least(most, weight * level) AS target FROM f, l),
+p AS (SELECT doc_id, size, source_size, target, t.rank, shuffled, tie,
+      coalesce(sum(size) OVER (PARTITION BY t.rank ORDER BY shuffled, tie, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, start + repeat * source_size AS sent FROM p, (VALUES (0), (1), (2)) v(repeat) WHERE repeat < greatest(1, ceil(target / greatest(source_size, 1)))),
+o AS (SELECT *, CASE WHEN target > 0 THEN (sent + size)::DOUBLE / target ELSE 'inf'::DOUBLE END AS finish FROM k),
+b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY finish, rank, repeat, shuffled, tie, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+SELECT doc_id, size, source_size, target, sum(greatest(0, least(size, (SELECT sum(size) FROM d) - before)))::BIGINT AS taken
+FROM b GROUP BY doc_id, size, source_size, target, shuffled, tie
 """
 
 CHAT = r"""
