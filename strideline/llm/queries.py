@@ -72,15 +72,15 @@ def op7_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     formatted = chat.render(chat.fold_events(chat.rows_as_events(rows.unionByName(more))))
     back = chat.parse(formatted)
-    learned = F.filter("turns", lambda t: t["role"] == "assistant")
+    # The text under the loss mask, read from the output.
+    learned = F.array_join(F.transform("loss_spans", lambda x: chat.unescaped(F.substr("formatted", x["start"] + 1, x["length"]))), "")
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
-        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias(
-            "turns_sha256"
-        ),
-        F.length(F.array_join(F.transform(learned, lambda t: t["text"]), "")).cast("bigint").alias("loss_chars"),
-        F.sha2(F.array_join(F.transform(learned, lambda t: t["text"]), ""), 256).alias("loss_sha256"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(learned).cast("bigint").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
 
