@@ -10,6 +10,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,15 +20,33 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset, a new folder of our own."""
+    """The session's spark.checkpoint.dir; where that is unset and all tasks run on this machine, a new folder of our own."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="strideline-")
         atexit.register(shutil.rmtree, given, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
 
 
+_made: ContextVar[list[Scratch] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Deletes at its end the tables of all jobs that began inside."""
+    inside: list[Scratch] = []
+    before = _made.set(inside)
+    try:
+        yield
+    finally:
+        _made.reset(before)
+        for scratch in inside:
+            scratch.drop(".")
+
+
 class Scratch:
     """Names and drops the tables of one job.
 
@@ -37,6 +58,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, owner: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex}"
+        made = _made.get()
+        if made is not None:
+            made.append(self)
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self.base}/{label}"
