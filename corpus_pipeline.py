@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strideline.llm import decontaminate, jaccard, quality, secrets
 from strideline.llm.queries import op3_columns
-from strideline.sources.scratch import Scratch
+from strideline.sources.scratch import Scratch, cleared
 from strideline.sources.tables import table
 
 
@@ -43,7 +43,7 @@ STAGES = [
     ("mix_sources", mix_sources),
 ]
 
-#: SQL cannot express the near-duplicate components and the mix together; tests/llm has a brute-force twin.
+#: Too slow in SQL on whole tables (templates and their alignment); tests/llm has a plain-Python twin of the stages.
 ORACLE_SQL = None
 
 
@@ -51,8 +51,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The STAGES over documents."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.save(docs, name)
-    return docs
+    before = None
+    for name, stage in STAGES[:-1]:
+        # Once a stage is written, its own intermediate tables and the stage before are not read again.
+        with cleared():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
