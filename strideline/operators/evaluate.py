@@ -38,10 +38,11 @@ def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def summary(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """accuracy, balanced accuracy, macro and weighted precision, recall and f1, as one row."""
+    """accuracy, balanced accuracy (mean recall of the classes that occur), macro and weighted precision, recall and f1, as one row."""
     r = class_report(df, label, pred)
     one = [F.avg(m).alias(f"macro_{m}") for m in ("precision", "recall", "f1")]
     one += [F.try_divide(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(f"weighted_{m}") for m in ("precision", "recall", "f1")]
+    one.append(F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"))
     return r.agg(*one).withColumn("accuracy", F.col("weighted_recall"))
 
 

@@ -36,6 +36,7 @@ LEARNERS: dict[str, Callable] = {
     "tree": lambda d, k: DecisionTreeClassifier(maxDepth=10, weightCol="weight", seed=42),
     "forest": lambda d, k: RandomForestClassifier(numTrees=20, maxDepth=6, weightCol="weight", seed=42),
     "linear_svm": lambda d, k: _binary(LinearSVC(weightCol="weight", maxIter=20, regParam=0.01), k),
+    "log_sgd": lambda d, k: LogisticRegression(regParam=0.001, weightCol="weight", maxIter=50),
     "hinge_sgd": lambda d, k: _binary(LinearSVC(weightCol="weight", maxIter=20, regParam=0.001), k),
 }
 REGRESSORS: dict[str, Callable] = {
@@ -168,13 +169,13 @@ def adaboost(train: DataFrame, test: DataFrame, label: str, rounds: int = 5, dep
         e = told.agg((F.sum(F.when(F.col("__p") != F.col(label), F.col("__w")).otherwise(0.0)) / F.sum("__w")).alias("e")).first()["e"]
         e = min(max(e, 1e-9), 1 - 1e-9)
         alpha = math.log((1 - e) / e)
+        if alpha <= 0:  # no better than chance: the round takes no part
+            break
         rows = scratch.save(
             told.withColumn("__w", F.col("__w") * F.when(F.col("__p") != F.col(label), F.lit(math.exp(alpha))).otherwise(1.0)).drop("__p"), str(m + 1)
         )
         test = model.transform(test).withColumnRenamed("__p", f"__p{m}").drop("__r", "__q")
         score = score + F.lit(alpha) * (2 * F.col(f"__p{m}") - 1)
-        if alpha <= 0:
-            break
     return test.withColumn("prediction", (score > 0).cast("double")).drop(*[c for c in test.columns if c.startswith("__p")])
 
 

@@ -30,11 +30,12 @@ WIDE = 2_000
 
 def fit_fill(df: DataFrame, cols: list[str], how: str = "mean") -> dict[str, object]:
     """Mean, exact median or most frequent value (ties: the least) of each column."""
-    value = {
-        "mean": F.avg,
-        "median": lambda c: F.percentile(c, F.lit(0.5)),
-        "mode": lambda c: F.mode(c, True),
-    }[how]
+    if how == "median":
+        from strideline.operators.stats import exact_quantiles
+
+        found = {r["column"]: r["q"] for r in exact_quantiles(df, cols, [0.5]).collect()}  # one row a column
+        return {c: found.get(c) for c in cols}
+    value = {"mean": F.avg, "mode": lambda c: F.mode(c, True)}[how]
     row = df.agg(*[value(c).alias(c) for c in cols]).first()
     return {c: row[c] for c in cols}
 
@@ -58,6 +59,19 @@ def iterative_fill(df: DataFrame, cols: list[str], rounds: int = 3) -> DataFrame
     return out.drop(*missing)
 
 
+def nearest_fill(df: DataFrame, key: str, vector: str, c: str, k: int = 12) -> DataFrame:
+    """Nulls of ``c`` become the mean of the k rows nearest by ``vector`` that have a value.
+
+    The rows without a value are the query set; each block of the others keeps its k best of every one.
+    """
+    from strideline.operators.models import nearest
+
+    known, asked = df.filter(F.col(c).isNotNull()), df.filter(F.col(c).isNull())
+    means = nearest(known, asked, key, vector, c, k).select("asked", "mean_label")
+    filled = df.join(means, F.col(key) == F.col("asked"), "left")
+    return filled.withColumn(c, F.coalesce(F.col(c).cast("double"), "mean_label")).drop("asked", "mean_label")
+
+
 def standardise(df: DataFrame, cols: list[str], by: DataFrame | None = None) -> DataFrame:
     """(x - mean) / population deviation, both of ``by`` (the training rows)."""
     row = (by if by is not None else df).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in cols for f in (F.avg, F.stddev_pop)]).first()
@@ -123,6 +137,28 @@ def importances(model, names: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(names, (float(v) for v in values), strict=True), key=lambda x: (-x[1], x[0]))
 
 
+def recursive_elimination(df: DataFrame, names: list[str], label: str, fold: str, k: int) -> DataFrame:
+    """n_features, features, dropped and mean_accuracy: one feature goes each round, the one with the smallest coefficient.
+
+    ``best`` marks the set with the greatest out-of-fold accuracy, the smaller one among equals.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.sql.window import Window
+
+    from strideline.operators.evaluate import fold_scores, out_of_fold
+
+    left, frames = list(names), []
+    while left:
+        rows = VectorSlicer(inputCol="features", outputCol="__kept", indices=[names.index(n) for n in left]).transform(df)
+        learner = LogisticRegression(featuresCol="__kept", labelCol=label, maxIter=20, weightCol="weight")
+        worst = importances(learner.fit(rows), left)[-1][0]
+        score = fold_scores(out_of_fold(rows, learner, fold, k), fold, label).agg(F.avg("accuracy").alias("mean_accuracy"))
+        frames.append(score.select(F.lit(len(left)).alias("n_features"), F.lit(",".join(left)).alias("features"), F.lit(worst).alias("dropped"), "mean_accuracy"))
+        left.remove(worst)
+    out = reduce(DataFrame.unionByName, frames)
+    return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc("mean_accuracy"), "n_features")) == 1)  # one row a feature
+
+
 def select_from_model(df: DataFrame, model, names: list[str], k: int) -> DataFrame:
     kept = sorted(names.index(n) for n, _ in importances(model, names)[:k])
     return VectorSlicer(inputCol="features", outputCol="chosen", indices=kept).transform(df)

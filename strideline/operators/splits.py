@@ -18,11 +18,16 @@ def ordered_split(df: DataFrame, order: list[str], fraction: float | None = None
     return placed.withColumn("is_test", F.col("position") > n - test).drop("position", "before")
 
 
+def _ticket(keys: list[str], seed: int) -> Column:
+    """32 bits of the keys and a seed, the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
+
+
 def hash_split(key: list[str], percent: int, seed: int = 42) -> Column:
     """The same rows go to train at every run and on any cluster."""
-    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(100)) < percent
+    return _ticket(key, seed) % 100 < percent
 
 
 def folds(key: str, k: int, by_hash: bool = True) -> Column:
     """Fold number; rows of one key share their fold, so no race straddles two."""
-    return (F.pmod(F.xxhash64(key), F.lit(k)) if by_hash else F.pmod(F.col(key), F.lit(k))).cast("int")
+    return (_ticket([key], 0) % k if by_hash else F.pmod(F.col(key), F.lit(k))).cast("int")

@@ -35,18 +35,54 @@ def null_census(df: DataFrame) -> DataFrame:
     return one.select(F.inline(parts))
 
 
+def exact_quantiles(df: DataFrame, cols: list[str], shares: list[float]) -> DataFrame:
+    """column, share and the interpolated quantile ``q`` of each numeric column.
+
+    Distinct values with their counts are put in order in ranges, and only the two
+    ranks around each quantile are picked, so no task holds a column.
+    """
+    from strideline.functions.ordering import global_running
+    from strideline.sources.scratch import Scratch
+
+    scratch = Scratch(df.sparkSession, "quantiles")
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])))
+    counted = values.filter("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = scratch.save(global_running(counted, ["column", "v"], scratch, "values", total="n"), "placed")
+    sizes = placed.groupBy("column").agg(F.min("before").alias("first"), F.sum("n").alias("size")).withColumnRenamed("column", "of")  # one row a column
+    wanted = sizes.select("of", "first", F.explode(F.array(*map(F.lit, shares))).alias("share"), ((F.col("size") - 1) * F.col("share")).alias("at"))
+    low, place = F.floor("at"), F.col("before") - F.col("first")
+    near = placed.join(wanted, (F.col("column") == F.col("of")) & (place <= F.ceil("at")) & (place + F.col("n") > low))
+    lo = F.max(F.when(place <= low, F.col("v")))
+    hi = F.max("v")
+    return near.groupBy("column", "share", "at").agg(lo.alias("lo"), hi.alias("hi")).select(
+        "column", "share", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("q")
+    )
+
+
+def anova_f(df: DataFrame, cols: list[str], label: str) -> DataFrame:
+    """feature and F: variance between the classes over that inside them, from one aggregate by class."""
+    sums = [x for i, c in enumerate(cols) for x in (F.avg(c).alias(f"m{i}"), (F.var_pop(c) * F.count(c)).alias(f"w{i}"), F.count(c).alias(f"n{i}"))]
+    per = df.groupBy(label).agg(*sums)  # one row a class
+    long = per.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{x}{i}").alias(x) for x in "mwn"]) for i, c in enumerate(cols)])))
+    mean = F.sum(F.col("m") * F.col("n")).over(Window.partitionBy("feature")) / F.sum("n").over(Window.partitionBy("feature"))
+    long = long.withColumn("gap", F.col("n") * (F.col("m") - mean) * (F.col("m") - mean))
+    between, within = F.sum("gap") / (F.count(F.lit(1)) - 1), F.sum("w") / (F.sum("n") - F.count(F.lit(1)))
+    return long.groupBy("feature").agg(F.try_divide(between, within).alias("f"))
+
+
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count, mean, std, min, exact quartiles, max; one row a column, one pass."""
+    """count, mean, std, min, exact quartiles, max; one row a column."""
 
     def of(c: str) -> Column:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         return F.struct(
             F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            F.min(c).cast("double").alias("min"), q.alias("q"), F.max(c).cast("double").alias("max"),
+            F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
         )
 
     rows = df.agg(F.array(*[of(c) for c in cols]).alias("r")).select(F.inline("r"))
-    return rows.select("column", "n", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(f"q{25 * (i + 1)}") for i in range(3)], "max")
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).groupBy(F.col("column").alias("of"))
+    q = q.agg(*[F.max(F.when(F.col("share") == s, F.col("q"))).alias(f"q{int(100 * s)}") for s in (0.25, 0.5, 0.75)])
+    return rows.join(q, F.col("column") == F.col("of"), "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def corr_with(df: DataFrame, cols: list[str], target: str) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +26,12 @@ def _holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, features, label, weight and fold, scaled on the training rows."""
+    """row, key, features, label, weight and fold, scaled on the training rows; saved, for most fits read it many times."""
     li = table(spark, sf_dir, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("double"))
     li = li.withColumn("fold", splits.folds("l_orderkey", 5))
     rows = prep.chain(NUM).fit(li.filter("fold != 0")).transform(li).select(*KEY, "features", "label", "fold")
-    return models.balanced(rows, "label")
+    rows = models.balanced(rows, "label").withColumn("row", F.monotonically_increasing_id())
+    return Scratch(spark, "matrix").save(rows, "rows")
 
 
 # Preparation
@@ -119,6 +121,18 @@ def fit_polynomial_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.REGRESSORS["linear"]().fit(v.filter("fold != 0")).transform(v.filter("fold = 0")).select(*KEY, "label", "prediction")
 
 
+def _penalised(name: str) -> None:
+    @register(name=f"fit_{name}_polynomial")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        li = table(spark, sf_dir, "lineitem").withColumn("fold", splits.folds("l_orderkey", 5)).withColumn("label", F.col("l_extendedprice") / 1000)
+        v = prep.chain(["l_quantity", "l_discount", "l_tax"], degree=2).fit(li.filter("fold != 0")).transform(li)
+        return models.REGRESSORS[name]().fit(v.filter("fold != 0")).transform(v.filter("fold = 0")).select(*KEY, "label", "prediction")
+
+
+for _name in ("ridge", "lasso"):
+    _penalised(_name)
+
+
 @register()
 def fit_ridge_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matrix(spark, sf_dir)
@@ -128,12 +142,9 @@ def fit_ridge_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def fit_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("double"))
-    cols = [f"e{i}" for i in range(16)]
-    v = VectorAssembler(inputCols=cols, outputCol="features").transform(
-        e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)])
-    )
+    v = e.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     v = models.balanced(v, "label").withColumn("fold", splits.folds("vec_id", 5))
-    return models.LEARNERS["logistic_l2"](16, 10).fit(v.filter("fold != 0")).transform(v.filter("fold = 0")).select("vec_id", "label", "prediction")
+    return models.LEARNERS["logistic_l2"](64, 10).fit(v.filter("fold != 0")).transform(v.filter("fold = 0")).select("vec_id", "label", "prediction")
 
 
 @register()
@@ -169,13 +180,12 @@ def knn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "stack")
-    m = scratch.save(matrix(spark, sf_dir), "matrix")
+    m = matrix(spark, sf_dir)
     parts = []
     for name in ("logistic_l2", "linear_svm", "tree"):
         oof = evaluate.out_of_fold(m, models.LEARNERS[name](len(NUM), 2), "fold", 5)
-        parts.append(oof.select(*KEY, F.col("score").alias(name), *(["label", "fold"] if name == "logistic_l2" else [])).dropDuplicates(KEY))
-    rows = reduce(lambda a, b: a.join(b, KEY), parts)
+        parts.append(oof.select("row", F.col("score").alias(name), *([*KEY, "label", "fold"] if name == "logistic_l2" else [])))
+    rows = reduce(lambda a, b: a.join(b, "row"), parts)
     v = VectorAssembler(inputCols=["logistic_l2", "linear_svm", "tree"], outputCol="features").transform(rows)
     meta = RandomForestClassifier(numTrees=20, seed=42).fit(v.filter("fold != 0"))
     return meta.transform(v.filter("fold = 0")).select(*KEY, "label", "prediction")
@@ -231,7 +241,7 @@ def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ", ".join(f"round(avg({m}), 9) AS macro_{m}" for m in ("precision", "recall", "f1"))
     + ", "
     + ", ".join(f"round(sum({m} * support) / sum(support), 9) AS weighted_{m}" for m in ("precision", "recall", "f1"))
-    + f", round(sum(recall * support) / sum(support), 9) AS accuracy FROM ({_REPORT})"
+    + f", round(sum(recall * support) / sum(support), 9) AS accuracy, round(avg(recall) FILTER (support > 0), 9) AS balanced_accuracy FROM ({_REPORT})"
 )
 def named_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = evaluate.summary(_told(spark, sf_dir), "label", "told")
