@@ -7,16 +7,20 @@ summed over a sliding window of lines. Reading rises into text at a surge point
 (a weighted line whose window reaches the threshold) and leaves it at a dive point
 (a window that is empty). The weighted lines between surge and dive are the text.
 
-A page that marks its article (``article``, ``main`` or role=main) has weight only
-inside the mark and threshold 1, so short paragraphs stay; else the threshold is
-``min_block`` characters, and where no window reaches it the fullest window's.
+The threshold is ``min_block`` characters, and where no window reaches it the fullest
+window's. A page that marks its article (``article``, ``main`` or role=main) has weight
+only inside the mark. There a surge that reaches the threshold (at most ``least_share``
+of the fullest window) begins where its windows rise from empty, so headlines and short
+first lines stay, while a stray line apart from the text reaches no surge and goes.
 
 Furniture that wraps the article mark, or most of the text of a page without one,
 does not count as furniture. An unclosed head ends at the first block element.
 
 Defined results: null, empty or markup-only html gives the empty string; unclosed
 elements end with the page; an unclosed script, style or comment swallows the rest;
-repeated rows are read alike; an empty table gives an empty result.
+repeated rows are read alike; there are no ties to break; a very long page is read in
+time linear in its length; the input's columns are kept in a struct, so their names
+cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,10 +67,12 @@ _TOKEN = re.compile(
     r"|<(?:svg|math|iframe|object)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
     rf"|<(?P<silent>{_SILENT})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=silent)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/><]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+#: A slash that ends a tag, and not the value of an attribute without quotes.
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -127,36 +133,41 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     within: list[int] = []  # furniture that is open
     marks_at: list[tuple[int, ...]] = []
     parts: list[str] = []
-    linked = 0
+    plain = 0  # characters outside links
     stack: list[tuple[str, bool, bool]] = []  # element, furniture, article
+    where: dict[str, list[int]] = {}  # depths of the open elements of a tag
+    blocks: list[int] = []  # depths of the open block elements
     article = links = 0
     head = False
 
     def cut() -> None:
-        nonlocal linked
+        nonlocal plain
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                raw.append((text, max(0, len(text) - linked), article > 0, tuple(within)))
+                raw.append((text, min(len(text), plain), article > 0, tuple(within)))
             parts.clear()
-        linked = 0
+        plain = 0
 
     def pop_to(depth: int) -> None:
         nonlocal article, links
         while len(stack) > depth:
             tag, f, a = stack.pop()
+            where[tag].pop()
+            if tag in _BLOCK:
+                blocks.pop()
             if f:
                 within.pop()
             article -= a
             links -= tag == "a"
 
     def said(text: str) -> None:
-        nonlocal linked
+        nonlocal plain
         if head:
             return
         parts.append(text)
-        if links:
-            linked += len(" ".join(entities.unescape(text).split()))
+        if not links:
+            plain += len(" ".join(entities.unescape(text).split()))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -181,14 +192,15 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         head = head and not (opens and (tag in _BLOCK or marks))
         if tag in _BLOCK or hides or marks:
             cut()
-            if opens and tag in _BLOCK:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in _BLOCK:
-                        if stack[depth][0] in _CLOSED_BY_BLOCK or stack[depth][0] == tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                            pop_to(depth)
-                        break
+            if opens and tag in _BLOCK and blocks:
+                outer = stack[blocks[-1]][0]
+                if outer in _CLOSED_BY_BLOCK or outer == tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                    pop_to(blocks[-1])
         if opens:
-            if tag not in _VOID and not attrs.endswith("/"):
+            if tag not in _VOID and not _SELF_CLOSED.search(attrs):
+                where.setdefault(tag, []).append(len(stack))
+                if tag in _BLOCK:
+                    blocks.append(len(stack))
                 stack.append((tag, hides, marks))
                 if hides:
                     within.append(len(kinds))
@@ -198,12 +210,11 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 if marks:
                     marks_at.append(tuple(within))
         else:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    if any(f or a for _, f, a in stack[depth:]):
-                        cut()
-                    pop_to(depth)
-                    break
+            if where.get(tag):
+                depth = where[tag][-1]
+                if any(f or a for _, f, a in stack[depth:]):
+                    cut()
+                pop_to(depth)
     if at < len(page):
         said(page[at:])
     cut()
@@ -212,7 +223,7 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return lines, any(wrappers.issuperset(ids) for ids in marks_at)
 
 
-def main_text(page: str | None, window: int = 3, min_block: int = 80) -> str:
+def main_text(page: str | None, window: int = 3, min_block: int = 80, least_share: float = 0.125) -> str:
     if not page:
         return ""
     lines, marked = page_lines(page)
@@ -221,15 +232,21 @@ def main_text(page: str | None, window: int = 3, min_block: int = 80) -> str:
     else:
         weights = [max(0, w) for _, w, _ in lines]
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    threshold = 1 if marked else min(min_block, max(sums, default=0))
-    kept, reading = [], False
+    fullest = max(sums, default=0)
+    threshold = min(min_block, max(1, int(fullest * least_share)) if marked else fullest)
+    kept, reading, rising = [], False, []
     for i, (text, _, _) in enumerate(lines):
         if not reading and weights[i] > 0 and sums[i] >= threshold > 0:
             reading = True  # surge
-        elif reading and sums[i] == 0:
+            kept += rising
+        elif sums[i] == 0:
             reading = False  # dive
-        if reading and weights[i] > 0:
-            kept.append(text)
+            rising = []
+        if weights[i] > 0:
+            if reading:
+                kept.append(text)
+            elif marked:
+                rising.append(text)
     return "\n".join(kept)
 
 

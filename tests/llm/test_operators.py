@@ -86,6 +86,28 @@ def test_main_text_is_not_swallowed():
     assert html.main_text(f"<div>{body}</div><div id=comments><p>{long}</p><p>{long}</p></div>") == want
 
 
+def test_windows_decide_on_marked_pages():
+    long = "long text " * 20
+    nav = "<nav><p>x</p></nav>" * 4
+    page = f"<main><p>stray</p>{nav}<h1>Head</h1><p>By me</p><p>{long}</p><p>end</p>{nav}<p>stray</p></main>"
+    assert html.main_text(page) == f"Head\nBy me\n{long.strip()}\nend"
+    assert html.main_text("<main><p>all</p><p>short</p></main>") == "all\nshort"
+    links = "<a href=/home/>link words</a> " * 30
+    assert html.main_text(f"<p>{links}</p><div><p>{long}</p></div>") == long.strip()  # the slash belongs to the value
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    for make in (lambda n: "x <a y " * n, lambda n: "<b>" * n + "<p>z</p>" * n, lambda n: "<p>" * n, lambda n: "</x>" * n):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.perf_counter()
+            html.main_text(make(n))
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 0.2
+
+
 def test_extract_text_on_frames(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a</p></article>"), (2, None, None), (2, None, None)], "page_id bigint, url string, html string")
     assert sorted(r["text"] for r in html.extract_text(pages.withColumn("text", F.lit("clash"))).collect()) == ["", "", "a"]
