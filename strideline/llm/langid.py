@@ -12,12 +12,14 @@ expectation by a hash of the id, is saved; each of ``rounds`` Spark jobs compute
 the gradient by partition, the driver adds the vectors and steps (Adam). Sequences
 are runs of words from several documents, so that the data switch language.
 
-Prediction reads whole texts; a chain ends after ``chain`` words and a longer text
-is several chains.
+Prediction reads whole texts as one chain each. A text of more than ``chain`` words is
+worked on in pieces side by side: the product of each piece's transitions carries the
+messages over its ends, so the marginals are those of the whole chain.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0, as is
 every text if no row has a label; ties go to the first label in code-point order;
-repeated rows are alike; an empty table gives an empty result.
+repeated rows are alike; very long texts are read whole; extra columns take no part,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -108,20 +110,60 @@ class Words:
         return out[1:]
 
 
-def forward_backward(scores: np.ndarray, moves: np.ndarray, start: np.ndarray, length: np.ndarray):
+def messages(scores: np.ndarray, moves: np.ndarray, start: np.ndarray, length: np.ndarray, first: np.ndarray):
+    """What enters each piece at its first word and comes back to its last one from the rest of its text.
+
+    Pieces of a text follow each other; ``first`` marks the first of each. Products of
+    transitions and scores over a piece are taken for all pieces together, then carried
+    from piece to piece.
+    """
+    k = moves.shape[0]
+    enter, after = np.ones((len(start), k)), np.ones((len(start), k))
+    joined = np.flatnonzero(~first | ~np.append(first[1:], True))  # pieces of texts that have several
+    if not len(joined):
+        return enter, after
+    step = np.exp(moves - moves.max())
+    begin, size = start[joined], length[joined]
+    emit = np.exp(scores - scores.max(axis=1, keepdims=True))
+    product = np.where(first[joined][:, None, None], np.eye(k), step) * emit[begin][:, None, :]
+    for t in range(1, size.max()):
+        on = np.flatnonzero(size > t)
+        p = (product[on] @ step) * emit[begin[on] + t][:, None, :]
+        product[on] = p / p.sum(axis=(1, 2), keepdims=True)
+    ahead = np.ones(k)
+    for i, p in zip(joined, product, strict=True):
+        if first[i]:
+            ahead = np.ones(k)
+        else:
+            enter[i] = ahead @ step
+        ahead = ahead @ p
+        ahead = ahead / ahead.sum()
+    behind = np.ones(k)
+    for i, p in zip(joined[::-1], product[::-1], strict=True):
+        after[i] = behind
+        behind = np.ones(k) if first[i] else p @ behind
+        behind = behind / behind.sum()
+    return enter, after
+
+
+def forward_backward(scores: np.ndarray, moves: np.ndarray, start: np.ndarray, length: np.ndarray, ends=None):
     """Marginals of every word, and the expected number of moves between labels.
 
     Chains are ``length`` words from ``start``; all advance together, longest first.
+    ``ends``: messages into the first and back to the last word of every chain.
     """
     order = np.argsort(-length, kind="stable")
     start, length = start[order], length[order]
+    enter, after = (np.ones((len(start), scores.shape[1])),) * 2 if ends is None else (x[order] for x in ends)
     emit = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
     step = np.exp(moves - moves.max())
     ahead, behind = np.ones_like(emit), np.ones_like(emit)
+    if len(start):
+        behind[start + length - 1] = after
     alive = np.searchsorted(-length, -np.arange(length.max(initial=0)), side="left")
     for t, n in enumerate(alive):
         at = start[:n] + t
-        a = emit[at] if t == 0 else (ahead[at - 1] @ step) * emit[at]
+        a = emit[at] * enter[:n] if t == 0 else (ahead[at - 1] @ step) * emit[at]
         ahead[at] = a / a.sum(axis=1, keepdims=True)
     expected = np.zeros_like(moves)
     for t in range(len(alive) - 2, -1, -1):
@@ -211,7 +253,7 @@ def fit(docs: DataFrame, cfg: Training = Training(), key: str = "doc_id", text:
     share = F.element_at(
         F.create_map(*[F.lit(x) for k in labels for x in (k, min(1_000_000, 1 + 1_000_000 * cfg.docs_a_language // counts[k]))]), F.col("lang")
     )
-    sample = scratch.save(labelled.filter(ticket < share).repartition(6, "key"), "sample")
+    sample = scratch.save(labelled.filter(ticket < share).repartition(6, "key").sortWithinPartitions("key", "text"), "sample")
     k = len(labels)
     model = Model(labels, np.zeros((N_FEATURES, k)), np.zeros((k, k)), _lexicon(sample, cfg.lexicon_least))
     first = second = np.zeros((N_FEATURES + k, k))
@@ -233,7 +275,10 @@ def label_texts(texts: list[str], model: Model, chain: int) -> tuple[list[str],
         cuts = [np.arange(lo, hi, chain) for lo, hi in zip(w.first[:-1], w.first[1:], strict=True)]
         start = np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
         end = np.minimum(start + chain, np.repeat(w.first[1:], [len(c) for c in cuts]))
-        marginal, _ = forward_backward(w.scores(model.weights), model.moves, start, end - start)
+        emissions = w.scores(model.weights)
+        first = np.concatenate([np.arange(len(c)) == 0 for c in cuts]) if cuts else np.zeros(0, bool)
+        ends = messages(emissions, model.moves, start, end - start, first)
+        marginal, _ = forward_backward(emissions, model.moves, start, end - start, ends)
         n = np.diff(w.first)
         of = np.repeat(np.arange(len(block)), n)
         sums = np.stack([np.bincount(of, marginal[:, k], minlength=len(block)) for k in range(len(model.labels))], axis=1)

@@ -151,6 +151,19 @@ def test_forward_backward_is_exact():
     assert np.allclose(got, want / z) and abs(moves.sum() - 3) < 1e-9
 
 
+def test_pieces_carry_exact_messages():
+    r = np.random.default_rng(1)
+    s, a = r.normal(size=(23, 3)), 2 * r.normal(size=(3, 3))
+    texts = [(0, 10), (10, 12), (12, 23)]
+    whole, _ = langid.forward_backward(s, a, np.array([x for x, _ in texts]), np.array([y - x for x, y in texts]))
+    for chain in (1, 2, 3, 5, 11):
+        cuts = [(x + k, min(x + k + chain, y), k == 0) for x, y in texts for k in range(0, y - x, chain)]
+        start, end, first = (np.array(c) for c in zip(*cuts, strict=True))
+        ends = langid.messages(s, a, start, end - start, first)
+        got, _ = langid.forward_backward(s, a, start, end - start, ends)
+        assert np.allclose(got, whole, atol=1e-12)
+
+
 # op3
 
 
