@@ -20,7 +20,8 @@ words are looked for by their plain words only.
 Defined results: null text is empty and matches nothing; slots are filled anew only in
 windows of which half the words at least are literal; an item of at most ``alone`` words
 is found only as a whole sentence or line, for inside running text it is a common
-phrase; repeated rows are found alike; an empty table of either
+phrase; repeated rows are found alike; a very long text is
+one row, read by native functions; equal hits of one document and item are one row; an empty table of either
 kind gives an empty result. A result row is (doc, item); extra columns take no part.
 """
 
@@ -31,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.llm.columns import BLANKS, let, row_key, text_of
+from strideline.llm.columns import BLANKS, let, row_key, row_of, text_of
 from strideline.sources.scratch import Scratch
 
 #: Units of measure, currency and time that may follow a number.
@@ -256,8 +257,7 @@ def find_contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontamination = Decontamination(), key: str = "doc_id") -> DataFrame:
     """The documents that are on no hit; rows are told apart by id, null or not, and text."""
-    names = docs.columns
-    docs = docs.withColumn("__row", row_key(key, "text"))
-    hit = find_contamination(docs, benchmark, cfg, "__row").select(F.col("doc").alias("__hit")).distinct()
+    packed = docs.select(row_of(docs).alias("row"), row_key(key, "text").alias("id"), F.col("text"))
+    hit = find_contamination(packed.select("id", "text"), benchmark, cfg, "id").select(F.col("doc").alias("hit")).distinct()
     hit = Scratch(docs.sparkSession, "decontaminated").save(hit, "hits")
-    return docs.join(hit, F.col("__row") == F.col("__hit"), "left_anti").select(*names)
+    return packed.join(hit, F.col("id") == F.col("hit"), "left_anti").select("row.*")

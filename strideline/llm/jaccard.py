@@ -20,8 +20,9 @@ element among the first n - ceil(t n) + 1 of each (the prefix). Steps:
 
 Defined results: a text with fewer than five words has its whole sequence as its one
 shingle; without words it has no shingle and is linked with nothing; a null id takes
-part, but is never the smallest; repeated rows are copies of each other; an empty
-table gives an empty result.
+part, but is never the smallest; repeated rows are copies of each other; a component
+is named by its least id, so ties do not arise; a very long text is one set; extra
+columns take no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -280,7 +281,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     and stay.
     """
     row = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("id"), F.md5(text_of(text)).alias("stamp"))
-    found = near_duplicates(docs.withColumn("__row", row), "__row", text)
+    found = near_duplicates(docs.select(row.alias("__row"), F.col(text)), "__row", text)
     chosen = found.filter((F.col("doc") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc").distinct()
     blank = ~text_of(text).rlike(r"[^\x20\x09-\x0D]")
     packed = docs.select(row_of(docs).alias("row"), row.alias("__row"), blank.alias("__blank"))

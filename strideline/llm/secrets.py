@@ -9,8 +9,10 @@ only. A rule without a mandatory trigram runs over all texts.
 The index lives and ends with its block, so nothing is shuffled, memory is bounded
 by a block, and a lost executor repeats its own blocks.
 
-Defined results: null text is empty; repeated rows are scanned alike; an empty table
-gives an empty result; positions are code points, end exclusive.
+Defined results: null text is empty; repeated rows are scanned alike; spans with one
+start come in the order of the rules; a very long text is a block of its own and read
+whole; the input's columns are kept in a struct, so their names cannot clash; an empty
+table gives an empty result; positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -253,10 +255,9 @@ def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     new = F.when(F.col(f"row.{text}").isNull(), F.lit(None).cast("string")).when(
         F.size("spans") == 0, F.col("text")
     ).otherwise(F.pandas_udf(_masked, T.StringType())("text", "spans"))
-    out = found.select("row.*", new.alias("__text"))
-    cols = {text: F.col("__text")}
+    out = found.select("row", new.alias("new"))
+    made = {text: F.col("new")}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(
-            F.length("__text").cast(docs.schema["n_chars"].dataType)
-        )
-    return out.withColumns(cols).drop("__text")
+        was = F.col("row").getField("n_chars")
+        made["n_chars"] = F.when(F.col("new").isNull(), was).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -20,7 +20,9 @@ All steps are range sorts, joins and aggregates; no step holds a group in one ta
 
 Defined results: null text is empty; a null id counts as greater than all others;
 rows with equal ids do not remove from each other; texts shorter than ``width`` stay
-whole; an empty table gives an empty result.
+whole; repeated rows with one id are cut alike; a very long text is read whole; the
+input's columns are kept in a struct, so their names cannot clash; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -48,9 +48,6 @@ def texts():
     return _some_texts()
 
 
-EMPTY = ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
-
-
 # op1
 
 
