@@ -3,20 +3,24 @@
 Removes every byte that a ``width``-byte string covers which also starts in a
 document with a smaller id. Steps:
 
-1. Candidates, without loss: of every ``width - GRAM + 1`` consecutive GRAM-byte
-   hashes the least is a fingerprint, so equal strings of ``width`` bytes hold an
-   equal one. Text within reach of a fingerprint that two documents share forms
-   regions; equal regions are kept once, with their least id.
-2. Suffix array of the regions. Places i with i mod 3 in {1, 2} are the sample.
-   Their triples of six-byte symbols are range-sorted and named by rank; triples of
-   names (i, i + 18, i + 36) are sorted and named again, and these ranks order the
-   sample by 54 bytes, more than a match needs. The other suffixes are merged by
-   (byte, rank of the next place) against class 1 and by (two bytes, rank of the
-   place after) against class 2.
-3. Neighbours in that order are compared in their first ``width`` bytes (by 64-bit
-   fingerprint); runs of equal ones share the least id of their regions.
-
-All steps are range sorts, joins and aggregates; no step holds a group in one task.
+1. Candidates, without loss: a place's fingerprint is the least hash of the GRAM-byte
+   strings in its next ``width`` bytes, so equal strings have equal fingerprints.
+   Places in a row with one fingerprint form a piece. Blocks of texts send their
+   distinct fingerprints, packed by hash range, and are told by one bit each which
+   of them another block has too.
+2. Pieces whose fingerprint two texts share are exchanged by it, equal ones of a block
+   once, with their least id. Equal strings so meet in one suffix array.
+3. Suffix array (``suffix_order``). Places i with i mod 3 in {1, 2} are the sample. Triples
+   of two-byte symbols are sorted and named by rank; triples of names are sorted and
+   named again, which decides 18, then 54 bytes, unless all names differ before. The
+   other suffixes are merged by (byte, rank of the next place) against class 1 and by
+   (two bytes, rank of the place after) against class 2.
+4. Neighbours in that order are compared in their first ``width`` bytes (by 64-bit
+   fingerprint); runs of equal ones share the least id of their pieces, which goes back
+   to every occurrence of the piece.
+
+Spark deals blocks and fingerprints to tasks; a task holds one block, or the pieces of
+about ``ARRAY_BYTES`` of text and never splits a fingerprint.
 
 Defined results: null text is empty; a null id counts as greater than all others;
 rows with equal ids do not remove from each other; texts shorter than ``width`` stay
@@ -27,187 +31,330 @@ an empty result.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from strideline.functions.ordering import global_running
 from strideline.llm.columns import row_of, text_of
 from strideline.llm.hashing import Spans, blocks, buffer_of
 from strideline.sources.scratch import Scratch
 
 GRAM = 24
-SYMBOLS = 18
-
+#: Longest row of places with one fingerprint that is kept as one piece.
+LONGEST = 64
+ARRAY_BYTES = 1 << 21
+#: Text bytes for each hash range of fingerprints.
+RANGE_BYTES = 8 << 20
+
+_SENT = (
+    "block bigint, bucket int, fps binary, ords array<bigint>, ths array<bigint>, counts array<int>, "
+    "starts binary, lens binary, of binary, twice binary"
+)
 
-def fingerprints(texts: list[str], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text the places and hashes of its fingerprints."""
-    data, first = buffer_of(texts, lower=False)
-    spans = Spans(data)
-    for a, b in zip(first[:-1], first[1:] - 1, strict=True):
-        if b - a < width:
-            yield np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            continue
-        at = np.arange(a, b - GRAM + 1)
-        h = spans.hash(at, at + GRAM)
-        view = np.lib.stride_tricks.sliding_window_view(h, width - GRAM + 1)
-        pick = np.unique(np.arange(len(view)) + view.argmin(axis=1))
-        yield pick, h[pick]
-
-
-def reach(places: np.ndarray, size: int, width: int) -> list[tuple[int, int]]:
-    """Joined byte ranges in which a match over one of the fingerprints can lie."""
-    out: list[tuple[int, int]] = []
-    for p in np.unique(places):
-        if p + GRAM > size:
-            continue
-        a, b = max(0, int(p) - (width - GRAM)), min(size, int(p) + width)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return [(a, b) for a, b in out if b - a >= width]
 
+def minima(data: np.ndarray, width: int) -> np.ndarray:
+    """The fingerprint of every place with ``width`` bytes ahead."""
+    if len(data) < width:
+        return np.zeros(0, np.uint64)
+    at = np.arange(len(data) - GRAM + 1)
+    m, reach, wanted = Spans(data).hash(at, at + GRAM), 1, width - GRAM + 1
+    while 2 * reach <= wanted:
+        m, reach = np.minimum(m[:-reach], m[reach:]), 2 * reach
+    more = wanted - reach
+    return np.minimum(m[: len(m) - more], m[more:])
+
+
+def pieces(first: np.ndarray, m: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start in the buffer and number of places of every piece of a buffer of texts."""
+    a, b = first[:-1], first[1:] - width  # a text's places; the line feed after it is not its own
+    long = b > a
+    edge = np.zeros(len(m) + 1, np.int8)
+    edge[a[long]] += 1
+    edge[b[long]] -= 1
+    inside = np.cumsum(edge[:-1]).astype(bool)
+    same = m[1:] == m[:-1]
+    start = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1] & same])) if len(m) else np.zeros(0, np.int64)
+    end = np.flatnonzero(inside & ~np.concatenate([inside[1:] & same, [False]])) + 1 if len(m) else np.zeros(0, np.int64)
+    parts = -(-(end - start) // LONGEST)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start, end = np.repeat(start, parts) + nth * LONGEST, np.repeat(end, parts)
+    return np.searchsorted(first, start, "right") - 1, start, np.minimum(end - start, LONGEST)
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the keys, and where in it each group of equal ones begins."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.flatnonzero(new)
+
+
+def _sent(rows: DataFrame, width: int, ranges: int) -> DataFrame:
+    """A row a block and hash range with the block's distinct fingerprints; a row a block (bucket -1) with its pieces."""
 
-def _fingerprint_rows(rows: DataFrame, width: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ords, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             row = 0
-            for block in blocks(batch.column(2).to_pylist()):
-                at, fp, of = [], [], []
-                for places, hashes in fingerprints(block, width):
-                    at.append(places), fp.append(hashes.view(np.int64)), of.append(np.full(len(places), row))
-                    row += 1
-                of = pa.array(np.concatenate(of).astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(fp)), pa.array(np.concatenate(at).astype(np.int32))],
-                    names=["ord", "th", "fp", "at"],
-                )
-
-    return rows.select("ord", "th", "t").mapInArrow(work, "ord bigint, th bigint, fp bigint, at int")
-
+            for texts in blocks(batch.column(2).to_pylist(), ARRAY_BYTES):
+                o, t = ords[row : row + len(texts)], ths[row : row + len(texts)]
+                row += len(texts)
+                data, first = buffer_of(texts, lower=False)
+                m = minima(data, width)
+                of_text, start, n = pieces(first, m, width)
+                if not len(start):
+                    continue
+                fps, of = np.unique(m[start], return_inverse=True)
+                order, begin = _groups(of)
+                seen = o[of_text][order]
+                twice = np.minimum.reduceat(seen, begin) != np.maximum.reduceat(seen, begin)
+                bucket = ((fps >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                texts_with, counts = np.unique(of_text, return_counts=True)
+                block = uuid.uuid4().int >> 65
+                out = [
+                    {
+                        "block": block, "bucket": -1, "ords": o[texts_with], "ths": t[texts_with], "counts": counts.astype(np.int32),
+                        "starts": (start - first[of_text]).astype(np.int32).tobytes(), "lens": n.astype(np.uint8).tobytes(),
+                        "of": of.astype(np.uint32).tobytes(), "twice": np.packbits(twice).tobytes(),
+                    }
+                ]
+                found, at = np.unique(bucket, return_index=True)
+                for k, part in zip(found, np.split(fps, at[1:]), strict=True):
+                    out.append({"block": block, "bucket": int(k), "fps": part.tobytes()})
+                yield pa.RecordBatch.from_pylist(out, schema=_SENT_ARROW)
+
+    return rows.select("ord", "th", "t").mapInArrow(work, _SENT)
+
+
+_SENT_ARROW = pa.schema(
+    [
+        ("block", pa.int64()), ("bucket", pa.int32()), ("fps", pa.binary()), ("ords", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64())),
+        ("counts", pa.list_(pa.int32())), ("starts", pa.binary()), ("lens", pa.binary()), ("of", pa.binary()), ("twice", pa.binary()),
+    ]
+)
 
-def _regions(rows: DataFrame, width: int) -> DataFrame:
-    """ord, th, start, rid and bytes of every region; ``rows`` has ord, th, t and the places."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for o, h, t, places in zip(pdf["ord"], pdf["th"], pdf["t"], pdf["places"], strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
-                for a, b in reach(np.asarray(places), len(raw), width):
-                    rid = int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "big", signed=True)
-                    out.append((o, h, a, rid, raw[a:b]))
-            yield pd.DataFrame(out, columns=["ord", "th", "start", "rid", "bytes"])
+def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each block's fingerprints of one range, a bit that tells whether another block has it."""
+    parts = [np.frombuffer(x, np.uint64) for x in pdf["fps"]]
+    _, of, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    bits = [np.packbits(x).tobytes() for x in np.split(n[of] > 1, cuts)]
+    return pd.DataFrame({"told": pdf["block"], "bucket": pdf["bucket"], "n": [len(p) for p in parts], "bits": bits})
 
-    return rows.mapInPandas(work, "ord bigint, th bigint, start int, rid bigint, bytes binary")
 
+def _hits(sent: DataFrame) -> DataFrame:
+    """ho, hh, and the starts and lengths of the shared pieces of every text that has any."""
+    answers = sent.filter("bucket >= 0").select("block", "bucket", "fps").groupBy("bucket")
+    answers = answers.applyInPandas(_answers, "told bigint, bucket int, n int, bits binary")
+    answers = answers.groupBy("told").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "bits"))).alias("answers"))
 
-def _places(regions: DataFrame, width: int) -> DataFrame:
-    """rid, i, the byte and the 18-byte prefix of every place, and the fingerprint of ``width`` bytes where there are as many."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                shared = np.concatenate([np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]) for x in r["answers"]])
+                shared |= np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(shared))
+                wanted = shared[np.frombuffer(r["of"], np.uint32)].astype(bool)
+                starts, lens = np.frombuffer(r["starts"], np.int32), np.frombuffer(r["lens"], np.uint8)
+                out = [[], [], [], []]
+                at = 0
+                for o, h, n in zip(r["ords"], r["ths"], r["counts"], strict=True):
+                    w = wanted[at : at + n]
+                    if w.any():
+                        for column, x in zip(out, (o, h, starts[at : at + n][w].tobytes(), lens[at : at + n][w].tobytes()), strict=True):
+                            column.append(x)
+                    at += n
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["ho", "hh", "starts", "lens"])
+
+    info = sent.filter("bucket < 0").drop("bucket", "fps").join(answers, F.col("block") == F.col("told"))
+    rows = info.select("answers", "ords", "ths", "counts", "starts", "lens", "of", "twice")
+    return rows.mapInArrow(work, "ho bigint, hh bigint, starts binary, lens binary").dropDuplicates(["ho", "hh"])
+
+
+def _occurrences(near: DataFrame, width: int) -> DataFrame:
+    """ord, th, start, n, fp, pid of every shared piece; its bytes, least and greatest id at the first of a block's equal ones."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = np.frombuffer(raw + bytes(SYMBOLS), np.uint8)
-                n = len(raw)
-                i = np.arange(n)
-                whole = i + width <= n
-                h = np.zeros(n, np.uint64)
-                h[whole] = Spans(data[:n]).hash(i[whole], i[whole] + width)
-                keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, SYMBOLS)[:n])
-                offsets = pa.py_buffer((np.arange(n + 1) * SYMBOLS).astype(np.int32))
+            ords, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            starts, lens = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            row = 0
+            for texts in blocks(batch.column(2).to_pylist(), ARRAY_BYTES):
+                rows = slice(row, row + len(texts))
+                row += len(texts)
+                data, first = buffer_of(texts, lower=False)
+                m = minima(data, width)
+                inside = [np.frombuffer(x, np.int32) for x in starts[rows]]
+                of = np.repeat(np.arange(len(texts)), [len(x) for x in inside])
+                inside = np.concatenate(inside)
+                n = np.concatenate([np.frombuffer(x, np.uint8) for x in lens[rows]]).astype(np.int64)
+                a = first[of] + inside
+                b = a + n + width - 1
+                fp, pid, o = m[a].view(np.int64), Spans(data).hash(a, b).view(np.int64), ords[rows][of]
+                order, begin = _groups(fp, pid)
+                whole, shown = data.tobytes(), order[begin]
+                least, greatest = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+                least[shown], greatest[shown] = np.minimum.reduceat(o[order], begin), np.maximum.reduceat(o[order], begin)
+                hidden = np.ones(len(a), bool)
+                hidden[shown] = False
+                raw = [None if h else whole[x:y] for h, x, y in zip(hidden.tolist(), a.tolist(), b.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(n, rid)), pa.array(i.astype(np.int32)), pa.array(data[:n].astype(np.int16)),
-                        pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(keys)]),
-                        pa.array(h.view(np.int64), mask=~whole),
+                        pa.array(o), pa.array(ths[rows][of]), pa.array(inside), pa.array(n.astype(np.int32)), pa.array(fp), pa.array(pid),
+                        pa.array(least, mask=hidden), pa.array(greatest, mask=hidden), pa.array(raw, pa.binary()),
                     ],
-                    names=["rid", "i", "c", "key", "h"],
+                    names=["ord", "th", "start", "n", "fp", "pid", "least", "greatest", "bytes"],
                 )
 
-    return regions.select("rid", "bytes").mapInArrow(work, "rid bigint, i int, c smallint, key binary, h bigint")
-
-
-def suffix_order(regions: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """rid, i, h and ``position`` in the suffix array of every place with ``width`` bytes ahead."""
-    places = scratch.save(_places(regions, width), "places")
-    sample = places.filter("i % 3 <> 0").select("rid", "i", "key")
-    # Names of sampled triples: rank among the distinct ones.
-    names = global_running(sample.select("key").distinct(), [F.col("key")], scratch, "triples", position="name")
-    names = scratch.save(names.select(F.col("key").alias("nk"), "name"), "names")
-    named = sample.join(names, F.col("key") == F.col("nk")).select("rid", "i", "name")
-    # Names of triples of names. Places 18 and 36 further on are 12 and 24 sampled ones further on.
-    w = Window.partitionBy("rid").orderBy("i")
-    ahead = [F.coalesce(F.lead("name", k).over(w), F.lit(0)).alias(f"n{k}") for k in (12, 24)]
-    threes = scratch.save(named.select("rid", "i", "name", *ahead), "threes")
-    t3 = ["name", "n12", "n24"]
-    ranks = global_running(threes.select(*t3).distinct(), [F.col(c) for c in t3], scratch, "renamed", position="r")
-    ranks = scratch.save(ranks.select(*[F.col(c).alias(f"o_{c}") for c in t3], "r"), "ranks")
-    ranked = threes.join(ranks, [F.col(c) == F.col(f"o_{c}") for c in t3]).select(F.col("rid").alias("rr"), F.col("i").alias("ri"), "r")
-    both = places.select("rid", "i", "c", "h").join(ranked, (F.col("rid") == F.col("rr")) & (F.col("i") == F.col("ri")), "left")
-    nexts = [F.lead("r", 1).over(w).alias("r1"), F.lead("r", 2).over(w).alias("r2"), F.lead("c", 1).over(w).alias("c1")]
-    s = both.select("rid", "i", "c", "h", "r", *nexts).filter("h is not null").withColumn("cls", F.col("i") % 3)
-    s = scratch.save(s, "suffixes")
-    scratch.drop("places", "triples", "names", "threes", "renamed", "ranks")
-    # Merge. Counts of the other lists before each suffix add up to its place; class 0 goes first among equals.
-    end = ["cls", "rid", "i"]
-    own = global_running(s.filter("cls > 0"), [F.col("r"), *map(F.col, end[1:])], scratch, "own", position="p")
-    own = own.select(F.col("rid").alias("a"), F.col("i").alias("b"), (F.col("p") - 1).alias("place"))
-    counted = []
-    for cls, keys in ((1, ["c", "r1"]), (2, ["c", "c1", "r2"])):
-        part = s.filter(F.col("cls").isin(0, cls)).withColumn("other", (F.col("cls") > 0).cast("int"))
-        run = global_running(part, [F.col(k) for k in [*keys, *end]], scratch, f"merge{cls}", total="other", position="p")
-        zeros = F.col("p") - 1 - F.col("before")
-        place = F.when(F.col("cls") > 0, zeros).otherwise(F.col("before") + (zeros if cls == 1 else F.lit(0)))
-        counted.append(run.select(F.col("rid").alias("a"), F.col("i").alias("b"), place.alias("place")))
-    place = own.unionByName(counted[0]).unionByName(counted[1]).groupBy("a", "b").agg(F.sum("place").alias("place"))
-    merged = s.select("rid", "i", "h", "cls").join(place, (F.col("rid") == F.col("a")) & (F.col("i") == F.col("b")))
-    out = global_running(merged, [F.col("place"), *map(F.col, end)], scratch, "array")
-    return scratch.save(out.select("rid", "i", "h", "position"), "order")
+    schema = "ord bigint, th bigint, start int, n int, fp bigint, pid bigint, least bigint, greatest bigint, bytes binary"
+    return near.select("ord", "th", "t", "starts", "lens").mapInArrow(work, schema)
+
+
+def _named(*keys: np.ndarray) -> np.ndarray:
+    """Rank (1, 2, ...) of every row of keys among the distinct ones."""
+    bits = max(int(k.max()).bit_length() for k in keys)
+    if bits * len(keys) <= 64:
+        packed = keys[0].astype(np.uint64)
+        for k in keys[1:]:
+            packed = packed << np.uint64(bits) | k.astype(np.uint64)
+        keys = (packed,)
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    names = np.empty(len(order), np.int64)
+    names[order] = np.cumsum(new)
+    return names
+
+
+def _ahead(names: np.ndarray, k: int) -> np.ndarray:
+    """The name k places on in the sample, 0 beyond its end."""
+    return np.concatenate([names[k:], np.zeros(min(k, len(names)), np.int64)])
+
+
+def suffix_order(data: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """``places`` of ``data`` in an order that sorts their next ``width`` bytes."""
+    size = -(-(len(data) + 3) // 3) * 3
+    text = np.zeros(size + 8, np.int64)
+    text[: len(data)] = data
+    # The sample, in the order of the text: places 1, 2, 4, 5, ...
+    at = np.arange(size).reshape(-1, 3)[:, 1:].ravel()
+    two = text[:-1] << 8 | text[1:]
+    names, depth = _named(two[at] << 32 | two[at + 2] << 16 | two[at + 4]), 6
+    while depth < width + 2 and int(names.max()) < len(names):
+        step = depth // 3 * 2
+        names, depth = _named(names, _ahead(names, step), _ahead(names, 2 * step)), 3 * depth
+    rank = np.zeros(size + 8, np.int64)
+    rank[at] = names
+    # Merge: a suffix's place is the number of suffixes before it in its own list and in the others.
+    cls = places % 3
+    zero, one, both = places[cls == 0], places[cls == 1], places[cls > 0]
+    deuce = places[cls == 2]
+    by_one = {x: text[p] << 40 | rank[p + 1] for x, p in (("z", zero), ("s", one))}
+    by_two = {x: (text[p] << 8 | text[p + 1]) << 40 | rank[p + 2] for x, p in (("z", zero), ("s", deuce))}
+    place = np.zeros(len(places), np.int64)
+    own = np.empty(len(both), np.int64)
+    own[np.argsort(rank[both], kind="stable")] = np.arange(len(both))
+    place[cls > 0] = own
+    place[cls == 1] += np.searchsorted(np.sort(by_one["z"]), by_one["s"], "right")
+    place[cls == 2] += np.searchsorted(np.sort(by_two["z"]), by_two["s"], "right")
+    own = np.empty(len(zero), np.int64)
+    own[np.argsort(by_one["z"], kind="stable")] = np.arange(len(zero))
+    place[cls == 0] = own + np.searchsorted(np.sort(by_one["s"]), by_one["z"]) + np.searchsorted(np.sort(by_two["s"]), by_two["z"])
+    return places[np.argsort(place, kind="stable")]
+
+
+def lowest(raws: list[bytes], least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece of every place, and the least id of all pieces in which its next ``width`` bytes start."""
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    size = np.array([len(x) for x in raws])
+    n, first = size - width + 1, np.cumsum(size) - size
+    of = np.repeat(np.arange(len(raws)), n)
+    places = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    order = suffix_order(data, places, width)
+    h = Spans(data).hash(order, order + width)
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    number = np.zeros(len(data), np.int64)
+    number[places] = np.arange(len(places))
+    at = number[order]
+    low = np.minimum.reduceat(least[of[at]], np.flatnonzero(new))
+    out = np.empty(len(places), np.int64)
+    out[at] = low[np.cumsum(new) - 1]
+    return of, out
+
+
+def _lows(rows: DataFrame, width: int) -> DataFrame:
+    """lf, lp, and ``low`` of every piece that loses a place: its places' least ids, or one value for all of them."""
+
+    def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        fp, pid, least, greatest = (t.column(i).to_numpy() for i in range(4))
+        begin = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (pid[1:] != pid[:-1])]))
+        least, greatest = np.minimum.reduceat(least, begin), np.maximum.reduceat(greatest, begin)
+        of, low = lowest(t.column(4).take(pa.array(begin)).to_pylist(), least, width)
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        smallest, largest = np.minimum.reduceat(low, first), np.maximum.reduceat(low, first)
+        loses, single = smallest < greatest, smallest == largest
+        kept = loses[of] & ~single[of]
+        kept[first] = loses
+        offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(kept.astype(np.int32), first)[loses])]).astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(low[kept]))
+        return pa.RecordBatch.from_arrays([pa.array(fp[begin][loses]), pa.array(pid[begin][loses]), values], names=["lf", "lp", "low"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if size >= ARRAY_BYTES:
+                fp = batch.column(0).to_numpy()
+                same = int(np.searchsorted(fp, held[-1].column(0)[-1].as_py(), "right"))
+                if same < batch.num_rows:  # the fingerprint at hand ends in this batch
+                    yield solved([*held, batch.slice(0, same)])
+                    held, size, batch = [], 0, batch.slice(same)
+            held.append(batch)
+            size += batch.column(4).nbytes
+        if held:
+            yield solved(held)
+
+    return rows.mapInArrow(work, "lf bigint, lp bigint, low array<bigint>")
 
 
 def repeated_spans(docs: DataFrame, width: int, key: str, text: str, scratch: Scratch) -> DataFrame:
     """ord, th and ``spans``, the (start, end) byte ranges to remove, of every row that loses bytes."""
     rows = _keyed(docs, key, text)
-    fps = scratch.save(_fingerprint_rows(rows.select("ord", "th", "t"), width), "fingerprints")
-    shared = fps.groupBy("fp").agg(F.min("ord").alias("o0"), F.max("ord").alias("o1")).filter("o0 != o1").select(F.col("fp").alias("sfp"))
-    shared = scratch.save(shared, "shared")
-    hits = fps.join(shared, F.col("fp") == F.col("sfp")).groupBy("ord", "th").agg(F.collect_set("at").alias("places"))
-    hits = scratch.save(hits.withColumnsRenamed({"ord": "ho", "th": "hh"}), "hits")
-    scratch.drop("fingerprints", "shared")
-    near = rows.join(hits, (F.col("ord") == F.col("ho")) & (F.col("th") == F.col("hh"))).select("ord", "th", "t", "places")
-    found = scratch.save(_regions(near, width), "regions")
-    unique = scratch.save(
-        found.groupBy("rid").agg(F.min("ord").alias("least"), F.first("bytes").alias("bytes")).withColumn("size", F.length("bytes")), "unique"
-    )
-    order = suffix_order(unique, width, scratch)
-    # Compare neighbours; a run of equal prefixes is numbered by the first of it.
-    before = order.select((F.col("position") + 1).alias("q"), F.col("h").alias("ph"))
-    fresh = order.join(before, F.col("position") == F.col("q"), "left").select(
-        "rid", "i", "position", F.when(F.col("h") == F.col("ph"), 0).otherwise(1).alias("new")
+    ranges = 1 + int(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // RANGE_BYTES
+    sent = scratch.save(_sent(rows, width, ranges), "sent")
+    hits = scratch.save(_hits(sent), "hits")
+    scratch.drop("sent")
+    near = rows.join(hits, (F.col("ord") == F.col("ho")) & (F.col("th") == F.col("hh")))
+    found = scratch.save(_occurrences(near, width), "found")
+    scratch.drop("hits")
+    shown = found.filter("bytes is not null").select("fp", "pid", "least", "greatest", "bytes")
+    shown = shown.repartition(ranges, "fp").sortWithinPartitions("fp", "pid")
+    lows = scratch.save(_lows(shown, width), "lows")
+    joined = found.drop("bytes", "least", "greatest").join(lows, (F.col("fp") == F.col("lf")) & (F.col("pid") == F.col("lp")))
+    # One value stands for all places of the piece.
+    all_of = F.when(F.get("low", F.lit(0)) < F.col("ord"), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + width - 1).alias("b"))))
+    each = F.filter(
+        F.transform("low", lambda v, i: F.when(v < F.col("ord"), F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + width).alias("b")))),
+        lambda s: s.isNotNull(),
     )
-    runs = global_running(fresh, [F.col("position")], scratch, "runs", total="new", position="again")
-    runs = runs.select("rid", "i", (F.col("before") + F.col("new")).alias("run"))
-    owner = unique.select(F.col("rid").alias("ur"), "least")
-    runs = scratch.save(runs.join(owner, F.col("rid") == F.col("ur")).select("rid", "i", "run", "least"), "owned")
-    lowest = runs.groupBy("run").agg(F.min("least").alias("lowest"), F.max("least").alias("highest")).filter("lowest != highest")
-    deep = runs.join(lowest.withColumnRenamed("run", "lr"), F.col("run") == F.col("lr")).filter("lowest < least")
-    deep = deep.groupBy("rid").agg(F.collect_list("i").alias("starts")).withColumnRenamed("rid", "dr")
-    # A later copy of a region loses all of it; its first document loses what starts in a still earlier one.
-    sized = found.drop("bytes").join(unique.select(F.col("rid").alias("ur"), "least", "size"), F.col("rid") == F.col("ur"))
-    sized = sized.join(deep, F.col("rid") == F.col("dr"), "left")
-    spans = F.when(
-        F.col("ord") > F.col("least"), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")))
-    ).otherwise(F.transform("starts", lambda i: F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + width).alias("b"))))
-    return sized.select("ord", "th", spans.alias("s")).filter("s is not null").groupBy("ord", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    spans = F.when(F.size("low") == 1, all_of).otherwise(each)
+    cuts = joined.select("ord", "th", spans.alias("s")).filter("size(s) > 0")
+    return cuts.groupBy("ord", "th").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -252,6 +399,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     """``row``, n_bytes, n_removed, n_spans and the ``kept`` bytes of every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     spans = scratch.save(repeated_spans(docs, width, key, text, scratch).withColumnsRenamed({"ord": "so", "th": "sh"}), "spans")
-    scratch.drop("regions", "unique", "order", "owned", "suffixes", "own", "merge1", "merge2", "array", "runs")
+    scratch.drop("found", "lows")
     rows = _keyed(docs, key, text).join(spans, (F.col("ord") == F.col("so")) & (F.col("th") == F.col("sh")), "left")
     return rows.select("row", F.pandas_udf(_cut, _CUT)("t", "spans").alias("x")).select("row", "x.*")

@@ -375,14 +375,14 @@ def test_suffixes_against_brute_force(spark, texts):
         assert (got[d]["n_bytes"], got[d]["n_removed"], got[d]["n_spans"], bytes(got[d]["kept"])) == (len(b), len(gone), spans, kept)
 
 
-def test_suffix_order_is_sorted(spark, texts):
-    from strideline.sources.scratch import Scratch
-
-    raw = {i: (t or "").encode() for i, t in enumerate(texts[:6])}
-    regions = spark.createDataFrame([(k, bytearray(v)) for k, v in raw.items()], "rid bigint, bytes binary")
-    got = suffixes.suffix_order(regions, 50, Scratch(spark, "t")).orderBy("position").collect()
-    prefixes = [raw[r["rid"]][r["i"] : r["i"] + 50] for r in got]
-    assert prefixes == sorted(prefixes) and len(got) == sum(max(0, len(v) - 49) for v in raw.values())
+def test_suffix_order_is_sorted(texts):
+    raw = [(t or "").encode() for t in texts[:6]] + [b"ab" * 200, b"z" * 100]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    end = np.cumsum([len(v) for v in raw])
+    places = np.concatenate([np.arange(e - len(v), max(e - len(v), e - 49)) for e, v in zip(end, raw, strict=True)])
+    got = suffixes.suffix_order(data, places, 50)
+    prefixes = [bytes(data[i : i + 50]) for i in got]
+    assert prefixes == sorted(prefixes) and sorted(got) == sorted(places)
 
 
 def test_suffixes_of_nothing(spark):
