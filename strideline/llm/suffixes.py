@@ -354,7 +354,7 @@ def repeated_spans(docs: DataFrame, width: int, key: str, text: str, scratch: Sc
     )
     spans = F.when(F.size("low") == 1, all_of).otherwise(each)
     cuts = joined.select("ord", "th", spans.alias("s")).filter("size(s) > 0")
-    return cuts.groupBy("ord", "th").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
+    return cuts.groupBy("ord", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
