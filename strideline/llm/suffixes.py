@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,7 @@ from strideline.llm.columns import row_of, text_of
 from strideline.llm.hashing import Spans, blocks, buffer_of
 from strideline.sources.scratch import Scratch
 
-GRAM = 24
+GRAM = 20
 #: Longest row of places with one fingerprint that is kept as one piece.
 LONGEST = 64
 ARRAY_BYTES = 1 << 21
@@ -181,7 +182,7 @@ def _hits(sent: DataFrame) -> DataFrame:
 
 
 def _occurrences(near: DataFrame, width: int) -> DataFrame:
-    """ord, th, start, n, fp, pid of every shared piece; its bytes, least and greatest id at the first of a block's equal ones."""
+    """ord, th, start, n, fp, pid of every shared piece; its bytes, least and (if another) greatest id at the first of a block's equal ones."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +211,7 @@ def _occurrences(near: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(o), pa.array(ths[rows][of]), pa.array(inside), pa.array(n.astype(np.int32)), pa.array(fp), pa.array(pid),
-                        pa.array(least, mask=hidden), pa.array(greatest, mask=hidden), pa.array(raw, pa.binary()),
+                        pa.array(least, mask=hidden), pa.array(greatest, mask=hidden | (greatest == least)), pa.array(raw, pa.binary()),
                     ],
                     names=["ord", "th", "start", "n", "fp", "pid", "least", "greatest", "bytes"],
                 )
@@ -299,7 +300,8 @@ def _lows(rows: DataFrame, width: int) -> DataFrame:
 
     def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        fp, pid, least, greatest = (t.column(i).to_numpy() for i in range(4))
+        fp, pid, least = (t.column(i).to_numpy() for i in range(3))
+        greatest = pc.coalesce(t.column(3), t.column(2)).to_numpy()
         begin = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (pid[1:] != pid[:-1])]))
         least, greatest = np.minimum.reduceat(least, begin), np.maximum.reduceat(greatest, begin)
         of, low = lowest(t.column(4).take(pa.array(begin)).to_pylist(), least, width)
