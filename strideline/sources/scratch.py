@@ -35,16 +35,25 @@ _made: ContextVar[list[Scratch] | None] = ContextVar("made", default=None)
 
 
 @contextmanager
-def cleared() -> Iterator[None]:
-    """Deletes at its end the tables of all jobs that began inside."""
+def begun() -> Iterator[list[Scratch]]:
+    """The tables of all jobs that begin inside."""
     inside: list[Scratch] = []
     before = _made.set(inside)
     try:
-        yield
+        yield inside
     finally:
         _made.reset(before)
-        for scratch in inside:
-            scratch.drop(".")
+
+
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Deletes at its end the tables of all jobs that began inside."""
+    with begun() as inside:
+        try:
+            yield
+        finally:
+            for scratch in inside:
+                scratch.drop(".")
 
 
 class Scratch:
@@ -57,7 +66,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, owner: str):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex}"
+        self.name = f"{owner}-{uuid.uuid4().hex}"
+        self.base = f"{shared_dir(spark)}/{self.name}"
         made = _made.get()
         if made is not None:
             made.append(self)

@@ -8,7 +8,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import types as T
 
 from strideline.sources import files
-from strideline.sources.scratch import Scratch, shared_dir
+from strideline.sources.scratch import Scratch, begun, shared_dir
 from strideline.streaming.counts import tumbling_counts
 
 
@@ -54,3 +54,14 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) s from counts").first()["s"] == 30
+
+
+def test_begun_lists_the_jobs_that_begin_inside(spark):
+    before = Scratch(spark, "before")
+    with begun() as outer:
+        a = Scratch(spark, "a")
+        with begun() as inner:
+            b = Scratch(spark, "b")
+    assert outer == [a] and inner == [b] and before not in outer
+    rows = b.save(spark.range(3), "rows")
+    assert any(b.name in path for path in rows.inputFiles())
