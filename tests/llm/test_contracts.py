@@ -1,6 +1,7 @@
 """The registered queries and the pipeline on small Parquet folders, against independent versions of their contracts."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -192,5 +193,18 @@ def test_stages_keep_columns_and_judge_empty_tables(spark, folder):
     assert "AKIA" not in masked[44]["text"] and masked[44]["n_chars"] == len(masked[44]["text"]) and masked[44]["a.b"] == "x"
 
 
+def test_stages_free_what_the_stage_before_has_left(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["quality_rules"](spark, docs, folder[0])
+    ids = sorted(r["doc_id"] for r in first.collect())
+    left = {path.rsplit("/", 2)[0] for path in first.inputFiles()} - {folder[0]}
+    assert left and all(os.path.isdir(path.removeprefix("file:")) for path in left)
+    stages["near_duplicates"](spark, first, folder[0]).count()  # not written: its tables are still read
+    assert sorted(r["doc_id"] for r in first.collect()) == ids
+    stages["near_duplicates"](spark, docs, folder[0]).count()
+    assert not any(os.path.isdir(path.removeprefix("file:")) for path in left)
+
+
 def test_every_query_of_the_list_is_registered():
     assert set(queries.queries()) | {"pipeline"} <= set(entry.queries())
