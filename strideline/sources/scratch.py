@@ -45,17 +45,6 @@ def begun() -> Iterator[list[Scratch]]:
         _made.reset(before)
 
 
-@contextmanager
-def cleared() -> Iterator[None]:
-    """Deletes at its end the tables of all jobs that began inside."""
-    with begun() as inside:
-        try:
-            yield
-        finally:
-            for scratch in inside:
-                scratch.drop(".")
-
-
 class Scratch:
     """Names and drops the tables of one job.
 
