@@ -31,10 +31,10 @@ LEARNERS: dict[str, Callable] = {
     "logistic_l2": lambda d, k: LogisticRegression(regParam=0.01, weightCol="weight", maxIter=20),
     "logistic_l1": lambda d, k: LogisticRegression(regParam=0.01, elasticNetParam=1.0, weightCol="weight", maxIter=20),
     "perceptron_layers": lambda d, k: MultilayerPerceptronClassifier(layers=[d, 16, k], maxIter=20, seed=42),
-    "boosted_trees": lambda d, k: _binary(GBTClassifier(maxIter=10, maxDepth=3, seed=42, weightCol="weight"), k),
+    "boosted_trees": lambda d, k: _binary(GBTClassifier(maxIter=100, maxDepth=3, seed=42, weightCol="weight"), k),
     "histogram_trees": lambda d, k: _binary(GBTClassifier(maxIter=5, maxDepth=5, maxBins=255, seed=42, weightCol="weight"), k),
     "tree": lambda d, k: DecisionTreeClassifier(maxDepth=10, weightCol="weight", seed=42),
-    "forest": lambda d, k: RandomForestClassifier(numTrees=20, maxDepth=6, weightCol="weight", seed=42),
+    "forest": lambda d, k: RandomForestClassifier(numTrees=100, maxDepth=6, weightCol="weight", seed=42),
     "linear_svm": lambda d, k: _binary(LinearSVC(weightCol="weight", maxIter=20, regParam=0.01), k),
     "log_sgd": lambda d, k: LogisticRegression(regParam=0.001, weightCol="weight", maxIter=50),
     "hinge_sgd": lambda d, k: _binary(LinearSVC(weightCol="weight", maxIter=20, regParam=0.001), k),
@@ -147,7 +147,7 @@ def poisson_weight(u: Column) -> Column:
     return out
 
 
-def bagging(train: DataFrame, test: DataFrame, key: list[str], label: str, members: int = 5) -> DataFrame:
+def bagging(train: DataFrame, test: DataFrame, key: list[str], label: str, members: int = 10) -> DataFrame:
     """Mean prediction of regressions on Poisson-weighted rows; repeatable by hash."""
     out = test
     for m in range(members):

@@ -194,7 +194,7 @@ def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def bagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matrix(spark, sf_dir)
-    return models.bagging(m.filter("fold != 0"), m.filter("fold = 0"), KEY, "label", 3).select(*KEY, "label", "prediction")
+    return models.bagging(m.filter("fold != 0"), m.filter("fold = 0"), KEY, "label", 10).select(*KEY, "label", "prediction")
 
 
 @register()
