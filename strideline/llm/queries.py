@@ -1,4 +1,4 @@
-"""The ten operators as registered queries over the whole tables."""
+"""The dealt operators as registered queries over the whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import chat, decontaminate, html, jaccard, katz, langid, mixing, quality, secrets, suffixes, twins
+from strideline.llm import chat, decontaminate, filter_audit, html, jaccard, katz, langid, mixing, quality, secrets, suffixes, twins
 from strideline.llm.columns import crc_bucket
 from strideline.sources.tables import table
 
@@ -101,6 +101,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_five(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _QUERIES = (
     op1_extract_text,
     op2_identify_language,
@@ -112,6 +116,7 @@ _QUERIES = (
     op8_suffix_dedup,
     op9_decontaminate,
     op10_ngram_jaccard,
+    op13_filter_audit,
 )
 
 

@@ -85,6 +85,26 @@ SELECT z.doc_id, n::BIGINT AS n_words, (length(t) - blank)::BIGINT AS word_chars
 FROM z LEFT JOIN cd ON cd.doc_id = z.doc_id LEFT JOIN wd ON wd.doc_id = z.doc_id
 """
 
+AUDIT = rf"""
+WITH RECURSIVE o(filter_order, k) AS (SELECT '', 0 UNION ALL SELECT filter_order || f, k + 1 FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f)
+  WHERE k < 5 AND NOT contains(filter_order, f)),
+w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY part, fails),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, string_split(left(filter_order, step - 1), '') AS ran FROM o, range(1, 6) r(step) WHERE k = 5),
+x AS (SELECT part, filter_order, step::INTEGER AS step, f, fails = f AS only_f, contains(fails, f) AS hit, list_has_any(ran, string_split(fails, '')) AND fails <> '' AND step > 1 AS gone, n, good, toxic FROM g, s),
+y AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (only_f), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM y
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": MIX, "op6_quality_rules": QUALITY, "op7_format_chat": CHAT, "op10_ngram_jaccard": JACCARD}
+    return {"op3_mix_sources": MIX, "op6_quality_rules": QUALITY, "op7_format_chat": CHAT, "op10_ngram_jaccard": JACCARD, "op13_filter_audit": AUDIT}
