@@ -38,9 +38,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def crc_of(key: str) -> Column:
+    """crc32 of the key as text, unsigned; a null key counts as the empty text."""
+    return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8"))
+
+
 def crc_bucket(key: str, n: int) -> Column:
-    """crc32 of the key as text, modulo n; a null key counts as the empty text."""
-    return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % n
+    """``crc_of`` modulo n."""
+    return crc_of(key) % n
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -76,9 +76,9 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """uint64 hash of every word (A-Z lower-cased), and where each text's words begin."""
-    data, first = buffer_of(texts, lower=True)
+def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """uint64 hash of every word (``lower``: A-Z lower-cased), and where each text's words begin."""
+    data, first = buffer_of(texts, lower)
     start, end = runs(~_BLANK[data])
     return Spans(data).hash(start, end), np.searchsorted(start, first)
 

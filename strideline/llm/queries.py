@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import chat, decontaminate, filter_audit, html, jaccard, katz, langid, mixing, quality, secrets, suffixes, twins
-from strideline.llm.columns import crc_bucket
+from strideline.llm import chat, decontaminate, filter_audit, html, jaccard, katz, langid, mixing, periods, quality, secrets, suffixes, twins
+from strideline.llm.columns import crc_bucket, crc_of, let, text_of, words_of
 from strideline.sources.tables import table
 
 
@@ -101,6 +101,35 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    h = crc_of("doc_id")
+    g = F.floor(h / 10)
+
+    def cycled(words: Column) -> Column:  # from the a-th word on, every word is the one a period of p before
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        again = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+        return F.array_join(again, " ")
+
+    t = text_of("text")
+    chosen = (h % 10 == 0) & (F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]")) > 0)
+    found = periods.find_runs(docs.select("doc_id", F.when(chosen, let(words_of(t), cycled)).otherwise(t).alias("text")))
+    best = F.aggregate(
+        "runs", F.get("runs", F.lit(0)), lambda x, y: F.when(y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x)
+    )
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "row.doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_five(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -116,6 +145,7 @@ _QUERIES = (
     op8_suffix_dedup,
     op9_decontaminate,
     op10_ngram_jaccard,
+    op12_periodic_runs,
     op13_filter_audit,
 )
 
