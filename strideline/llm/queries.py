@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import chat, decontaminate, filter_audit, html, jaccard, katz, langid, mixing, periods, quality, secrets, suffixes, twins
+from strideline.llm import chat, decontaminate, filter_audit, html, jaccard, katz, langid, mixing, periods, quality, rules, secrets, suffixes, twins
 from strideline.llm.columns import crc_bucket, crc_of, let, text_of, words_of
+from strideline.sources.scratch import Scratch
 from strideline.sources.tables import table
 
 
@@ -101,6 +102,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), rules.statistics(text_of("text")).alias("stats")
+    )
+    docs = Scratch(spark, "quality").save(docs, "statistics")  # texts are read once
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    model = rules.fit(docs.filter(~F.col("held_out")).join(labels, F.col("doc_id") == F.col("id")))
+    score = model.score(F.col("stats"))
+    return docs.select("doc_id", "held_out", score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     h = crc_of("doc_id")
@@ -145,6 +157,7 @@ _QUERIES = (
     op8_suffix_dedup,
     op9_decontaminate,
     op10_ngram_jaccard,
+    op11_quality_classifier,
     op12_periodic_runs,
     op13_filter_audit,
 )
