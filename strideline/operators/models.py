@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strideline.operators.boosting import HistogramTrees
+from strideline.operators.moments import LeastSquares
 from strideline.sources.scratch import Scratch
 
 #: name -> learner of (inputs, classes). ``weight`` is the column of row weights.
@@ -32,7 +34,7 @@ LEARNERS: dict[str, Callable] = {
     "logistic_l1": lambda d, k: LogisticRegression(regParam=0.01, elasticNetParam=1.0, weightCol="weight", maxIter=20),
     "perceptron_layers": lambda d, k: MultilayerPerceptronClassifier(layers=[d, 16, k], maxIter=20, seed=42),
     "boosted_trees": lambda d, k: _binary(GBTClassifier(maxIter=100, maxDepth=3, seed=42, weightCol="weight"), k),
-    "histogram_trees": lambda d, k: _binary(GBTClassifier(maxIter=5, maxDepth=5, maxBins=255, seed=42, weightCol="weight"), k),
+    "histogram_trees": lambda d, k: HistogramTrees(classes=k, weight="weight"),
     "tree": lambda d, k: DecisionTreeClassifier(maxDepth=10, weightCol="weight", seed=42),
     "forest": lambda d, k: RandomForestClassifier(numTrees=100, maxDepth=6, weightCol="weight", seed=42),
     "linear_svm": lambda d, k: _binary(LinearSVC(weightCol="weight", maxIter=20, regParam=0.01), k),
@@ -44,7 +46,7 @@ REGRESSORS: dict[str, Callable] = {
     "ridge": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0),
     "lasso": lambda: LinearRegression(regParam=0.01, elasticNetParam=1.0),
     "huber": lambda: LinearRegression(loss="huber", maxIter=50),
-    "forest_regression": lambda: RandomForestRegressor(numTrees=20, maxDepth=6, seed=42),
+    "forest_regression": lambda: RandomForestRegressor(numTrees=100, maxDepth=6, seed=42),
 }
 
 
@@ -52,19 +54,17 @@ def _binary(learner, classes: int):
     return learner if classes == 2 else OneVsRest(classifier=learner, weightCol="weight")
 
 
-def balanced(df: DataFrame, label: str) -> DataFrame:
-    """Adds ``weight`` = n / (k n_c), by a join with one row a class."""
+def balanced(df: DataFrame, label: str, by: DataFrame | None = None) -> DataFrame:
+    """Adds ``weight`` = n / (k n_c) of ``by`` (the training rows), by a join with one row a class."""
     from strideline.operators.stats import balanced_weights
 
-    w = balanced_weights(df, label).select(F.col(label).alias("__l"), "weight")
+    w = balanced_weights(df if by is None else by, label).select(F.col(label).alias("__l"), "weight")
     return df.join(F.broadcast(w), F.col(label) == F.col("__l")).drop("__l")  # one row a class of a classifier
 
 
 def ridge_classifier(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
-    """Least squares on -1 and 1; the sign is the class."""
-    signed = train.withColumn("__y", 2.0 * F.col(label) - 1)
-    model = LinearRegression(labelCol="__y", regParam=1.0, weightCol="weight").fit(signed)
-    return model.transform(test).withColumn("prediction", (F.col("prediction") > 0).cast("double"))
+    """Ridge regression on -1 and 1 with penalty 1; the sign is the class."""
+    return LeastSquares(1.0, signed=True, label=label, weight="weight").fit(train).transform(test)
 
 
 def self_training(train: DataFrame, label: str, rounds: int = 3, sure: float = 0.75) -> tuple[object, int]:

@@ -34,7 +34,7 @@ def register(sql: str | None = None, name: str | None = None) -> Callable[[Query
 
 
 def queries() -> dict[str, Query]:
-    from strideline.plans import learned, starts  # noqa: F401  register themselves
+    from strideline.plans import fitted, learned, starts  # noqa: F401  register themselves
 
     return dict(_QUERIES)
 

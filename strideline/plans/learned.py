@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideline.operators import evaluate, models, prep, splits
+from strideline.operators.boosting import HistogramTrees
 from strideline.plans.catalog import register
+from strideline.plans.fitted import fold_sql, solve_sql
 from strideline.sources.scratch import Scratch
 from strideline.sources.tables import table
 
@@ -26,11 +28,11 @@ def _holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row, key, features, label, weight and fold, scaled on the training rows; saved, for most fits read it many times."""
+    """row, key, features, label, weight and fold, scaled and weighted by the training rows; saved, for most fits read it many times."""
     li = table(spark, sf_dir, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("double"))
     li = li.withColumn("fold", splits.folds("l_orderkey", 5))
     rows = prep.chain(NUM).fit(li.filter("fold != 0")).transform(li).select(*KEY, "features", "label", "fold")
-    rows = models.balanced(rows, "label").withColumn("row", F.monotonically_increasing_id())
+    rows = models.balanced(rows, "label", rows.filter("fold != 0")).withColumn("row", F.monotonically_increasing_id())
     return Scratch(spark, "matrix").save(rows, "rows")
 
 
@@ -110,30 +112,27 @@ def _regress(name: str) -> None:
         return models.REGRESSORS[name]().fit(v.filter("fold != 0")).transform(v.filter("fold = 0")).select(*KEY, "label", "prediction")
 
 
-for _name in models.REGRESSORS:
+for _name in ("lasso", "huber", "forest_regression"):
     _regress(_name)
 
 
 @register()
-def fit_polynomial_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fit_lasso_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumn("fold", splits.folds("l_orderkey", 5)).withColumn("label", F.col("l_extendedprice") / 1000)
     v = prep.chain(["l_quantity", "l_discount", "l_tax"], degree=2).fit(li.filter("fold != 0")).transform(li)
-    return models.REGRESSORS["linear"]().fit(v.filter("fold != 0")).transform(v.filter("fold = 0")).select(*KEY, "label", "prediction")
+    return models.REGRESSORS["lasso"]().fit(v.filter("fold != 0")).transform(v.filter("fold = 0")).select(*KEY, "label", "prediction")
 
 
-def _penalised(name: str) -> None:
-    @register(name=f"fit_{name}_polynomial")
-    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        li = table(spark, sf_dir, "lineitem").withColumn("fold", splits.folds("l_orderkey", 5)).withColumn("label", F.col("l_extendedprice") / 1000)
-        v = prep.chain(["l_quantity", "l_discount", "l_tax"], degree=2).fit(li.filter("fold != 0")).transform(li)
-        return models.REGRESSORS[name]().fit(v.filter("fold != 0")).transform(v.filter("fold = 0")).select(*KEY, "label", "prediction")
-
+_Z = [f"({c} - (SELECT avg({c}) FROM l WHERE fold <> 0)) / (SELECT stddev_samp({c}) FROM l WHERE fold <> 0) AS x{i}" for i, c in enumerate(NUM)]
+_SIGNED = f"""l AS (SELECT *, {fold_sql(5)} AS fold FROM lineitem),
+r AS (SELECT {', '.join(KEY)}, fold, {', '.join(_Z)}, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM l),
+train AS (SELECT *, (SELECT count(*) FROM r WHERE fold <> 0)::DOUBLE / (2 * count(*) OVER (PARTITION BY y)) AS w FROM r WHERE fold <> 0)"""
 
-for _name in ("ridge", "lasso"):
-    _penalised(_name)
 
-
-@register()
+@register(
+    f"""WITH {_SIGNED}, {solve_sql('s', 'train', len(NUM), 1.0)} SELECT {', '.join(KEY)}, (y > 0)::INT::DOUBLE AS label,
+    (c{''.join(f' + w{i} * x{i}' for i in range(len(NUM)))} > 0)::INT::DOUBLE AS prediction FROM r, s WHERE fold = 0"""
+)
 def fit_ridge_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matrix(spark, sf_dir)
     return models.ridge_classifier(m.filter("fold != 0"), m.filter("fold = 0"), "label").select(*KEY, "label", "prediction")
@@ -147,10 +146,25 @@ def fit_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.LEARNERS["logistic_l2"](64, 10).fit(v.filter("fold != 0")).transform(v.filter("fold = 0")).select("vec_id", "label", "prediction")
 
 
+@register()
+def fit_histogram_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three classes, one tree a class and round, grown in the same passes."""
+    m = matrix(spark, sf_dir).join(_flags(spark, sf_dir), KEY)
+    learner = HistogramTrees(classes=3, label="flag")
+    return learner.fit(m.filter("fold != 0")).transform(m.filter("fold = 0")).select(*KEY, F.col("flag").alias("label"), "prediction")
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0)
+    return table(spark, sf_dir, "lineitem").select(*KEY, flag.alias("flag")).dropDuplicates(KEY)
+
+
 @register()
 def self_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds 1 and 2 have labels, 3 and 4 are told by the model, 0 is held out."""
     m = matrix(spark, sf_dir)
-    model, _ = models.self_training(m.withColumn("label", F.when(F.col("fold") < 3, F.col("label"))), "label", 2, 0.52)
+    train = m.filter("fold != 0").withColumn("label", F.when(F.col("fold") < 3, F.col("label")))
+    model, _ = models.self_training(train, "label", 2, 0.52)
     return model.transform(m.filter("fold = 0")).select(*KEY, "label", "prediction")
 
 
