@@ -38,6 +38,8 @@ def folder(spark, tmp_path_factory):
     out = tmp_path_factory.mktemp("sf")
     spark.createDataFrame(docs, f"doc_id bigint, text string, lang string, source string, n_chars bigint, {CLASH}").write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{out}/benchmark.parquet")
+    labels = [(i, int(i not in (45, 46, 47)), int(i % 6 == 0)) for i in range(len(texts)) if i % 5] + [(3, 0, 1), (None, 1, 1), (999, 0, None)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
     pages = [(i, "u", f"<html><nav>go</nav><article><h1>T</h1><p>{t}</p></article><footer>f</footer></html>") for i, t in enumerate(texts[:5])] + [(9, None, None)]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{out}/pages.parquet")
     turns = [(c, t, ("user", "assistant")[t % 2], texts[(c + t) % 40]) for c in range(4) for t in range(5)] + [(1, 9, "assistant", None)]
@@ -52,7 +54,7 @@ def _rows(df):
 @pytest.mark.parametrize("name", sorted(twins.oracle_sql()))
 def test_query_equals_its_sql(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.execute(f"create view {t} as select * from '{folder[0]}/{t}.parquet/*.parquet'")
     got = queries.queries()[name](spark, folder[0])
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({twins.oracle_sql()[name]})").fetchall()
