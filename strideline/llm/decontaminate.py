@@ -52,6 +52,8 @@ class Decontamination:
     alone: int = 2
 
 
+#: Words between two kept counts of the places that joined words take.
+BLOCK = 64
 #: Marks that the templates put into a text: words of one value, a name, an end. Taken out of texts before.
 _JOINT, _NAME, _END = "\u0001", "\u0002", "\u0003"
 
@@ -112,6 +114,29 @@ def _ends(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(bare, r"\s+", " "), " "), lambda x: x.endswith("\u0003"))
 
 
+def _joints_before(values: Column) -> Column:
+    """``_joints`` of all values before every BLOCK-th, in linear time."""
+    blocks = F.sequence(F.lit(0), F.floor(F.size(values) / BLOCK).cast("int"))
+    sums = F.transform(blocks, lambda b: _joints(F.slice(values, b * BLOCK + 1, BLOCK)))
+    return F.aggregate(sums, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+
+
+def _window(d: Column, before: Column, p: Column) -> Column:
+    """A place of a document that was met: its words and values, its place among the plain words, and whether it is a whole sentence."""
+    at, w = p["at"], p["w"]
+    first = F.floor(at / BLOCK).cast("int")
+    moved = F.get(before, first) + _joints(F.slice(d["dv"], first * BLOCK + 1, at - first * BLOCK))
+    starts = (at == 0) | F.get(d["de"], at - 1)
+    ends = (at + w == F.size(d["dp"])) | F.get(d["de"], at + w - 1)
+    return F.struct(
+        at.alias("dat"), w.alias("dw"), p["plain"].alias("dplain"),
+        F.slice(F.when(p["plain"], d["dp"]).otherwise(d["dt"]), at + 1, w).alias("said"),
+        F.slice(d["dv"], at + 1, w).alias("dvw"),
+        (at + F.when(p["plain"], 0).otherwise(moved)).alias("place"),
+        (starts & ends).alias("whole"),
+    )
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -173,17 +198,14 @@ def find_contamination(
     # Only ids, places and hashes meet the benchmark; the words follow for the documents that were hit.
     met = looked.select("doc", F.explode(F.array(*found)).alias("hs")).select("doc", F.posexplode("hs").alias("at", "h"))
     met = scratch.save(met.join(grams, F.col("h") == F.col("ih")), "met")
-    hit_docs = scratch.save(met.select(F.col("doc").alias("hit")).distinct(), "hit-docs")
-    words = looked.join(hit_docs, F.col("doc") == F.col("hit"), "left_semi").select(
-        F.col("doc").alias("of"), "id", template.alias("dt"), values.alias("dv"), plain.alias("dp"), _ends(F.col("t")).alias("de")
+    # Of a document that was hit, its row gives the words of each place that was met, and no more: a join with
+    # the document itself would carry all of its words with every window.
+    hit_docs = scratch.save(met.groupBy(F.col("doc").alias("hit")).agg(F.collect_set(F.struct("at", "w", "plain")).alias("places")), "hit-docs")
+    read = F.struct(template.alias("dt"), values.alias("dv"), plain.alias("dp"), _ends(F.col("t")).alias("de"))
+    words = looked.join(hit_docs, F.col("doc") == F.col("hit")).select(
+        F.col("doc").alias("of"), "id", F.inline(let(read, lambda d: let(_joints_before(d["dv"]), lambda before: F.transform("places", lambda p: _window(d, before, p)))))
     )
-    runs = F.filter(F.transform("dv", lambda x, i: F.struct(i.alias("i"), _joints(F.array(x)).alias("n"))), lambda x: x["n"] > 0)
-    words = words.withColumn("dr", F.when(F.size("dv") < F.size("dp"), runs).otherwise(F.array().cast("array<struct<i:int,n:int>>")))
-    starts = (F.col("at") == 0) | F.get("de", F.col("at") - 1)
-    ends = (F.col("at") + F.col("w") == F.size("dp")) | F.get("de", F.col("at") + F.col("w") - 1)
-    # The place of a template word among the plain words of the document.
-    moved = F.aggregate(F.filter("dr", lambda x: x["i"] < F.col("at")), F.lit(0), lambda n, x: n + x["n"])
-    place = F.col("at") + F.when(F.col("plain"), 0).otherwise(moved)
+    words = scratch.save(words, "windows")
     slots = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.col("w") - 1),
@@ -192,11 +214,9 @@ def find_contamination(
         lambda s: ~F.col("plain") & s["kind"].startswith("<"),
     )
     hits = (
-        met.join(words, F.col("doc") == F.col("of"))
-        .filter(F.slice(F.when(F.col("plain"), F.col("dp")).otherwise(F.col("dt")), F.col("at") + 1, F.col("w")) == F.col("iw"))
-        .filter((F.col("item_words") > cfg.alone) | starts & ends)
-        .select("doc", "id", "item", "item_words", "w", "lo", "hi", (place - F.col("lo")).alias("diagonal"), "iw", "ivw",
-                F.slice("dv", F.col("at") + 1, F.col("w")).alias("dvw"), "plain")
+        met.join(words, (F.col("doc") == F.col("of")) & (F.col("at") == F.col("dat")) & (F.col("w") == F.col("dw")) & (F.col("plain") == F.col("dplain")))
+        .filter((F.col("said") == F.col("iw")) & ((F.col("item_words") > cfg.alone) | F.col("whole")))
+        .select("doc", "id", "item", "item_words", "w", "lo", "hi", (F.col("place") - F.col("lo")).alias("diagonal"), "iw", "ivw", "dvw", "plain")
         .select("doc", "id", "item", "item_words", "lo", "hi", "diagonal", slots.alias("slots"))
     )
 
