@@ -201,6 +201,9 @@ def find_contamination(
     # Of a document that was hit, its row gives the words of each place that was met, and no more: a join with
     # the document itself would carry all of its words with every window.
     hit_docs = scratch.save(met.groupBy(F.col("doc").alias("hit")).agg(F.collect_set(F.struct("at", "w", "plain")).alias("places")), "hit-docs")
+    # Short ids first leave the texts of the others where they are; a shared short id only lets one more through.
+    short = scratch.save(hit_docs.select(F.xxhash64("hit").alias("short")).distinct(), "hit-ids")
+    looked = looked.join(short, F.xxhash64("doc") == F.col("short"), "left_semi")
     read = F.struct(template.alias("dt"), values.alias("dv"), plain.alias("dp"), _ends(F.col("t")).alias("de"))
     words = looked.join(hit_docs, F.col("doc") == F.col("hit")).select(
         F.col("doc").alias("of"), "id", F.inline(let(read, lambda d: let(_joints_before(d["dv"]), lambda before: F.transform("places", lambda p: _window(d, before, p)))))
