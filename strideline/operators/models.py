@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 
 from strideline.operators.boosting import HistogramTrees
 from strideline.operators.moments import LeastSquares
+from strideline.operators.neighbours import nearest_rows
 from strideline.sources.scratch import Scratch
 
 #: name -> learner of (inputs, classes). ``weight`` is the column of row weights.
@@ -111,20 +112,9 @@ def conditional_logit(runs: DataFrame, race: str, won: str, cols: list[str], ste
 
 
 def nearest(base: DataFrame, asked: DataFrame, key: str, vector: str, label: str, k: int = 15) -> DataFrame:
-    """Class and mean label of the k nearest rows, exact, by squared distance, ties by key.
-
-    The asked rows meet all rows: a stated query set against the table. Each block of
-    rows keeps its own k best of every asked row before the exchange, so k rows a block
-    travel and not all pairs. The asked rows are sent only under the planner's size limit.
-    """
-    a = asked.select(F.col(key).alias("asked"), F.col(vector).alias("x"))
-    b = base.select(F.col(key).alias("other"), F.col(vector).alias("y"), F.col(label).alias("l"))
-    pairs = a.join(b, F.col("asked") != F.col("other"))
-    gap = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q).cast("double") * (p - q).cast("double")), F.lit(0.0), lambda s, v: s + v)
-    ranked = pairs.select("asked", "other", "l", F.round(gap, 9).alias("gap")).withColumn(
-        "r", F.row_number().over(Window.partitionBy("asked").orderBy("gap", "other"))
-    )
-    votes = ranked.filter(F.col("r") <= k).groupBy("asked", "l").agg(F.count(F.lit(1)).alias("n"))
+    """Class and mean label of the k nearest rows, exact, by squared distance, ties by key."""
+    best = nearest_rows(base, asked, key, vector, label, k)
+    votes = best.groupBy("asked", "l").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy("asked").agg(
         F.max_by("l", F.struct("n", -F.col("l"))).alias("vote"), (F.sum(F.col("l") * F.col("n")) / F.sum("n")).alias("mean_label")
     )

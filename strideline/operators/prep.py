@@ -62,7 +62,7 @@ def iterative_fill(df: DataFrame, cols: list[str], rounds: int = 3) -> DataFrame
 def nearest_fill(df: DataFrame, key: str, vector: str, c: str, k: int = 12) -> DataFrame:
     """Nulls of ``c`` become the mean of the k rows nearest by ``vector`` that have a value.
 
-    The rows without a value are the query set; each block of the others keeps its k best of every one.
+    The rows without a value are the query set.
     """
     from strideline.operators.models import nearest
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideline.functions import scalars as sc
-from strideline.operators import form, nested, splits, stats
+from strideline.operators import form, nested, segments, splits, stats
 from strideline.plans.inputs import RECORDS_SQL, RUNS_SQL, records, runs
+from strideline.sources.scratch import Scratch
 from strideline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,6 +217,9 @@ def _trailing(how: str, days: int) -> None:
 
     @register(sql, f"trailing_{how}_{days}")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if how == "median":
+            out = segments.trailing(records(spark, sf_dir), ["name"], "day", "result", [days], Scratch(spark, "trailing"), "records", ("neither", "right"))
+            return out.select("rec", F.round(f"median_{days}", 6).alias("before"), F.round(f"median_{days}_right", 6).alias("with_day"))
         return records(spark, sf_dir).select(
             "rec",
             F.round(form.trailing_days("result", "name", "day", days, how), 6).alias("before"),
@@ -315,6 +319,25 @@ def form_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BY_HORSE = ("starts", "prev_result", "prev_speed", "mean_result_3", "mean_result_6", "sum_distance_4", "form_diff", "rest_days", "weight_change", "wins", "win_rate", "mean_result")
+_HORSE_ROUNDED = ("mean_result_3", "mean_result_6", "weight_change", "win_rate", "mean_result")
+
+
+@register(
+    f"""WITH runs AS ({RUNS_SQL}), f AS (SELECT *, round_even((distance / finish_time)::DOUBLE, 8) AS speed, (result = 1)::INT AS won FROM runs)
+    SELECT {_K}, row_number() OVER ({_W}) - 1 AS starts, lag(result) OVER ({_W}) AS prev_result, lag(speed) OVER ({_W}) AS prev_speed,
+      round((({_lags("result", 1, 3)}) / 3.0)::DOUBLE, 6) AS mean_result_3, round((({_lags("result", 1, 6)}) / 6.0)::DOUBLE, 6) AS mean_result_6,
+      {_lags("distance", 1, 4)} AS sum_distance_4, lag(result) OVER ({_W}) - ({_lags("result", 2, 6)}) AS form_diff,
+      coalesce(race_date - lag(race_date) OVER ({_W}), 0)::INT AS rest_days, round(weight - lag(weight) OVER ({_W}), 6) AS weight_change,
+      coalesce(sum(won) OVER {_PRIOR}, 0)::BIGINT AS wins,
+      round(coalesce(sum(won) OVER {_PRIOR}, 0)::DOUBLE / nullif(row_number() OVER ({_W}) - 1, 0), 6) AS win_rate, round(avg(result) OVER {_PRIOR}, 6) AS mean_result FROM f"""
+)
+def form_features_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histories by horse, cut into segments for entities with a great share of all rows."""
+    out = segments.form_features(runs(spark, sf_dir), Scratch(spark, "segments"))
+    return out.select(*KEY, *[F.round(c, 6).alias(c) if c in _HORSE_ROUNDED else F.col(c).cast("bigint") if c == "starts" else F.col(c) for c in _BY_HORSE])
+
+
 # Statistics
 
 

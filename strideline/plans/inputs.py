@@ -19,9 +19,10 @@ SELECT o_custkey AS name, o_orderkey AS rec, o_orderdate::DATE AS day, o_totalpr
 """
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries joined with their races."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("race_date"))
+def runs(spark: SparkSession, sf_dir: str, trained: bool = False) -> DataFrame:
+    """Entries joined with their races; ``trained``: with trainer and odds too."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("trainer"), F.col("o_orderdate").cast("date").alias("race_date"))
+    more = ["trainer", F.col("l_discount").alias("win_odds")] if trained else []
     li = table(spark, sf_dir, "lineitem")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("l_orderkey").alias("race_id"),
@@ -34,6 +35,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("finish_time"),
         F.col("l_tax").alias("weight"),
         F.col("l_returnflag").alias("flag"),
+        *more,
     )
 
 

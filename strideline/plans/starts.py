@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideline.functions.ordering import global_running
 from strideline.functions.scalars import ticket_cost
-from strideline.operators import evaluate, form, models, prep, splits, stats
+from strideline.operators import evaluate, form, models, prep, segments, splits, stats
 from strideline.plans.catalog import KEY, ORDER, register
 from strideline.plans.inputs import RECORDS_SQL, RUNS_SQL, records, runs
 from strideline.sources.scratch import Scratch
@@ -15,24 +15,13 @@ from strideline.sources.tables import table
 
 _K = ", ".join(KEY)
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-_STARTS = f"""SELECT r.*, o_custkey AS trainer, round(1000 * distance / finish_time, 6) AS speed, l.l_discount AS win_odds
-FROM ({RUNS_SQL}) r JOIN orders ON race_id = o_orderkey
-JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount FROM lineitem) l
-ON l_orderkey = race_id AND l_linenumber = horse_no AND l_partkey = horse AND l_suppkey = jockey AND l_extendedprice = finish_time"""
+_STARTS = f"""SELECT r.*, round(1000 * distance / finish_time, 6) AS speed
+FROM ({RUNS_SQL.replace("l_returnflag AS flag", "l_returnflag AS flag, o_custkey AS trainer, l_discount AS win_odds")}) r"""
 
 
 def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with trainer, speed and odds."""
-    trainers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("of_race"), F.col("o_custkey").alias("trainer"))
-    odds = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("o1"), F.col("l_linenumber").alias("o2"), F.col("l_partkey").alias("o3"),
-        F.col("l_suppkey").alias("o4"), F.col("l_extendedprice").alias("o5"), F.col("l_discount").alias("win_odds"),
-    ).distinct()
-    r = runs(spark, sf_dir)
-    same = (F.col("race_id") == F.col("o1")) & (F.col("horse_no") == F.col("o2")) & (F.col("horse") == F.col("o3"))
-    same = same & (F.col("jockey") == F.col("o4")) & (F.col("finish_time") == F.col("o5"))
-    out = r.join(trainers, F.col("race_id") == F.col("of_race")).join(odds, same)
-    return out.drop("of_race", "o1", "o2", "o3", "o4", "o5").withColumn("speed", F.round(1000 * F.col("distance") / F.col("finish_time"), 6))
+    return runs(spark, sf_dir, trained=True).withColumn("speed", F.round(1000 * F.col("distance") / F.col("finish_time"), 6))
 
 
 def _starts(body: str) -> str:
@@ -66,12 +55,11 @@ def _trailing_of(measure: str) -> None:
     @register(_starts(f"SELECT {_K}, {', '.join(names)}, {ranks} FROM (SELECT *, {made} FROM starts)"), f"trailing_table_{measure}")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Twelve trailing statistics of one measure, and the rank of each inside its race."""
-        s = starts(spark, sf_dir)
-        s = s.withColumns(
-            {f"{how}_{d}": F.round(form.trailing_days(measure, _MEASURES[measure], "race_date", d, how), 9) for how in _STATS for d in _SPANS}
-        )
+        scratch = Scratch(spark, "trailing")
+        s = segments.trailing(starts(spark, sf_dir), _MEASURES[measure], "race_date", measure, list(_SPANS), scratch, measure)
+        s = s.withColumns({n: F.round(n, 9) for n in names})
         # Saved between the windows by entity and those by race.
-        s = Scratch(spark, "trailing").save(s.select(*KEY, *names), measure)
+        s = scratch.save(s.select(*KEY, *names), "statistics")
         return s.withColumns({f"{n}_rank": F.round(form.pct_rank_in(n, "race_id"), 9) for n in names})
 
 
