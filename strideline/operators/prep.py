@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
     PCA,
@@ -20,12 +21,13 @@ from pyspark.ml.feature import (
     VectorAssembler,
     VectorSlicer,
 )
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Widest polynomial expansion that is built without a warning.
 WIDE = 2_000
+#: Most patterns of missing columns whose sums a chained imputation takes to the driver.
+PATTERNS = 4096
 
 
 def fit_fill(df: DataFrame, cols: list[str], how: str = "mean") -> dict[str, object]:
@@ -47,16 +49,54 @@ def fill(df: DataFrame, values: dict[str, object], indicator: bool = False) -> D
 
 
 def iterative_fill(df: DataFrame, cols: list[str], rounds: int = 3) -> DataFrame:
-    """Chained regressions: each column's nulls are predicted from the others, round by round."""
-    missing = {f"__{c}_null": F.col(c).isNull() for c in cols}
-    out = fill(df.withColumns(missing), fit_fill(df, cols))
+    """Chained regressions: each column's nulls are predicted from the others, round by round.
+
+    A filled row is a linear function of its known values, the same for all rows with the same columns
+    missing. So the sums of products by pattern of missing columns, one scan, give every
+    regression of every round; then the rows are filled once.
+    """
+    from strideline.operators.moments import Solver, fold_moments
+
+    if len(cols) > 62:
+        raise ValueError("patterns of at most 62 columns")
+    d = len(cols)
+    pattern = sum((F.when(F.col(c).isNull(), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, c in enumerate(cols)), F.lit(0).cast("bigint"))
+    known = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
+    rows = fold_moments(df, known, F.lit(0.0), pattern).limit(PATTERNS + 1).collect()
+    if len(rows) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} patterns of missing columns")
+    sums = {r["fold"]: np.array(r["s"]).reshape(d + 2, d + 2)[:-1, :-1] for r in rows}
+    means = np.zeros(d)
+    for i in range(d):
+        n, s = (sum(m[0, j] for p, m in sums.items() if not p >> i & 1) for j in (0, i + 1))
+        means[i] = s / n if n else 0.0
+    # Row c of a pattern's matrix makes (1, values) the filled value of column c.
+    fills = {}
+    for p in sums:
+        fills[p] = np.eye(d + 1)
+        for i in range(d):
+            if p >> i & 1:
+                fills[p][i + 1] = [means[i], *[0.0] * d]
     for _ in range(rounds):
-        for c in cols:
-            others = VectorAssembler(inputCols=[x for x in cols if x != c], outputCol="__x")
-            rows = others.transform(out)
-            model = LinearRegression(featuresCol="__x", labelCol=c, predictionCol="__p").fit(rows.filter(~F.col(f"__{c}_null")))
-            out = model.transform(rows).withColumn(c, F.when(F.col(f"__{c}_null"), F.col("__p")).otherwise(F.col(c))).drop("__x", "__p")
-    return out.drop(*missing)
+        for i in range(d):
+            order = [0, *[j + 1 for j in range(d) if j != i], i + 1]
+            s = sum((fills[p] @ m @ fills[p].T for p, m in sums.items() if not p >> i & 1), np.zeros((d + 1, d + 1)))
+            if s[0, 0] <= 0:
+                continue  # a column without values
+            c = Solver(s[np.ix_(order, order)]).ridge(0.0)
+            for p in fills:
+                if p >> i & 1:
+                    fills[p][i + 1] = c @ fills[p][order[:-1]]
+    table = [(p, [[float(v) for v in f[i + 1]] for i in range(d)]) for p, f in fills.items()]
+    of = df.sparkSession.createDataFrame(table, "__pattern bigint, __fill array<array<double>>")
+    out = df.withColumn("__mask", pattern).join(of, F.col("__mask") == F.col("__pattern"), "left")
+
+    def filled(i: int) -> Column:
+        w = F.get("__fill", F.lit(i))
+        return F.aggregate(F.zip_with(F.concat(F.array(F.lit(1.0)), known), w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    values = {c: F.when(F.col(c).isNull(), filled(i)).otherwise(F.col(c).cast("double")) for i, c in enumerate(cols)}
+    return out.withColumns(values).drop("__mask", "__pattern", "__fill")
 
 
 def nearest_fill(df: DataFrame, key: str, vector: str, c: str, k: int = 12) -> DataFrame:
@@ -145,17 +185,29 @@ def recursive_elimination(df: DataFrame, names: list[str], label: str, fold: str
     from pyspark.ml.classification import LogisticRegression
     from pyspark.sql.window import Window
 
-    from strideline.operators.evaluate import fold_scores, out_of_fold
-
-    left, frames = list(names), []
-    while left:
-        rows = VectorSlicer(inputCol="features", outputCol="__kept", indices=[names.index(n) for n in left]).transform(df)
-        learner = LogisticRegression(featuresCol="__kept", labelCol=label, maxIter=20, weightCol="weight")
-        worst = importances(learner.fit(rows), left)[-1][0]
-        score = fold_scores(out_of_fold(rows, learner, fold, k), fold, label).agg(F.avg("accuracy").alias("mean_accuracy"))
-        frames.append(score.select(F.lit(len(left)).alias("n_features"), F.lit(",".join(left)).alias("features"), F.lit(worst).alias("dropped"), "mean_accuracy"))
-        left.remove(worst)
-    out = reduce(DataFrame.unionByName, frames)
+    def drops(rows: DataFrame, held: DataFrame | None) -> list[tuple[list[str], str, float | None]]:
+        """The sets of features from all to one, what each drops, and its accuracy on the rows held out."""
+        left, out = list(names), []
+        while left:
+            slicer = VectorSlicer(inputCol="features", outputCol="__kept", indices=[names.index(n) for n in left])
+            model = LogisticRegression(featuresCol="__kept", labelCol=label, maxIter=20, weightCol="weight").fit(slicer.transform(rows))
+            worst = importances(model, left)[-1][0]
+            score = None
+            if held is not None:
+                told = model.transform(slicer.transform(held))
+                score = told.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+            out.append((list(left), worst, score))
+            left.remove(worst)
+        return out
+
+    # Each fold is scored by an elimination that has not seen it; the sets named are those of all rows.
+    scores: dict[int, list[float]] = {}
+    for i in range(k):
+        for left, _, score in drops(df.filter(F.col(fold) != i), df.filter(F.col(fold) == i)):
+            if score is not None:
+                scores.setdefault(len(left), []).append(score)
+    rows = [(len(left), ",".join(left), worst, sum(s) / len(s) if (s := scores.get(len(left))) else None) for left, worst, _ in drops(df, None)]
+    out = df.sparkSession.createDataFrame(rows, "n_features int, features string, dropped string, mean_accuracy double")
     return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc("mean_accuracy"), "n_features")) == 1)  # one row a feature
 
 

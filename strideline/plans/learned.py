@@ -214,7 +214,7 @@ def bagging(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def adaboost(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matrix(spark, sf_dir)
-    return models.adaboost(m.filter("fold != 0"), m.filter("fold = 0"), "label", 3).select(*KEY, "label", "prediction")
+    return models.adaboost(m.filter("fold != 0"), m.filter("fold = 0"), "label").select(*KEY, "label", "prediction")
 
 
 @register()
