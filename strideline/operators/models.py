@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 from strideline.operators.boosting import HistogramTrees
 from strideline.operators.moments import LeastSquares
 from strideline.operators.neighbours import nearest_rows
+from strideline.operators.sgd import SGD
 from strideline.sources.scratch import Scratch
 
 #: name -> learner of (inputs, classes). ``weight`` is the column of row weights.
@@ -39,8 +40,8 @@ LEARNERS: dict[str, Callable] = {
     "tree": lambda d, k: DecisionTreeClassifier(maxDepth=10, weightCol="weight", seed=42),
     "forest": lambda d, k: RandomForestClassifier(numTrees=100, maxDepth=6, weightCol="weight", seed=42),
     "linear_svm": lambda d, k: _binary(LinearSVC(weightCol="weight", maxIter=20, regParam=0.01), k),
-    "log_sgd": lambda d, k: LogisticRegression(regParam=0.001, weightCol="weight", maxIter=50),
-    "hinge_sgd": lambda d, k: _binary(LinearSVC(weightCol="weight", maxIter=20, regParam=0.001), k),
+    "log_sgd": lambda d, k: SGD("log", k, weight="weight"),
+    "hinge_sgd": lambda d, k: SGD("hinge", k, weight="weight"),
 }
 REGRESSORS: dict[str, Callable] = {
     "linear": lambda: LinearRegression(),

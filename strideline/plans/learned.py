@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strideline.operators import evaluate, models, prep, splits
 from strideline.operators.boosting import HistogramTrees
+from strideline.operators.sgd import SGD
 from strideline.plans.catalog import register
 from strideline.plans.fitted import fold_sql, solve_sql
 from strideline.sources.scratch import Scratch
@@ -116,6 +117,32 @@ for _name in ("lasso", "huber", "forest_regression"):
     _regress(_name)
 
 
+def _descend(loss: str) -> None:
+    @register(name=f"fit_{loss}_sgd")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        li = _scaled_price(spark, sf_dir)
+        return SGD(loss).fit(li.filter("fold != 0")).transform(li.filter("fold = 0")).select(*KEY, "label", "prediction")
+
+
+def _scaled_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").withColumn("fold", splits.folds("l_orderkey", 5))
+    li = prep.standardise(li, ["l_quantity", "l_discount", "l_tax", "l_extendedprice"], by=li.filter("fold != 0"))
+    return VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(li.withColumn("label", F.col("l_extendedprice")))
+
+
+for _name in ("squared", "huber"):
+    _descend(_name)
+
+
+@register()
+def sgd_loss_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objective before each epoch, by loss."""
+    price, m = _scaled_price(spark, sf_dir).filter("fold != 0"), matrix(spark, sf_dir).filter("fold != 0")
+    curves = {loss: SGD(loss).fit(price if loss in ("squared", "huber") else m).curve for loss in ("log", "hinge", "squared", "huber")}
+    rows = [(loss, epoch, value) for loss, curve in curves.items() for epoch, value in enumerate(curve)]
+    return spark.createDataFrame(rows, "loss string, epoch int, objective double")
+
+
 @register()
 def fit_lasso_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumn("fold", splits.folds("l_orderkey", 5)).withColumn("label", F.col("l_extendedprice") / 1000)
