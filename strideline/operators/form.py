@@ -130,14 +130,16 @@ def pct_rank_global(df: DataFrame, c: str, out: str, descending: bool = False) -
     return df.join(share, F.col(c) == F.col("__v"), "left").drop("__v")
 
 
-def form_features(runs: DataFrame) -> DataFrame:
-    """The form table of ``runs``: race_id, race_date, horse, jockey, horse_no, result, distance,
-    finish_time, weight. One exchange by horse, one by jockey, one by race."""
-    order = ["race_date", "race_id", "horse_no", "jockey", "finish_time"]
-    w, j = history("horse", order), history("jockey", ["race_date", "race_id", "horse_no", "horse", "finish_time"])
-    by_distance, by_jockey = history(["horse", "distance"], order), history(["horse", "jockey"], order)
+_BY_HORSE = ["race_date", "race_id", "horse_no", "jockey", "finish_time"]
+_BY_JOCKEY = ["race_date", "race_id", "horse_no", "horse", "finish_time"]
+
+
+def by_horse(runs: DataFrame) -> DataFrame:
+    """The columns of the form table that come from a horse's history: one exchange by horse."""
+    w = history("horse", _BY_HORSE)
+    by_distance, by_jockey = history(["horse", "distance"], _BY_HORSE), history(["horse", "jockey"], _BY_HORSE)
     out = runs.withColumns({"speed": F.bround(F.try_divide(F.col("distance"), F.col("finish_time")), 8), "won": (F.col("result") == 1).cast("int")})
-    out = out.withColumns(
+    return out.withColumns(
         {
             "starts": prior_count(w),
             "starts_at_distance": prior_count(by_distance),
@@ -156,10 +158,23 @@ def form_features(runs: DataFrame) -> DataFrame:
             "mean_168": trailing_days("result", "horse", "race_date", 168, "mean"),
         }
     )
-    out = out.withColumns({"jockey_starts": prior_count(j), "jockey_wins": prior_sum("won", j)})
-    return out.withColumns(
+
+
+def by_jockey(runs: DataFrame) -> DataFrame:
+    j = history("jockey", _BY_JOCKEY)
+    return runs.withColumns({"jockey_starts": prior_count(j), "jockey_wins": prior_sum("won", j)})
+
+
+def in_race(runs: DataFrame) -> DataFrame:
+    return runs.withColumns(
         {
             "mean_168_rank": pct_rank_in("mean_168", ["race_id", "race_date"]),
             "weight_rank": pct_rank_in("weight", ["race_id", "race_date"], descending=True),
         }
     )
+
+
+def form_features(runs: DataFrame) -> DataFrame:
+    """The form table of ``runs``: race_id, race_date, horse, jockey, horse_no, result, distance,
+    finish_time, weight. One exchange by horse, one by jockey, one by race."""
+    return in_race(by_jockey(by_horse(runs)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideline.functions import scalars as sc
-from strideline.operators import form, nested, segments, splits, stats
+from strideline.operators import form, nested, segments, splits, state, stats
 from strideline.plans.inputs import RECORDS_SQL, RUNS_SQL, records, runs
 from strideline.sources.scratch import Scratch
 from strideline.sources.tables import table
@@ -34,6 +34,11 @@ def register(sql: str | None = None, name: str | None = None) -> Callable[[Query
     return add
 
 
+def oracle_of(name: str) -> str:
+    """The SQL twin of a query registered before."""
+    return _ORACLE[name]
+
+
 def queries() -> dict[str, Query]:
     from strideline.plans import fitted, learned, starts  # noqa: F401  register themselves
 
@@ -338,6 +343,40 @@ def form_features_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEY, *[F.round(c, 6).alias(c) if c in _HORSE_ROUNDED else F.col(c).cast("bigint") if c == "starts" else F.col(c) for c in _BY_HORSE])
 
 
+_CARD = "prev_result prev_speed mean_result_3 mean_result_6 sum_distance_4 form_diff rest_days weight_change wins win_rate mean_result".split()
+
+
+def _nth(c: str, k: int) -> str:
+    return f"max(h.{c}) FILTER (back = {k})"
+
+
+def _sum_of_last(c: str, k: int, start: int = 1) -> str:
+    return " + ".join(_nth(c, i) for i in range(start, start + k))
+
+
+@register(
+    f"""WITH runs AS ({RUNS_SQL}), f AS (SELECT *, round_even((distance / finish_time)::DOUBLE, 8) AS speed, (SELECT max(race_date) FROM runs) - INTERVAL 30 DAY AS day FROM runs),
+    h AS (SELECT *, row_number() OVER (PARTITION BY horse ORDER BY race_date DESC, race_id DESC, horse_no DESC, jockey DESC, finish_time DESC) AS back FROM f WHERE race_date < day),
+    c AS (SELECT * FROM f WHERE race_date >= day)
+    SELECT {", ".join(f"c.{k}" for k in KEY)}, count(h.horse) AS starts, {_nth("result", 1)} AS prev_result, {_nth("speed", 1)} AS prev_speed,
+      round((({_sum_of_last("result", 3)}) / 3.0)::DOUBLE, 6) AS mean_result_3, round((({_sum_of_last("result", 6)}) / 6.0)::DOUBLE, 6) AS mean_result_6,
+      {_sum_of_last("distance", 4)} AS sum_distance_4, {_nth("result", 1)} - ({_sum_of_last("result", 5, 2)}) AS form_diff,
+      coalesce(c.race_date - {_nth("race_date", 1)}, 0)::INT AS rest_days, round(c.weight - {_nth("weight", 1)}, 6) AS weight_change,
+      count(h.horse) FILTER (h.result = 1) AS wins, round(count(h.horse) FILTER (h.result = 1)::DOUBLE / nullif(count(h.horse), 0), 6) AS win_rate, round(avg(h.result), 6) AS mean_result
+    FROM c LEFT JOIN h ON h.horse = c.horse GROUP BY {", ".join(f"c.{k}" for k in KEY)}, c.race_date, c.weight"""
+)
+def card_from_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The card of the last 30 days from the state before them: built from all but a month, moved on by that month."""
+    r = runs(spark, sf_dir)
+    last = r.agg(F.max("race_date")).first()[0]
+    day = F.lit(last) - F.expr("INTERVAL 30 DAYS")
+    month = F.lit(last) - F.expr("INTERVAL 60 DAYS")
+    before, between = r.filter(F.col("race_date") < month), r.filter((F.col("race_date") >= month) & (F.col("race_date") < day))
+    known = Scratch(spark, "state").save(state.moved_on(state.state_of(before), between), "state")
+    out = state.card_features(r.filter(F.col("race_date") >= day), known)
+    return out.select(*KEY, "starts", *[F.round(c, 6).alias(c) if c in _HORSE_ROUNDED else F.col(c) for c in _CARD])
+
+
 # Statistics
 
 

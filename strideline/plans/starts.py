@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strideline.functions.ordering import global_running
 from strideline.functions.scalars import ticket_cost
 from strideline.operators import evaluate, form, models, prep, segments, splits, stats
-from strideline.plans.catalog import KEY, ORDER, register
+from strideline.plans.catalog import KEY, ORDER, oracle_of, register
 from strideline.plans.inputs import RECORDS_SQL, RUNS_SQL, records, runs
 from strideline.sources.scratch import Scratch
 from strideline.sources.tables import table
@@ -155,6 +155,55 @@ def ungrouped_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "rec", F.round(F.when(F.col("n") == 2, F.col("change")), 6).alias("change"))
 
 
+# The whole form table
+
+_FORM = "starts starts_at_distance starts_with_jockey prev_result prev_speed mean_result_3 mean_result_6 sum_distance_4 form_diff rest_days weight_change wins win_rate mean_result mean_168 jockey_starts jockey_wins mean_168_rank weight_rank".split()
+_FORM_ROUNDED = {"mean_result_3", "mean_result_6", "weight_change", "win_rate", "mean_result", "mean_168", "mean_168_rank", "weight_rank"}
+_NAMES = [f"{how}_{days}" for how in _STATS for days in _SPANS]
+
+
+def entity_columns(s: DataFrame) -> DataFrame:
+    """Every column of the form table that comes from the history of a horse, a jockey or a trainer: one exchange each."""
+    won = (F.col("result") == 1).cast("int")
+    windows = {"h": form.history("horse", ORDER), "j": form.history("jockey", _BY_JOCKEY), "t": form.history("trainer", _BY_TRAINER)}
+    h = windows["h"]
+    s = form.by_horse(s.withColumnRenamed("speed", "pace"))
+    s = s.withColumns({f"{c}_{k}": form.mean_last("pace" if c == "speed" else c, h, k) for c, k in _LAST})
+    s = s.withColumns({f"p{i}": form.previous(c, h) for i, c in enumerate(_POSITIONS, 1)} | {"hw": form.prior_sum(won, h), "hn": form.prior_count(h)})
+    s = form.by_jockey(s).withColumns({"jockey_2": form.mean_last("result", windows["j"], 2), "jw": form.prior_sum(won, windows["j"]), "jn": form.prior_count(windows["j"])})
+    s = s.withColumns({"tw": form.prior_sum(won, windows["t"]), "tn": form.prior_count(windows["t"])})
+    for a, b in _PAIRS:
+        wins, n = F.col(f"{a}w") + F.col(f"{b}w"), F.col(f"{a}n") + F.col(f"{b}n")
+        s = s.withColumns({f"{a}{b}_wins": wins.cast("bigint"), f"{a}{b}_rate": F.try_divide(wins, n)})
+    return s.withColumn("trainer_starts", F.col("tn"))
+
+
+def _form_table_sql() -> str:
+    renamed = [f"(SELECT {_K}, {', '.join(f'{n}{end} AS {m}_{n}{end}' for n in _NAMES for end in ('', '_rank'))} FROM ({oracle_of(f'trailing_table_{m}')}))" for m in _MEASURES]
+    parts = [f"({oracle_of(q)})" for q in ("form_features", "last_means_table", "all_pair_rates", "lagged_positions")] + renamed
+    return "SELECT * EXCLUDE (race_date) FROM " + " JOIN ".join(f"{p} q{i}" + (f" USING ({_K})" if i else "") for i, p in enumerate(parts))
+
+
+@register(_form_table_sql())
+def form_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All form features in one job: histories by horse, jockey and trainer, 36 statistics of the last days, and all ranks inside the race."""
+    scratch = Scratch(spark, "form")
+    s = scratch.save(entity_columns(starts(spark, sf_dir)).withColumnRenamed("mean_168", "form_168"), "entities")
+    for m, keys in _MEASURES.items():
+        s = segments.trailing(s, keys, "race_date", "pace" if m == "speed" else m, list(_SPANS), scratch, m)
+        s = s.withColumnsRenamed({n: f"{m}_{n}" for n in _NAMES})
+    # Ranks are of the values as they are given out.
+    s = s.withColumns({f"{m}_{n}": F.round(f"{m}_{n}", 9) for m in _MEASURES for n in _NAMES})
+    s = form.in_race(scratch.save(s.withColumnRenamed("form_168", "mean_168"), "statistics"))
+    s = s.withColumns({f"{c}_rank": form.pct_rank_in(c, "race_id") for c in [f"p{i}" for i in range(1, 5)] + [f"{m}_{n}" for m in _MEASURES for n in _NAMES]})
+    rounded = {c: 6 for c in _FORM_ROUNDED} | {f"{c}_{k}": 9 for c, k in _LAST} | {"jockey_2": 6} | {f"{a}{b}_rate": 9 for a, b in _PAIRS}
+    rounded |= {f"{m}_{n}_rank": 9 for m in _MEASURES for n in _NAMES}
+    whole = {"starts", "starts_at_distance", "starts_with_jockey", "jockey_starts", "trainer_starts"}
+    names = [*_FORM, *[f"{c}_{k}" for c, k in _LAST], "jockey_2", "trainer_starts", *[f"{a}{b}_{x}" for a, b in _PAIRS for x in ("wins", "rate")]]
+    names += [f"p{i}{end}" for i in range(1, 5) for end in ("", "_rank")] + [f"{m}_{n}{end}" for m in _MEASURES for n in _NAMES for end in ("", "_rank")]
+    return s.select(*KEY, *[F.round(c, rounded[c]).alias(c) if c in rounded else F.col(c).cast("bigint").alias(c) if c in whole else F.col(c) for c in names])
+
+
 # Joins, rows without nulls, splits
 
 

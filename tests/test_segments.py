@@ -91,3 +91,13 @@ def test_a_walk_over_a_long_history(spark):
     assert (most[-1], least[-1]) == (value.max(), value.min())
     for d in (1, 777, 19_999):
         assert middle[d] == np.median(value[: 3 * d]) and mean[d] == pytest.approx(value[: 3 * d].mean())
+
+
+def test_one_exchange_an_entity(spark):
+    from strideline.plans import starts
+
+    s = starts.starts(spark, "/root/testdata/sf0.001")
+    plan = starts.entity_columns(s)._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("== Initial Plan ==")[-1]
+    for entity in ("horse", "jockey", "trainer"):
+        assert sum(f"Exchange hashpartitioning({entity}#" in line for line in initial.splitlines()) == 1, entity
