@@ -164,11 +164,11 @@ def expanded_width(inputs: int, degree: int) -> int:
     return top - 1
 
 
-def select_best(df: DataFrame, label: str, k: int | None = None, alpha: float | None = None) -> DataFrame:
-    """The k best features by ANOVA F, or those with false-positive rate under alpha, as ``chosen``."""
+def select_best(df: DataFrame, label: str, k: int | None = None, alpha: float | None = None, by: DataFrame | None = None) -> DataFrame:
+    """The k best features by ANOVA F, or those with false-positive rate under alpha, of ``by`` (the training rows), as ``chosen``."""
     s = UnivariateFeatureSelector(featuresCol="features", labelCol=label, outputCol="chosen", selectionMode="fpr" if alpha else "numTopFeatures")
     s = s.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(alpha or k)
-    return s.fit(df).transform(df)
+    return s.fit(df if by is None else by).transform(df)
 
 
 def importances(model, names: list[str]) -> list[tuple[str, float]]:

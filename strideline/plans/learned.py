@@ -6,11 +6,12 @@ from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.operators import evaluate, models, prep, splits
+from strideline.functions.scalars import finite
+from strideline.operators import evaluate, models, moments, prep, splits
 from strideline.operators.boosting import HistogramTrees
 from strideline.operators.sgd import SGD
 from strideline.plans.catalog import register
@@ -51,6 +52,21 @@ def impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEY, F.round("x", 6).alias("x_mean"), F.col("s").alias("s_mode"), F.col("x_missing").cast("int"))
 
 
+_INFINITE = "SELECT *, CASE WHEN l_linenumber = 3 THEN 'inf'::DOUBLE WHEN l_linenumber = 5 THEN '-inf'::DOUBLE ELSE l_quantity::DOUBLE END AS x FROM lineitem"
+
+
+@register(
+    f"""WITH h AS ({_INFINITE}) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN isinf(x) THEN (SELECT avg(x) FROM h WHERE NOT isinf(x)) ELSE x END, 6) AS x_mean,
+    isinf(x)::INT AS x_missing FROM h"""
+)
+def impute_infinite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column's infinities count as missing and become the mean of the others."""
+    x = F.when(F.col("l_linenumber") == 3, float("inf")).when(F.col("l_linenumber") == 5, float("-inf")).otherwise(F.col("l_quantity").cast("double"))
+    h = table(spark, sf_dir, "lineitem").withColumn("x", finite(x))
+    out = prep.fill(h, prep.fit_fill(h, ["x"]), indicator=True)
+    return out.select(*KEY, F.round("x", 6).alias("x_mean"), F.col("x_missing").cast("int"))
+
+
 @register(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_tax - (SELECT avg(l_tax) FROM lineitem)) / (SELECT stddev_pop(l_tax) FROM lineitem), 6) AS tax,
     round(l_quantity / (SELECT max(abs(l_quantity)) FROM lineitem), 6) AS quantity FROM lineitem"""
@@ -85,8 +101,9 @@ def polynomial_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matrix(spark, sf_dir)
-    best = prep.select_best(m, "label", k=2).withColumnRenamed("chosen", "anova")
-    model = RandomForestClassifier(numTrees=10, seed=42).fit(m)
+    train = m.filter("fold != 0")
+    best = prep.select_best(m, "label", k=2, by=train).withColumnRenamed("chosen", "anova")
+    model = RandomForestClassifier(numTrees=100, seed=42).fit(train)
     return prep.select_from_model(best, model, NUM, 2).select(*KEY, "anova", "chosen")
 
 
@@ -219,16 +236,27 @@ def knn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ensembles
 
 
+#: The stacked members: seven learners, and ridge classifiers of three penalties whose folds come from one scan.
+STACKED = ("logistic_l2", "logistic_l1", "linear_svm", "tree", "forest", "log_sgd", "hinge_sgd")
+STACKED_PENALTIES = (1.0, 100.0, 10_000.0)
+
+
 @register()
 def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest over the out-of-fold scores of ten members."""
     m = matrix(spark, sf_dir)
-    parts = []
-    for name in ("logistic_l2", "linear_svm", "tree"):
-        oof = evaluate.out_of_fold(m, models.LEARNERS[name](len(NUM), 2), "fold", 5)
-        parts.append(oof.select("row", F.col("score").alias(name), *([*KEY, "label", "fold"] if name == "logistic_l2" else [])))
-    rows = reduce(lambda a, b: a.join(b, "row"), parts)
-    v = VectorAssembler(inputCols=["logistic_l2", "linear_svm", "tree"], outputCol="features").transform(rows)
-    meta = RandomForestClassifier(numTrees=20, seed=42).fit(v.filter("fold != 0"))
+    parts = [
+        evaluate.out_of_fold(m, models.LEARNERS[name](len(NUM), 2), "fold", 5).select("row", F.col("score").alias(name)) for name in STACKED
+    ]
+    x, signed = vector_to_array("features"), 2 * F.col("label") - 1
+    errors = moments.fold_errors(moments.saved_moments(m, x, signed, F.col("fold"), F.col("weight")), list(STACKED_PENALTIES))
+    rows = m
+    for k, p in enumerate(STACKED_PENALTIES):
+        rows = moments.out_of_fold(rows, x, F.col("fold"), errors.filter(F.col("penalty") == p), f"ridge_{k}")
+    names = [*STACKED, *[f"ridge_{k}" for k in range(len(STACKED_PENALTIES))]]
+    rows = reduce(lambda a, b: a.join(b, "row"), parts, rows.drop("features"))
+    v = Scratch(spark, "stacking").save(VectorAssembler(inputCols=names, outputCol="features").transform(rows), "scores")
+    meta = RandomForestClassifier(numTrees=100, seed=42).fit(v.filter("fold != 0"))
     return meta.transform(v.filter("fold = 0")).select(*KEY, "label", "prediction")
 
 

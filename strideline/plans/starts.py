@@ -85,7 +85,7 @@ _LAST = [(c, k) for c in ("speed", "win_odds", "weight") for k in (2, 3, 4)]
     )
 )
 def last_means_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of the last 2, 3 and 4 speeds, win and place odds by horse; of two results by jockey; starts by trainer."""
+    """Means of the last 2, 3 and 4 speeds, win odds and weights (in the place of place odds, which the tables do not have) by horse; of two results by jockey; starts by trainer."""
     h = form.history("horse", ORDER)
     out = starts(spark, sf_dir).withColumns({f"{c}_{k}": F.round(form.mean_last(c, h, k), 9) for c, k in _LAST})
     out = out.withColumn("jockey_2", F.round(form.mean_last("result", form.history("jockey", _BY_JOCKEY), 2), 6))
@@ -277,8 +277,9 @@ def anova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
 def select_false_positive_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features whose ANOVA test has a false-positive rate under 0.05."""
     li = table(spark, sf_dir, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("double"))
-    rows = prep.chain(_NUM).fit(li).transform(li).select(*_LINE, "features", "label")
-    return prep.select_best(rows, "label", alpha=0.05).select(*_LINE, "chosen")
+    li = li.withColumn("fold", splits.folds("l_orderkey", 5))
+    rows = prep.chain(_NUM).fit(li.filter("fold != 0")).transform(li).select(*_LINE, "features", "label", "fold")
+    return prep.select_best(rows, "label", alpha=0.05, by=rows.filter("fold != 0")).select(*_LINE, "chosen")
 
 
 @register(
