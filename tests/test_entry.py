@@ -1,6 +1,9 @@
 """The contract of __spark_entry__: it imports, and the queries match their SQL twins on the smallest folder."""
 
 import math
+import os
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -41,3 +44,10 @@ def test_query_matches_sql(spark, name):
     got = catalog.queries()[name](spark, SF).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)
+
+
+def test_the_package_is_importable_from_its_zip(tmp_path):
+    """What executors of a cluster get: the package without this folder."""
+    path = entry.package_zip(str(tmp_path))
+    code = f"import sys; sys.path.insert(0, {path!r}); import strideline.operators.boosting as b; assert {path!r} in b.__file__"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
