@@ -14,7 +14,8 @@ of the fullest window) begins where its windows rise from empty, so headlines an
 first lines stay, while a stray line apart from the text reaches no surge and goes.
 
 Furniture that wraps the article mark, or most of the text of a page without one,
-does not count as furniture. An unclosed head ends at the first block element.
+does not count as furniture, nor does the header of an ``article`` itself. An unclosed head
+ends at the first block element.
 
 Defined results: null, empty or markup-only html gives the empty string; unclosed
 elements end with the page; an unclosed script, style or comment swallows the rest;
@@ -25,6 +26,7 @@ cannot clash; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import re
 from collections.abc import Iterator
@@ -70,6 +72,9 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/><]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.DOTALL | re.IGNORECASE,
 )
+#: How a token begins: a tag with its name, or a comment or declaration without.
+_BEGINS = re.compile(r"<(?:[!?]|/?(?P<name>[a-zA-Z][^\s/><]*))")
+_SILENT_NAMES = frozenset(_SILENT.split("|"))
 _ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 #: A slash that ends a tag, and not the value of an attribute without quotes.
 _SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
@@ -80,10 +85,11 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN, _NAMED, _LOOSE = 1, 2, 3
 
 
-def _furniture(tag: str, attrs: str) -> int:
+def _furniture(tag: str, attrs: str, in_article: bool = False) -> int:
     """One of the three reasons, or 0."""
     found = 0
-    if tag in _FURNITURE:
+    own = {"header"} if in_article else set()
+    if tag in _FURNITURE - own:
         found = _LOOSE if tag in ("form", "fieldset") else _NAMED
     if tag in ("html", "body", "article", "main") or not attrs:
         return found
@@ -93,45 +99,104 @@ def _furniture(tag: str, attrs: str) -> int:
             return found or _HIDDEN
         if name == "role" and value.lower() in _ROLES:
             return found or _HIDDEN
-        if name in ("class", "id") and any(x.lower() in _NAMES for x in _PART.findall(value)):
-            whole = any(x.lower() in _NAMES for x in value.split())
+        if name in ("class", "id") and any(x.lower() in _NAMES - own for x in _PART.findall(value)):
+            whole = any(x.lower() in _NAMES - own for x in value.split())
             found = min(found or _LOOSE, _NAMED if whole else _LOOSE)
     return found
 
 
-def _wrappers(kinds: list[int], raw: list[tuple[str, int, bool, tuple[int, ...]]], marks: list[tuple[int, ...]]) -> set[int]:
-    """Elements that look like furniture and wrap the page's text: they do not count.
+def _wrappers(kinds: list[int], parents: list[int], raw: list[tuple[str, int, bool, int]], marks: list[int]) -> list[bool]:
+    """Of each element that looks like furniture, whether it wraps the page's text and so does not count.
 
-    While every mark of the article is inside furniture, the outermost element round
+    ``parents`` are the furniture round it, which comes before it, or -1; lines and marks have their innermost
+    furniture. While every mark of the article is inside furniture, the outermost element round
     the most marked text is a wrapper. On a page without marks, one known only loosely
-    is if it holds most of the text.
+    is if it holds most of the text. Weights are summed up the tree once.
     """
-    open_: set[int] = set()
-    while True:
-        held: dict[int, int] = {}
-        if marks:
-            if any(not [x for x in m if x not in open_] for m in marks):
-                return open_
-            for m in marks:
-                left = [x for x in m if x not in open_]
-                if all(kinds[x] != _HIDDEN for x in left):
-                    held.setdefault(left[0], 0)
-        for _, weight, inside, ids in raw:
-            left = [x for x in ids if x not in open_]
-            if left and (left[0] in held if marks else kinds[left[0]] == _LOOSE):
-                held[left[0]] = held.get(left[0], 0) + (weight if inside or not marks else 0)
-        best = max(held, key=lambda x: (held[x], -x), default=None)
-        if best is None or not marks and 2 * held[best] <= sum(weight for _, weight, _, _ in raw):
-            return open_
-        open_.add(best)
+    open_ = [False] * len(kinds)
+    if -1 in marks:
+        return open_
+    weights, fits, below = [0] * len(kinds), [False] * len(kinds), [[] for _ in kinds]
+    total = 0
+    for _, weight, inside, of in raw:
+        total += weight
+        if of >= 0:
+            weights[of] += weight if inside or not marks else 0
+            fits[of] |= not marks
+    for of in marks:
+        fits[of] = kinds[of] != _HIDDEN
+    roots = []
+    for x in range(len(kinds) - 1, -1, -1):
+        up = parents[x]
+        if not marks and kinds[x] != _LOOSE:
+            below_fits, fits[x] = fits[x], False
+        else:
+            below_fits = fits[x]
+        if up >= 0:
+            weights[up] += weights[x]
+            fits[up] |= below_fits and (not marks or kinds[up] != _HIDDEN)
+            below[up].append(x)
+        else:
+            roots.append(x)
+    direct = set(marks)
+    heap = [(-weights[x], x) for x in roots if fits[x]]
+    heapq.heapify(heap)
+    while heap:
+        less, x = heapq.heappop(heap)
+        if not marks and -2 * less <= total:
+            break
+        open_[x] = True
+        if x in direct:
+            break
+        for y in below[x]:
+            if fits[y]:
+                heapq.heappush(heap, (-weights[y], y))
+    return open_
+
+
+class _Ends:
+    """Whether a tag that begins at a place ends at all. What one try has read, no later one reads again."""
+
+    def __init__(self, page: str, stops: str):
+        self.page, self.next = page, re.compile(f"[{stops}\"']")
+        self.failed: set[int] = set()
+
+    def at(self, place: int) -> bool:
+        """Whether a ``>`` outside quotes comes before what stops a tag. ``place`` is outside quotes."""
+        seen = []
+        while place not in self.failed:
+            seen.append(place)
+            m = self.next.search(self.page, place)
+            if m and m[0] == ">":
+                return True
+            close = self.page.find(m[0], m.end()) if m and m[0] in "\"'" else -1
+            if close < 0:
+                break
+            place = close + 1
+        self.failed.update(seen)
+        return False
+
+
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tags, comments and silent elements in order; a ``<`` that begins none is text."""
+    shut, silent = _Ends(page, "<>"), _Ends(page, ">")
+    at = page.find("<")
+    while at >= 0:
+        begins = _BEGINS.match(page, at)
+        sure = begins and (not begins["name"] or (silent if begins["name"].lower() in _SILENT_NAMES else shut).at(begins.end()))
+        m = _TOKEN.match(page, at) if sure else None
+        if m:
+            yield m
+        at = page.find("<", m.end() if m else at + 1)
 
 
 def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """Lines as (text, weight or -1 for furniture, inside a marked article), and whether the page marks one."""
-    raw: list[tuple[str, int, bool, tuple[int, ...]]] = []  # text, weight, inside, furniture round it
+    raw: list[tuple[str, int, bool, int]] = []  # text, weight, inside, innermost furniture round it
     kinds: list[int] = []  # of each furniture element, why it is one
-    within: list[int] = []  # furniture that is open
-    marks_at: list[tuple[int, ...]] = []
+    parents: list[int] = []  # and the furniture round it
+    within: list[int] = [-1]  # furniture that is open
+    marks_at: list[int] = []
     parts: list[str] = []
     plain = 0  # characters outside links
     stack: list[tuple[str, bool, bool]] = []  # element, furniture, article
@@ -143,9 +208,9 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     def cut() -> None:
         nonlocal plain
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                raw.append((text, min(len(text), plain), article > 0, tuple(within)))
+                raw.append((text, min(len(text), plain), article > 0, within[-1]))
             parts.clear()
         plain = 0
 
@@ -165,12 +230,13 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         nonlocal plain
         if head:
             return
+        text = entities.unescape(text)  # of a text node: a reference does not run across tags
         parts.append(text)
         if not links:
-            plain += len(" ".join(entities.unescape(text).split()))
+            plain += len(" ".join(text.split()))
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    for m in _tokens(page):
         if m.start() > at:
             said(page[at : m.start()])
         at = m.end()
@@ -183,7 +249,7 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         attrs = m["attrs"] or ""
         opens = not m["close"]
         marks = opens and (tag in ("article", "main") or "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs) is not None)
-        kind = _furniture(tag, attrs) if opens and not marks else 0
+        kind = _furniture(tag, attrs, bool(where.get("article"))) if opens and not marks else 0
         hides = kind > 0
         if tag == "head":
             head = opens
@@ -203,12 +269,13 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                     blocks.append(len(stack))
                 stack.append((tag, hides, marks))
                 if hides:
+                    parents.append(within[-1])
                     within.append(len(kinds))
                     kinds.append(kind)
                 article += marks
                 links += tag == "a"
                 if marks:
-                    marks_at.append(tuple(within))
+                    marks_at.append(within[-1])
         else:
             if where.get(tag):
                 depth = where[tag][-1]
@@ -218,9 +285,12 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     if at < len(page):
         said(page[at:])
     cut()
-    wrappers = _wrappers(kinds, raw, marks_at)
-    lines = [(text, weight if wrappers.issuperset(ids) else -1, inside) for text, weight, inside, ids in raw]
-    return lines, any(wrappers.issuperset(ids) for ids in marks_at)
+    clear = _wrappers(kinds, parents, raw, marks_at)
+    for x, up in enumerate(parents):  # whether all furniture round a place is wrappers
+        clear[x] = clear[x] and (up < 0 or clear[up])
+    clear.append(True)  # of -1
+    lines = [(text, weight if clear[of] else -1, inside) for text, weight, inside, of in raw]
+    return lines, any(clear[of] for of in marks_at)
 
 
 def main_text(page: str | None, window: int = 3, min_block: int = 80, least_share: float = 0.125) -> str:
