@@ -1,10 +1,10 @@
 """Least squares from sums: one scan gives every fold, penalty and member its fit.
 
 A fold's sums of products of (1, x, y) are all that its fit and its error need. The fit
-without a fold is solved from the sums of all rows less the fold's; one decomposition
-serves all ridge penalties; the error on the fold is a quadratic form of its own sums.
-So k folds and m penalties cost one scan and k small decompositions, in Spark's tasks, and
-leaving out one row at a time follows from the leverages in a second scan.
+without a fold is solved from the sums of all rows less the fold's, and the error on the
+fold is a quadratic form of its own sums. So k folds and m penalties cost one scan and k m
+systems of the inputs' size, solved in Spark's tasks, and leaving out one row at a time
+follows from the leverages in a second scan.
 
 Penalties are those on the sum of squared errors, ``|y - a - xb|^2 + penalty |b|^2``, or for the
 lasso ``|y - a - xb|^2 / 2n + penalty |b|_1``; the intercept is free. Rows with a null in label, weight
@@ -27,7 +27,7 @@ from strideline.sources.scratch import Scratch
 
 #: Floats of sums that a task holds before it sends them on.
 HELD = 1 << 22
-#: Eigenvalues below this share of the greatest count as 0 where there is no penalty.
+#: Spread below this share of a column's squares, and eigenvalues of scaled sums below it, count as 0.
 FLAT = 1e-12
 
 _SUMS = "fold bigint, s array<double>"
@@ -107,17 +107,21 @@ class Solver:
         self.n, self.mean, self.y = s[0, 0], s[0, 1:-1] / s[0, 0], s[0, -1] / s[0, 0]
         self.a = s[1:-1, 1:-1] - self.n * np.outer(self.mean, self.mean)
         self.b = s[1:-1, -1] - self.n * self.mean * self.y
-        self.values, self.vectors = np.linalg.eigh(self.a)
+        flat = np.diag(self.a) <= FLAT * np.diag(s)[1:-1]  # constant columns take no part
+        self.a[flat], self.a[:, flat], self.b[flat] = 0.0, 0.0, 0.0
 
     def _with(self, beta: np.ndarray) -> np.ndarray:
         return np.concatenate([[self.y - self.mean @ beta], beta])
 
     def ridge(self, penalty: float) -> np.ndarray:
-        """Intercept and coefficients."""
-        values = self.values + penalty
-        sure = values > FLAT * max(values.max(initial=0.0), 1e-300)
+        """Intercept and coefficients; the columns are scaled while it is solved."""
+        a = self.a + penalty * np.eye(len(self.b))
+        scale = np.sqrt(np.diag(a))
+        scale[scale == 0] = 1.0
+        values, vectors = np.linalg.eigh(a / np.outer(scale, scale))
+        sure = values > FLAT
         inverse = np.where(sure, 1 / np.where(sure, values, 1.0), 0.0)
-        return self._with(self.vectors @ (inverse * (self.vectors.T @ self.b)))
+        return self._with(vectors @ (inverse * (vectors.T @ (self.b / scale))) / scale)
 
     def lasso(self, penalty: float, sweeps: int = 10_000, tolerance: float = 1e-12) -> np.ndarray:
         """Intercept and coefficients by coordinate descent on the sums."""
@@ -178,15 +182,19 @@ def out_of_fold(df: DataFrame, x: Column, fold: Column, errors: DataFrame, out:
 
 
 def leave_one_out(df: DataFrame, x: Column, y: Column, penalties: list[float]) -> DataFrame:
-    """penalty, n, rmse and mae, each row told by the fit without it: as many folds as rows, in two scans."""
+    """penalty, n, rmse and mae, each row told by the fit without it: as many folds as rows, in two scans.
+
+    One decomposition serves all penalties; the columns should be on one scale within some powers of ten.
+    """
     rows = _rows(df, x, y, F.lit(0), F.lit(1.0))
     s = Solver(total(fold_moments(rows, F.col("x"), F.col("y"), F.lit(0))))
     # In the eigenvectors' coordinates the leverage and the fit are sums of one term each.
-    turned = F.array(*[told(F.col("x"), F.array(*[F.lit(float(v)) for v in (-(s.mean @ q), *q)])) for q in s.vectors.T])
-    pull = s.vectors.T @ s.b
+    values, vectors = np.linalg.eigh(s.a)
+    turned = F.array(*[told(F.col("x"), F.array(*[F.lit(float(v)) for v in (-(s.mean @ q), *q)])) for q in vectors.T])
+    pull = vectors.T @ s.b
     at = rows.select("y", turned.alias("z"), F.explode(F.array(*[F.lit(float(p)) for p in penalties])).alias("penalty"))
     level, fit = F.lit(1.0 / s.n), F.lit(float(s.y))
-    for i, (value, b) in enumerate(zip(s.values, pull, strict=True)):
+    for i, (value, b) in enumerate(zip(values, pull, strict=True)):
         z, width = F.get("z", F.lit(i)), F.lit(float(max(value, 0.0))) + F.col("penalty")
         level, fit = level + F.try_divide(z * z, width), fit + F.try_divide(z * F.lit(float(b)), width)
     e = F.try_divide(F.col("y") - fit, 1 - level)
