@@ -12,8 +12,10 @@ replacements are undone exactly.
 
 Defined results: null text and null role are empty; null conversations form one
 conversation of their own; a null sequence sorts first; events alike in all columns
-all count; a delta without an earlier event starts a message; an empty table gives
-no rows. A conversation is one output row, so it has to fit in a row.
+all count; a delta without an earlier event starts a message; messages with one first
+sequence go by their other columns; a very long text is rendered whole; extra columns take no
+part, so their names cannot clash; an empty table gives no rows. A conversation is one output
+row, so it has to fit in a row.
 """
 
 from __future__ import annotations
