@@ -76,6 +76,27 @@ def test_op2(spark, folder):
         assert (got[i]["lang_pred"], got[i]["score"] > 0.99) == (("en", True) if letters else ("und", False))
 
 
+def test_op2_tells_two_languages_apart(spark, tmp_path):
+    """Held-out and unlabelled rows of two vocabularies, and texts that no language is told of."""
+    r = np.random.default_rng(12)
+    vocab = {"xx": ["".join(r.choice(list("abcdeo"), 5)) for _ in range(90)], "yy": ["".join(r.choice(list("uvwzki"), 5)) for _ in range(90)]}
+    rows = [(i, _text(r, vocab["xy"[i % 2] * 2], 40), None if i % 5 == 0 else "xy"[i % 2] * 2) for i in range(120)]
+    rows += [(200, None, "xx"), (201, " 12 .", "yy"), (202, "", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.op2_identify_language(spark, str(tmp_path)).collect()}
+    assert [got[i]["lang_pred"] for i in range(120)] == ["xy"[i % 2] * 2 for i in range(120)]
+    assert {got[i]["lang_pred"] for i in (200, 201, 202)} == {"und"}
+    assert sum(x["held_out"] for x in got.values()) > 20
+
+
+def test_queries_on_empty_tables(spark, folder, tmp_path):
+    for t in ("documents", "conversations", "labels"):
+        spark.read.parquet(f"{folder[0]}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    names = ("op2_identify_language", "op5_find_secrets", "op11_quality_classifier", "op12_periodic_runs", "op13_filter_audit")
+    assert [queries.queries()[n](spark, str(tmp_path)).count() for n in names] == [0] * len(names)
+    assert [r["conv_id"] for r in queries.op7_format_chat(spark, str(tmp_path)).collect()] == [-1]
+
+
 def test_op4(spark, folder):
     got = sorted(queries.op4_katz_backoff(spark, folder[0]).collect(), key=lambda r: r["doc_id"])
     tokens = [[*WORD.findall((t or "").lower()), None] for t in folder[1]]
@@ -83,7 +104,9 @@ def test_op4(spark, folder):
     c = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
     for r, t, h in zip(got, tokens, held, strict=True):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, len(t), sum(w in c for w in t), sum(c.values()))
-        assert r["score"] < 0 and r["base_score"] < 0
+        n, v = sum(c.values()), len(c)
+        assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
+        assert r["score"] < 0
 
 
 def _base_spans(t):

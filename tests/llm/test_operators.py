@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -526,3 +527,44 @@ def test_pipeline_stages_on_odd_rows(spark, texts, tmp_path):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
         assert out.count() <= docs.count()
+
+
+@pytest.mark.parametrize(
+    "made",
+    [lambda n: "<a" + ' "<a"' * n, lambda n: '<div class="nav">x' * n, lambda n: '<div class="no-comments">x y' * n, lambda n: "<svg \"" * n, lambda n: "<script 'x'" * n],
+)
+def test_pages_of_one_mark_take_linear_time(made):
+    """Twice the page takes about twice the time; quadratic work would take four times as much and minutes here."""
+    took = []
+    for n in (20_000, 40_000):
+        began = time.process_time()
+        html.main_text(made(n))
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0] + 0.5 and took[1] < 20
+
+
+def test_references_do_not_run_across_tags_and_an_articles_header_stays():
+    filler = "word " * 30
+    assert html.main_text(f"<p>a &<b>lt;</b> b {filler}</p>").startswith("a &lt; b word")
+    page = f'<body><header><h1>Site</h1></header><article><header class="article-header"><h1>Title</h1></header><p>{filler}</p><nav>go</nav></article></body>'
+    assert html.main_text(page) == f"Title\n{filler.strip()}"
+
+
+def test_contamination_in_a_long_text_of_one_item(spark):
+    """A text that repeats an item thousands of times is read in time linear in its length."""
+    text = (ITEM + ". ") * (200_000 // (len(ITEM) + 2))
+    hits = decontaminate.find_contamination(_docs(spark, [text, "nothing of it"]), _bench(spark)).collect()
+    assert {r["doc"] for r in hits} == {0}
+
+
+@pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
+def test_rules_take_linear_time(rule):
+    """On runs of what a rule begins with, twice the text takes about twice the time."""
+    starts = {"assign": "token=", "access": "AKIA", "hex": "0f", "private_key": "-----BEGIN PRIVATE KEY-----\n", "jwt": "eyJ", "forge_token": "ghp_", "chat_token": "xoxb-", "cloud_key": "AIza", "payment_key": "sk_live_", "url_password": "://a:"}
+    took = []
+    for n in (60_000, 120_000):
+        text = starts[rule.kind] * (n // len(starts[rule.kind]))
+        began = time.process_time()
+        rule.spans(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0] + 0.3
