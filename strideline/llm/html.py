@@ -14,8 +14,8 @@ of the fullest window) begins where its windows rise from empty, so headlines an
 first lines stay, while a stray line apart from the text reaches no surge and goes.
 
 Furniture that wraps the article mark, or most of the text of a page without one,
-does not count as furniture, nor does the header of an ``article`` itself. An unclosed head
-ends at the first block element.
+does not count as furniture, nor do the headings in an ``article``'s own header. An unclosed
+head ends at the first block element.
 
 Defined results: null, empty or markup-only html gives the empty string; unclosed
 elements end with the page; an unclosed script, style or comment swallows the rest;
@@ -61,6 +61,7 @@ _BLOCK = {
     "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that a new block of the same list closes.
 _CLOSED_BY_BLOCK = {"p"}
 
@@ -85,11 +86,10 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN, _NAMED, _LOOSE = 1, 2, 3
 
 
-def _furniture(tag: str, attrs: str, in_article: bool = False) -> int:
+def _furniture(tag: str, attrs: str) -> int:
     """One of the three reasons, or 0."""
     found = 0
-    own = {"header"} if in_article else set()
-    if tag in _FURNITURE - own:
+    if tag in _FURNITURE:
         found = _LOOSE if tag in ("form", "fieldset") else _NAMED
     if tag in ("html", "body", "article", "main") or not attrs:
         return found
@@ -99,8 +99,8 @@ def _furniture(tag: str, attrs: str, in_article: bool = False) -> int:
             return found or _HIDDEN
         if name == "role" and value.lower() in _ROLES:
             return found or _HIDDEN
-        if name in ("class", "id") and any(x.lower() in _NAMES - own for x in _PART.findall(value)):
-            whole = any(x.lower() in _NAMES - own for x in value.split())
+        if name in ("class", "id") and any(x.lower() in _NAMES for x in _PART.findall(value)):
+            whole = any(x.lower() in _NAMES for x in value.split())
             found = min(found or _LOOSE, _NAMED if whole else _LOOSE)
     return found
 
@@ -196,6 +196,7 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     kinds: list[int] = []  # of each furniture element, why it is one
     parents: list[int] = []  # and the furniture round it
     within: list[int] = [-1]  # furniture that is open
+    own: set[int] = set()  # headers of an article itself
     marks_at: list[int] = []
     parts: list[str] = []
     plain = 0  # characters outside links
@@ -249,7 +250,7 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         attrs = m["attrs"] or ""
         opens = not m["close"]
         marks = opens and (tag in ("article", "main") or "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs) is not None)
-        kind = _furniture(tag, attrs, bool(where.get("article"))) if opens and not marks else 0
+        kind = _furniture(tag, attrs) if opens and not marks else 0
         hides = kind > 0
         if tag == "head":
             head = opens
@@ -267,8 +268,13 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 where.setdefault(tag, []).append(len(stack))
                 if tag in _BLOCK:
                     blocks.append(len(stack))
-                stack.append((tag, hides, marks))
+                escapes = tag in _HEADINGS and not hides and within[-1] in own
+                stack.append((tag, hides or escapes, marks))
+                if escapes:
+                    within.append(parents[within[-1]])
                 if hides:
+                    if where.get("article") and kind != _HIDDEN and (tag == "header" or "header" in attrs.lower()):
+                        own.add(len(kinds))
                     parents.append(within[-1])
                     within.append(len(kinds))
                     kinds.append(kind)
