@@ -94,3 +94,23 @@ def test_rows_alike_and_one_class_make_no_tree(spark):
         assert boosting._probabilities(model.raw(x))[0, 1] == pytest.approx(y.mean(), abs=1e-9)
     with pytest.raises(ValueError):
         boosting.HistogramTrees().fit(_frame(spark, x, np.zeros(50), np.ones(50)).filter(F.lit(False)))
+
+
+def test_alike_rows_are_held_once_and_count_as_many(spark, monkeypatch):
+    x, y, w = _data(180)
+    y = (y > 0).astype(float)
+    held_rows = []
+    save = boosting.Scratch.save
+
+    def counted(self, df, label):
+        out = save(self, df, label)
+        held_rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(boosting.Scratch, "save", counted)
+    learner = boosting.HistogramTrees(rounds=3, leaves=9, weight="weight", here=0, early_above=10**6)
+    once = boosting.HistogramTrees(**(learner.__dict__ | {"least": 8})).fit(_frame(spark, x, y, w))
+    df = _frame(spark, np.tile(x, (40, 1)), np.tile(y, 40), np.tile(w, 40))
+    many = boosting.HistogramTrees(**(learner.__dict__ | {"least": 8 * 40})).fit(df)
+    assert np.abs(once.raw(x) - many.raw(x)).max() < 1e-9
+    assert held_rows[0] == held_rows[1] <= 180
