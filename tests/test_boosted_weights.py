@@ -72,3 +72,24 @@ def test_chained_imputation_equals_rounds_of_regressions(spark):
     assert np.allclose([got[i] for i in range(n)], want, atol=1e-8)
     plans = [len(prep.iterative_fill(df, ["a", "b", "c"], k)._jdf.queryExecution().toString()) for k in (1, 6)]
     assert abs(plans[0] - plans[1]) < 0.2 * plans[0]
+
+
+def test_alike_rows_are_boosted_as_one(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = r.integers(0, 4, (60, 2))
+    y = (x.sum(axis=1) + r.integers(0, 2, 60) > 3).astype(float)
+    rows = [([float(v) for v in a], float(b)) for a, b in zip(x, y, strict=True)] * 50
+    df = spark.createDataFrame(rows, "x array<double>, label double").withColumn("features", array_to_vector("x"))
+    written = {}
+    save = models.Scratch.save
+
+    def counted(self, rows, label):
+        out = save(self, rows, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(models.Scratch, "save", counted)
+    told = models.adaboost(df, df, "label", 2, depth=1).select("label", "prediction")
+    different = len({(*a, b) for a, b in zip(x.tolist(), y, strict=True)})
+    assert {written[f"train-{k}"] for k in range(3)} == {different} and written["told"] == 3000
+    assert told.filter("label = prediction").count() > 2000
