@@ -131,3 +131,19 @@ def test_integrity_and_weights(spark):
 def test_poisson_weights_average_one(spark):
     mean = spark.range(20000).select(F.avg(models.poisson_weight(models.hash_unit("id")))).first()[0]
     assert abs(mean - 1) < 0.05
+
+
+def test_many_ranks_in_one_sort_equal_the_windows(spark):
+    base = spark.range(25_000).withColumns(
+        {
+            "race": F.when(F.col("id") % 7 != 0, F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.pmod(F.xxhash64("id"), F.lit(900)))),
+            "a": F.when(F.col("id") % 5 != 0, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(40))),
+            "b": F.when(F.col("id") % 11 == 0, F.lit(float("nan"))).when(F.col("id") % 4 != 0, F.pmod(F.xxhash64("id", F.lit(2)), F.lit(9)) / 3),
+            "c": F.lit(None).cast("double"),
+        }
+    )
+    got = form.pct_ranks_in(base.repartition("race"), {f"{c}_rank": c for c in "abc"}, ["race"])
+    want = base.withColumns({f"{c}_rank": form.pct_rank_in(c, "race") for c in "abc"})
+    assert got.select("id", "a_rank", "b_rank", "c_rank").exceptAll(want.select("id", "a_rank", "b_rank", "c_rank")).count() == 0
+    assert got.count() == 25_000
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
