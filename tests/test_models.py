@@ -173,3 +173,10 @@ def test_quantiles_equal_numpy(spark):
     for s in (0.0, 0.1, 0.5, 0.73, 1.0):
         assert abs(got["v", s] - np.quantile(v, s)) < 1e-9 and abs(got["w", s] - np.quantile(w, s)) < 1e-9
     assert stats.exact_quantiles(df.limit(0), ["v"], [0.5]).count() == 0
+
+
+def test_chained_imputation_moves_no_rows_by_pattern(spark):
+    rows = [(float(i), float(i % 5), None if i % 2 else 1.0) for i in range(60)]
+    out = prep.iterative_fill(spark.createDataFrame(rows, "a double, b double, c double"), COLS, 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
