@@ -79,3 +79,14 @@ def test_copies_make_no_more_cells_and_missing_values_are_told(spark):
     assert np.mean([r["label"] == r["prediction"] for r in told]) > 0.85
     shares = model.featureImportances.toArray()
     assert abs(shares.sum() - 1) < 1e-9 and shares.argmin() == 2
+
+
+def test_trees_of_spark_over_cells_are_those_of_the_rows(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
+
+    df, _, _ = _rows(spark)
+    for learner in (DecisionTreeClassifier(maxDepth=4, weightCol="weight", seed=42), GBTClassifier(maxIter=3, maxDepth=2, seed=42, weightCol="weight")):
+        want = learner.fit(df).transform(df).select("features", "prediction")
+        got = forest.OnCells(learner).fit(df).transform(df)
+        assert "__bins" not in got.columns
+        assert sorted(map(str, got.select("features", "prediction").collect())) == sorted(map(str, want.collect()))
