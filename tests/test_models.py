@@ -180,3 +180,23 @@ def test_chained_imputation_moves_no_rows_by_pattern(spark):
     out = prep.iterative_fill(spark.createDataFrame(rows, "a double, b double, c double"), COLS, 1)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_elimination_fits_all_folds_in_the_same_passes(planted, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    from strideline.operators import logistic
+
+    df, passes, plain = planted[0], [], logistic._pass
+    monkeypatch.setattr(logistic, "_pass", lambda *a: passes.append(1) or plain(*a))
+    rows, _ = logistic.alike_rows(df.union(df), "label", "fold", "weight")
+    assert rows.count() == 400 and rows.agg(F.sum("n")).first()[0] == 800
+    noisy = df.withColumn("label", F.when(F.col("row") % 4 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    rows, _ = logistic.alike_rows(noisy, "label", "fold", "weight")
+    passes.clear()
+    beta, accuracy = logistic.fit_subsets(rows, [0, -1], np.array([[True, True, True, True], [True, True, False, True]]))
+    assert len(passes) < 15 and np.isnan(accuracy[1]) and beta[1][2] == 0
+    model = LogisticRegression(weightCol="weight", maxIter=200, tol=1e-12, standardization=False).fit(noisy.filter("fold != 0"))
+    assert np.allclose(beta[0], [model.intercept, *model.coefficients], atol=1e-4)
+    told = model.transform(noisy.filter("fold = 0")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert abs(told - accuracy[0]) < 1e-9
