@@ -64,3 +64,16 @@ def test_three_classes_side_by_side(data):
 def test_no_rows(data):
     with pytest.raises(ValueError):
         sgd.SGD().fit(data[0].limit(0))
+
+
+def test_walks_side_by_side_reach_the_same_minimum(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(20_000, 2))
+    rows = [([float(a), float(b)], float(a - b + 0.5 * e > 0)) for (a, b), e in zip(x, r.normal(size=20_000))]
+    df = spark.createDataFrame(rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
+    one = sgd.SGD("log").fit(df)
+    monkeypatch.setattr(sgd, "WALK", 300)
+    seen, plain = [], sgd.SGD._epoch
+    monkeypatch.setattr(sgd.SGD, "_epoch", lambda self, *a: seen.append(a[-1]) or plain(self, *a))
+    many = sgd.SGD("log").fit(df)
+    assert max(seen) > 1 and min(many.curve) < 1.01 * min(one.curve)
