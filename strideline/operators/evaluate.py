@@ -73,6 +73,24 @@ def out_of_fold(df: DataFrame, learner, fold: str, k: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def scored_out_of_fold(df: DataFrame, learners: dict[str, object], fold: str, k: int, alike: DataFrame | None = None) -> DataFrame:
+    """Every row with each learner's ``score`` of class 1, under its name, by the model that has not seen the row's fold.
+
+    A fold's rows go through all its models in turn, so rows are neither exchanged nor joined. ``alike`` has the same rows
+    to learn from, alike ones as one with their summed weights; learners that take ``rows`` learn from the rows themselves.
+    """
+    parts = []
+    for i in range(k):
+        out = df.filter(F.col(fold) == i)
+        for name, learner in learners.items():
+            by_row = alike is None or getattr(learner, "rows", False)
+            p = learner.copy().fit((df if by_row else alike).filter(F.col(fold) != i)).transform(out)
+            c = "probability" if "probability" in p.columns else "rawPrediction"
+            out = p.withColumn(name, F.get(vector_to_array(c), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+        parts.append(out)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fold_scores(oof: DataFrame, fold: str, label: str) -> DataFrame:
     return oof.groupBy(F.col(fold).alias("fold")).agg(
         F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n")
