@@ -147,3 +147,31 @@ def test_many_ranks_in_one_sort_equal_the_windows(spark):
     assert got.select("id", "a_rank", "b_rank", "c_rank").exceptAll(want.select("id", "a_rank", "b_rank", "c_rank")).count() == 0
     assert got.count() == 25_000
     assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+def _planned(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+
+
+def test_a_rank_is_one_sort(spark):
+    values = [0.0, -0.0, float("nan"), 2.5, 2.5, None, 2.5, float("nan"), -1.0]
+    df = spark.createDataFrame([(i, i % 2, v) for i, v in enumerate(values * 2)], "i int, g int, v double")
+    out = df.repartition("g").withColumns({"up": form.pct_rank_in("v", "g"), "down": form.pct_rank_in("v", "g", True)})
+    assert _planned(out).count("Sort [") == 2
+    for r in out.collect():
+        peers = [float("inf") if x != x else x for i, x in enumerate(values * 2) if i % 2 == r["g"] and x is not None]
+        if r["v"] is None:
+            assert (r["up"], r["down"]) == (None, None)
+            continue
+        x = float("inf") if r["v"] != r["v"] else r["v"]
+        less, more, ties = sum(p < x for p in peers), sum(p > x for p in peers), peers.count(x)
+        assert r["up"] == (less + (ties + 1) / 2) / len(peers) and r["down"] == (more + (ties + 1) / 2) / len(peers)
+
+
+def test_form_table_goes_by_jockey_while_narrow_and_sorts_six_times(spark):
+    from strideline.plans import catalog
+
+    plan = _planned(catalog.queries()["form_features"](spark, "/root/testdata/sf0.001"))
+    exchanges = [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert exchanges[:3] == ["race_id", "horse", "jockey"]  # the last one first
+    assert plan.count("Window [") == plan.count("Sort [") + 1 == 7  # the days' frame goes over the sort of the starts
