@@ -175,3 +175,12 @@ def test_form_table_goes_by_jockey_while_narrow_and_sorts_six_times(spark):
     exchanges = [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert exchanges[:3] == ["race_id", "horse", "jockey"]  # the last one first
     assert plan.count("Window [") == plan.count("Sort [") + 1 == 7  # the days' frame goes over the sort of the starts
+
+
+def test_means_of_the_last_starts_are_in_no_exchange(spark):
+    from strideline.plans import catalog
+
+    plan = _planned(catalog.queries()["last_means_table"](spark, "/root/testdata/sf0.001")).splitlines()
+    exchanges = [(i, line.split("hashpartitioning(")[1].split("#")[0]) for i, line in enumerate(plan) if "Exchange hashpartitioning(" in line]
+    assert [e for _, e in exchanges[:3]] == ["horse", "trainer", "jockey"]  # the last one first
+    assert not any("speed" in line or "round(" in line for line in plan[exchanges[0][0] :])
