@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -101,3 +102,14 @@ def test_one_exchange_an_entity(spark):
     initial = plan.split("== Initial Plan ==")[-1]
     for entity in ("horse", "jockey", "trainer"):
         assert sum(f"Exchange hashpartitioning({entity}#" in line for line in initial.splitlines()) == 1, entity
+
+
+def test_segments_write_the_rows_once(spark):
+    scratch = Scratch(spark, "t")
+    h = segments.histories(_runs(spark), ["horse"], ["race_date", "race_id", "horse_no"], 6, ["result"], scratch, "x")
+    rows = {p.name: spark.read.parquet(str(p)).count() for p in Path(scratch.base).iterdir()}
+    assert sorted(n for n in rows.values() if n >= 100) == [900]  # all else is a few rows a segment
+    out = h.own(h.rows.withColumns({"n": h.prior_count(), "s": h.prior_sum("result"), "l": F.lag("result", 6).over(h.window)}))
+    whole = form.history("horse", ["race_date", "race_id", "horse_no"])
+    want = _runs(spark).withColumns({"n": form.prior_count(whole).cast("bigint"), "s": form.prior_sum("result", whole), "l": form.previous("result", whole, 6)})
+    assert out.select(want.columns).exceptAll(want).count() == 0 and out.count() == 900
