@@ -34,18 +34,38 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Powers that a worker keeps for its next buffers, for each base; those of a longer buffer are computed anew.
+KEPT_POWERS = 1 << 22
+_kept: dict[int, np.ndarray] = {}
+
+
+def _kept_powers(base: np.uint64, n: int) -> np.ndarray:
+    """``powers``, kept up to ``KEPT_POWERS``; not to be written to."""
+    if n > KEPT_POWERS:
+        return powers(base, n)
+    got = _kept.get(int(base))
+    if got is None or len(got) < n:
+        _kept[int(base)] = got = powers(base, n)
+    return got[:n]
+
+
 class Spans:
     """Hashes of byte ranges of one buffer, each by two look-ups."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODES[data] * powers(_BASE, n), out=self.sums[1:])
-        self.back = powers(_INVERSE, n + 1)
+        np.cumsum(_CODES[data] * _kept_powers(_BASE, n), out=self.sums[1:])
+        self.back = _kept_powers(_INVERSE, n + 1)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
+    def every(self, width: int) -> np.ndarray:
+        """``hash`` of every range of ``width`` bytes."""
+        n = max(len(self.sums) - width, 0)
+        return mixed((self.sums[width:] - self.sums[:n]) * self.back[:n] + np.uint64(width))
+
 
 def blocks(texts: list[str], size: int = BLOCK_BYTES) -> Iterator[list[str]]:
     """Runs of whole texts of about ``size`` characters; a longer text is a block of its own."""

@@ -20,7 +20,8 @@ document with a smaller id. Steps:
    to every occurrence of the piece.
 
 Spark deals blocks and fingerprints to tasks; a task holds one block, or the pieces of
-about ``ARRAY_BYTES`` of text and never splits a fingerprint.
+about ``ARRAY_BYTES`` of text, and sorts about ``SORTED_BYTES`` of them in one array. A
+fingerprint is never split.
 
 Defined results: null text is empty; a null id counts as greater than all others;
 rows with equal ids do not remove from each other; texts shorter than ``width`` stay
@@ -38,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +51,10 @@ GRAM = 20
 #: Longest row of places with one fingerprint that is kept as one piece.
 LONGEST = 64
 ARRAY_BYTES = 1 << 21
+#: Places whose fingerprints are computed at a time: few enough for a core's cache.
+STRETCH = 1 << 14
+#: Text bytes of one suffix array, more only where one fingerprint has more: its sort keys and indices fit 64 bits, its arrays the cache.
+SORTED_BYTES = 1 << 15
 #: Text bytes for each hash range of fingerprints.
 RANGE_BYTES = 8 << 20
 
@@ -61,27 +66,25 @@ _SENT = (
 
 def minima(data: np.ndarray, width: int) -> np.ndarray:
     """The fingerprint of every place with ``width`` bytes ahead."""
-    if len(data) < width:
-        return np.zeros(0, np.uint64)
-    at = np.arange(len(data) - GRAM + 1)
-    m, reach, wanted = Spans(data).hash(at, at + GRAM), 1, width - GRAM + 1
-    while 2 * reach <= wanted:
-        m, reach = np.minimum(m[:-reach], m[reach:]), 2 * reach
-    more = wanted - reach
-    return np.minimum(m[: len(m) - more], m[more:])
+    out = np.empty(max(len(data) - width + 1, 0), np.uint64)
+    for a in range(0, len(out), STRETCH):
+        part = data[a : a + STRETCH + width - 1]
+        m, reach, wanted = Spans(part).every(GRAM), 1, width - GRAM + 1
+        while 2 * reach <= wanted:
+            m, reach = np.minimum(m[:-reach], m[reach:]), 2 * reach
+        more = wanted - reach
+        np.minimum(m[: len(m) - more], m[more:], out=out[a : a + STRETCH])
+    return out
 
 
 def pieces(first: np.ndarray, m: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, start in the buffer and number of places of every piece of a buffer of texts."""
     a, b = first[:-1], first[1:] - width  # a text's places; the line feed after it is not its own
     long = b > a
-    edge = np.zeros(len(m) + 1, np.int8)
-    edge[a[long]] += 1
-    edge[b[long]] -= 1
-    inside = np.cumsum(edge[:-1]).astype(bool)
-    same = m[1:] == m[:-1]
-    start = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1] & same])) if len(m) else np.zeros(0, np.int64)
-    end = np.flatnonzero(inside & ~np.concatenate([inside[1:] & same, [False]])) + 1 if len(m) else np.zeros(0, np.int64)
+    edges = np.sort(np.concatenate([np.flatnonzero(m[1:] != m[:-1]) + 1, a[long], b[long]]))
+    start, end = edges[:-1], edges[1:]
+    inside = (start < end) & (start < b[np.searchsorted(first, start, "right") - 1])
+    start, end = start[inside], end[inside]
     parts = -(-(end - start) // LONGEST)
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     start, end = np.repeat(start, parts) + nth * LONGEST, np.repeat(end, parts)
@@ -90,11 +93,12 @@ def pieces(first: np.ndarray, m: np.ndarray, width: int) -> tuple[np.ndarray, np
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by the keys, and where in it each group of equal ones begins."""
-    order = np.lexsort(keys[::-1])
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
     return order, np.flatnonzero(new)
 
 
@@ -113,8 +117,10 @@ def _sent(rows: DataFrame, width: int, ranges: int) -> DataFrame:
                 of_text, start, n = pieces(first, m, width)
                 if not len(start):
                     continue
-                fps, of = np.unique(m[start], return_inverse=True)
-                order, begin = _groups(of)
+                fps = m[start]
+                order, begin = _groups(fps)
+                fps, of = fps[order[begin]], np.empty(len(start), np.uint32)
+                of[order] = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(start)))
                 seen = o[of_text][order]
                 twice = np.minimum.reduceat(seen, begin) != np.maximum.reduceat(seen, begin)
                 bucket = ((fps >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
@@ -124,7 +130,7 @@ def _sent(rows: DataFrame, width: int, ranges: int) -> DataFrame:
                     {
                         "block": block, "bucket": -1, "ords": o[texts_with], "ths": t[texts_with], "counts": counts.astype(np.int32),
                         "starts": (start - first[of_text]).astype(np.int32).tobytes(), "lens": n.astype(np.uint8).tobytes(),
-                        "of": of.astype(np.uint32).tobytes(), "twice": np.packbits(twice).tobytes(),
+                        "of": of.tobytes(), "twice": np.packbits(twice).tobytes(),
                     }
                 ]
                 found, at = np.unique(bucket, return_index=True)
@@ -220,6 +226,16 @@ def _occurrences(near: DataFrame, width: int) -> DataFrame:
     return near.select("ord", "th", "t", "starts", "lens").mapInArrow(work, schema)
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """Stable order of keys of 0 or more: one sort of (key, index) as a word where both fit, which is faster than argsort."""
+    bits = np.uint64(len(key).bit_length())
+    if not len(key) or int(key.max()).bit_length() + int(bits) > 64:
+        return np.argsort(key, kind="stable")
+    packed = key.astype(np.uint64) << bits | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    return (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
 def _named(*keys: np.ndarray) -> np.ndarray:
     """Rank (1, 2, ...) of every row of keys among the distinct ones."""
     bits = max(int(k.max()).bit_length() for k in keys)
@@ -228,7 +244,7 @@ def _named(*keys: np.ndarray) -> np.ndarray:
         for k in keys[1:]:
             packed = packed << np.uint64(bits) | k.astype(np.uint64)
         keys = (packed,)
-    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    order = _order(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
@@ -262,27 +278,26 @@ def suffix_order(data: np.ndarray, places: np.ndarray, width: int) -> np.ndarray
     cls = places % 3
     zero, one, both = places[cls == 0], places[cls == 1], places[cls > 0]
     deuce = places[cls == 2]
-    by_one = {x: text[p] << 40 | rank[p + 1] for x, p in (("z", zero), ("s", one))}
-    by_two = {x: (text[p] << 8 | text[p + 1]) << 40 | rank[p + 2] for x, p in (("z", zero), ("s", deuce))}
+    bits = int(rank.max()).bit_length()
+    by_one = {x: text[p] << bits | rank[p + 1] for x, p in (("z", zero), ("s", one))}
+    by_two = {x: two[p] << bits | rank[p + 2] for x, p in (("z", zero), ("s", deuce))}
     place = np.zeros(len(places), np.int64)
     own = np.empty(len(both), np.int64)
-    own[np.argsort(rank[both], kind="stable")] = np.arange(len(both))
+    own[_order(rank[both])] = np.arange(len(both))
     place[cls > 0] = own
     place[cls == 1] += np.searchsorted(np.sort(by_one["z"]), by_one["s"], "right")
     place[cls == 2] += np.searchsorted(np.sort(by_two["z"]), by_two["s"], "right")
     own = np.empty(len(zero), np.int64)
-    own[np.argsort(by_one["z"], kind="stable")] = np.arange(len(zero))
+    own[_order(by_one["z"])] = np.arange(len(zero))
     place[cls == 0] = own + np.searchsorted(np.sort(by_one["s"]), by_one["z"]) + np.searchsorted(np.sort(by_two["s"]), by_two["z"])
-    return places[np.argsort(place, kind="stable")]
+    return places[_order(place)]
 
 
-def lowest(raws: list[bytes], least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece of every place, and the least id of all pieces in which its next ``width`` bytes start."""
-    data = np.frombuffer(b"".join(raws), np.uint8)
-    size = np.array([len(x) for x in raws])
+def lowest(data: np.ndarray, size: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece of every place, and the least id of all pieces in which its next ``width`` bytes start; pieces of ``size`` bytes lie in a row."""
     n, first = size - width + 1, np.cumsum(size) - size
-    of = np.repeat(np.arange(len(raws)), n)
-    places = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    of = np.repeat(np.arange(len(size)), n)
+    places = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(of))
     order = suffix_order(data, places, width)
     h = Spans(data).hash(order, order + width)
     new = np.concatenate([[True], h[1:] != h[:-1]])
@@ -295,25 +310,40 @@ def lowest(raws: list[bytes], least: np.ndarray, width: int) -> tuple[np.ndarray
     return of, out
 
 
+def _shares(fp: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where each suffix array's pieces begin: about ``SORTED_BYTES`` of text, a fingerprint is never split; and the end."""
+    begin = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+    share = (np.cumsum(size) - size)[begin] // SORTED_BYTES
+    return np.append(begin[np.concatenate([[True], share[1:] != share[:-1]])], len(fp))
+
+
+def lows_of(held: list[pa.RecordBatch], width: int) -> pa.RecordBatch:
+    """``_lows`` of rows sorted by fingerprint and piece, of whole fingerprints."""
+    t = pa.Table.from_batches(held)
+    fp, pid, least = (t.column(i).to_numpy() for i in range(3))
+    greatest = pc.coalesce(t.column(3), t.column(2)).to_numpy()
+    begin = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (pid[1:] != pid[:-1])]))
+    least, greatest = np.minimum.reduceat(least, begin), np.maximum.reduceat(greatest, begin)
+    raw = t.column(4).take(pa.array(begin)).combine_chunks()
+    size = pc.binary_length(raw).to_numpy().astype(np.int64)
+    data, ends = np.frombuffer(b"".join(raw.to_pylist()), np.uint8), np.append(0, np.cumsum(size))
+    cuts = _shares(fp[begin], size)
+    parts = [lowest(data[ends[a] : ends[b]], size[a:b], least[a:b], width) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    of = np.concatenate([a + p[0] for a, p in zip(cuts[:-1], parts, strict=True)])
+    low = np.concatenate([p[1] for p in parts])
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    smallest, largest = np.minimum.reduceat(low, first), np.maximum.reduceat(low, first)
+    loses, single = smallest < greatest, smallest == largest
+    kept = loses[of] & ~single[of]
+    kept[first] = loses
+    offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(kept.astype(np.int32), first)[loses])]).astype(np.int32)
+    values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(low[kept]))
+    return pa.RecordBatch.from_arrays([pa.array(fp[begin][loses]), pa.array(pid[begin][loses]), values], names=["lf", "lp", "low"])
+
+
 def _lows(rows: DataFrame, width: int) -> DataFrame:
     """lf, lp, and ``low`` of every piece that loses a place: its places' least ids, or one value for all of them."""
 
-    def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        fp, pid, least = (t.column(i).to_numpy() for i in range(3))
-        greatest = pc.coalesce(t.column(3), t.column(2)).to_numpy()
-        begin = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (pid[1:] != pid[:-1])]))
-        least, greatest = np.minimum.reduceat(least, begin), np.maximum.reduceat(greatest, begin)
-        of, low = lowest(t.column(4).take(pa.array(begin)).to_pylist(), least, width)
-        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        smallest, largest = np.minimum.reduceat(low, first), np.maximum.reduceat(low, first)
-        loses, single = smallest < greatest, smallest == largest
-        kept = loses[of] & ~single[of]
-        kept[first] = loses
-        offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(kept.astype(np.int32), first)[loses])]).astype(np.int32)
-        values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(low[kept]))
-        return pa.RecordBatch.from_arrays([pa.array(fp[begin][loses]), pa.array(pid[begin][loses]), values], names=["lf", "lp", "low"])
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -324,18 +354,18 @@ def _lows(rows: DataFrame, width: int) -> DataFrame:
                 fp = batch.column(0).to_numpy()
                 same = int(np.searchsorted(fp, held[-1].column(0)[-1].as_py(), "right"))
                 if same < batch.num_rows:  # the fingerprint at hand ends in this batch
-                    yield solved([*held, batch.slice(0, same)])
+                    yield lows_of([*held, batch.slice(0, same)], width)
                     held, size, batch = [], 0, batch.slice(same)
             held.append(batch)
             size += batch.column(4).nbytes
         if held:
-            yield solved(held)
+            yield lows_of(held, width)
 
     return rows.mapInArrow(work, "lf bigint, lp bigint, low array<bigint>")
 
 
 def repeated_spans(docs: DataFrame, width: int, key: str, text: str, scratch: Scratch) -> DataFrame:
-    """ord, th and ``spans``, the (start, end) byte ranges to remove, of every row that loses bytes."""
+    """ord, th and ``spans``, the byte ranges to remove as start * 2**32 + end, of every row that loses bytes."""
     rows = _keyed(docs, key, text)
     ranges = 1 + int(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // RANGE_BYTES
     sent = scratch.save(_sent(rows, width, ranges), "sent")
@@ -348,11 +378,15 @@ def repeated_spans(docs: DataFrame, width: int, key: str, text: str, scratch: Sc
     shown = shown.repartition(ranges, "fp").sortWithinPartitions("fp", "pid")
     lows = scratch.save(_lows(shown, width), "lows")
     joined = found.drop("bytes", "least", "greatest").join(lows, (F.col("fp") == F.col("lf")) & (F.col("pid") == F.col("lp")))
+
+    def span(start: Column, end: Column) -> Column:
+        return start.cast("bigint") * 2**32 + end
+
     # One value stands for all places of the piece.
-    all_of = F.when(F.get("low", F.lit(0)) < F.col("ord"), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + width - 1).alias("b"))))
+    start, end = F.col("start"), F.col("start") + F.col("n") + width - 1
+    all_of = F.when(F.get("low", F.lit(0)) < F.col("ord"), F.array(span(start, end)))
     each = F.filter(
-        F.transform("low", lambda v, i: F.when(v < F.col("ord"), F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + width).alias("b")))),
-        lambda s: s.isNotNull(),
+        F.transform("low", lambda v, i: F.when(v < F.col("ord"), span(start + i, start + i + width))), lambda s: s.isNotNull()
     )
     spans = F.when(F.size("low") == 1, all_of).otherwise(each)
     cuts = joined.select("ord", "th", spans.alias("s")).filter("size(s) > 0")
@@ -374,26 +408,24 @@ _CUT = T.StructType(
 )
 
 
-def cut(raw: bytes, spans) -> tuple[int, int, int, bytes]:
+def cut(raw: bytes, spans: np.ndarray) -> tuple[int, int, int, bytes]:
     """Bytes, removed bytes, maximal removed runs, and what is left."""
-    out, at, removed, n = [], 0, 0, 0
-    for a, b in sorted(spans):
-        if b <= at and n:
-            continue
-        if not n or a > at:
-            out.append(raw[at:a])
-            n += 1
-        else:
-            a = at
-        removed += b - a
-        at = b
-    return len(raw), removed, n, b"".join([*out, raw[at:]])
+    if not len(spans):
+        return len(raw), 0, 0, raw
+    spans = np.sort(spans)
+    start, end = spans >> 32, np.maximum.accumulate(spans & 2**32 - 1)
+    new = np.concatenate([[True], start[1:] > end[:-1]])
+    start, end = start[new], end[np.append(new[1:], True)]
+    bounds = np.concatenate([[0], np.stack([start, end], 1).ravel(), [len(raw)]]).tolist()
+    kept = [raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)]
+    return len(raw), int((end - start).sum()), len(start), b"".join(kept)
+
+
+_NONE = np.zeros(0, np.int64)
 
 
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    rows = [
-        cut(t.encode("utf-8", "surrogatepass"), [] if s is None else [(x["a"], x["b"]) for x in s]) for t, s in zip(texts, spans, strict=True)
-    ]
+    rows = [cut(t.encode("utf-8", "surrogatepass"), _NONE if s is None else s) for t, s in zip(texts, spans, strict=True)]
     return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
 

@@ -4,10 +4,12 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -386,6 +388,53 @@ def test_suffix_order_is_sorted(texts):
     assert prefixes == sorted(prefixes) and sorted(got) == sorted(places)
 
 
+def test_suffix_work_stays_in_the_cache(monkeypatch):
+    """Over 2 MB of text, fingerprints and suffix arrays are worked on in short stretches, with the same result."""
+    data = np.random.default_rng(8).integers(97, 101, 1 << 21).astype(np.uint8)
+    suffixes.minima(data, 50)  # powers that are kept
+    tracemalloc.start()
+    m = suffixes.minima(data, 50)
+    peak = tracemalloc.get_traced_memory()[1] - m.nbytes
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    at = np.arange(len(data) - suffixes.GRAM + 1)
+    grams = suffixes.Spans(data).hash(at, at + suffixes.GRAM)
+    assert np.array_equal(m, np.lib.stride_tricks.sliding_window_view(grams, 50 - suffixes.GRAM + 1).min(1))
+
+    # 8,000 pieces of 4,000 fingerprints, two different pieces each
+    rng = np.random.default_rng(9)
+    pieces = [x + tail for x in (rng.integers(97, 123, 55).astype(np.uint8).tobytes() for _ in range(4_000)) for tail in (b"one", b"other")]
+    fp, pid, least = np.repeat(np.arange(4_000), 2), np.arange(8_000), rng.integers(0, 100, 8_000)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(fp), pa.array(pid), pa.array(least), pa.array(least + 1), pa.array(pieces, pa.binary())],
+        names=["fp", "pid", "least", "greatest", "bytes"],
+    )
+    sorted_bytes = []
+    plain = suffixes.suffix_order
+    monkeypatch.setattr(suffixes, "suffix_order", lambda data, *rest: sorted_bytes.append(len(data)) or plain(data, *rest))
+    out = suffixes.lows_of([batch], 50)
+    got = dict(zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True))
+    assert sum(sorted_bytes) == sum(map(len, pieces)) and max(sorted_bytes) <= suffixes.SORTED_BYTES + 200
+    for p in range(8_000):
+        want = [min(least[p], least[p ^ 1])] * 7 + [least[p]] * (len(pieces[p]) - 56)  # both tails begin with an o
+        assert got[p] == (want if len(set(want)) > 1 else want[:1])
+
+
+def test_cut_joins_spans_that_meet():
+    def packed(*spans):
+        return np.array([a << 32 | b for a, b in spans], np.int64)
+
+    raw = bytes(range(40))
+    assert suffixes.cut(raw, packed((30, 35), (2, 6), (6, 9), (3, 4), (34, 40))) == (40, 17, 2, raw[:2] + raw[9:30])
+    assert suffixes.cut(raw, packed()) == (40, 0, 0, raw)
+
+
+def test_order_is_stable():
+    for top in (3, 1 << 40, 1 << 62):
+        key = np.random.default_rng(top % 7).integers(0, top, 5_000) // 2 * 2
+        assert np.array_equal(suffixes._order(key), np.argsort(key, kind="stable"))
+
+
 def test_suffixes_of_nothing(spark):
     assert suffixes.remove_repeats(_docs(spark, ["a"]).limit(0)).count() == 0
     assert hashlib.sha256(suffixes.remove_repeats(_docs(spark, [None])).first()["kept"]).hexdigest().startswith("e3b0")
