@@ -17,7 +17,8 @@ document with a smaller id. Steps:
    (two bytes, rank of the place after) against class 2.
 4. Neighbours in that order are compared in their first ``width`` bytes (by 64-bit
    fingerprint); runs of equal ones share the least id of their pieces, which goes back
-   to every occurrence of the piece.
+   to every block that sent the piece. The block has kept its texts' places, so only what
+   a block sent is exchanged, and each text's spans are made in one task.
 
 Spark deals blocks and fingerprints to tasks; a task holds one block, or the pieces of
 about ``ARRAY_BYTES`` of text, and sorts about ``SORTED_BYTES`` of them in one array. A
@@ -39,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,8 +188,14 @@ def _hits(sent: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "ho bigint, hh bigint, starts binary, lens binary").dropDuplicates(["ho", "hh"])
 
 
-def _occurrences(near: DataFrame, width: int) -> DataFrame:
-    """ord, th, start, n, fp, pid of every shared piece; its bytes, least and (if another) greatest id at the first of a block's equal ones."""
+_FOUND = (
+    "block bigint, at int, fp bigint, pid bigint, least bigint, greatest bigint, bytes binary, "
+    "ords array<bigint>, ths array<bigint>, counts array<int>, starts binary, of binary"
+)
+
+
+def _found(near: DataFrame, width: int) -> DataFrame:
+    """A row a block and different shared piece: its least and (if another) greatest id, its bytes; a row a block (at -1) with all places of them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,30 +207,49 @@ def _occurrences(near: DataFrame, width: int) -> DataFrame:
                 row += len(texts)
                 data, first = buffer_of(texts, lower=False)
                 m = minima(data, width)
-                inside = [np.frombuffer(x, np.int32) for x in starts[rows]]
-                of = np.repeat(np.arange(len(texts)), [len(x) for x in inside])
-                inside = np.concatenate(inside)
-                n = np.concatenate([np.frombuffer(x, np.uint8) for x in lens[rows]]).astype(np.int64)
-                a = first[of] + inside
-                b = a + n + width - 1
-                fp, pid, o = m[a].view(np.int64), Spans(data).hash(a, b).view(np.int64), ords[rows][of]
+                counts = np.array([len(x) // 4 for x in starts[rows]], np.int32)
+                inside = np.frombuffer(b"".join(starts[rows]), np.int32)
+                n = np.frombuffer(b"".join(lens[rows]), np.uint8)
+                a = np.repeat(first[:-1], counts) + inside
+                b = a + n + (width - 1)
+                fp, pid, o = m[a].view(np.int64), Spans(data).hash(a, b).view(np.int64), np.repeat(ords[rows], counts)
                 order, begin = _groups(fp, pid)
-                whole, shown = data.tobytes(), order[begin]
-                least, greatest = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-                least[shown], greatest[shown] = np.minimum.reduceat(o[order], begin), np.maximum.reduceat(o[order], begin)
-                hidden = np.ones(len(a), bool)
-                hidden[shown] = False
-                raw = [None if h else whole[x:y] for h, x, y in zip(hidden.tolist(), a.tolist(), b.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
+                shown = order[begin]
+                # In the order of the text, where the bytes of neighbours overlap and so take little once compressed.
+                by_text = np.argsort(shown)
+                nth, of = np.empty(len(shown), np.uint32), np.empty(len(a), np.uint32)
+                nth[by_text] = np.arange(len(shown))
+                of[order] = np.repeat(nth, np.diff(begin, append=len(a)))
+                shown = shown[by_text]
+                least, greatest = np.minimum.reduceat(o[order], begin)[by_text], np.maximum.reduceat(o[order], begin)[by_text]
+                whole = data.tobytes()
+                raw = [whole[x:y] for x, y in zip(a[shown].tolist(), b[shown].tolist(), strict=True)]
+                block = uuid.uuid4().int >> 65
+                different = pa.RecordBatch.from_arrays(
                     [
-                        pa.array(o), pa.array(ths[rows][of]), pa.array(inside), pa.array(n.astype(np.int32)), pa.array(fp), pa.array(pid),
-                        pa.array(least, mask=hidden), pa.array(greatest, mask=hidden | (greatest == least)), pa.array(raw, pa.binary()),
+                        pa.array(np.full(len(shown), block)), pa.array(np.arange(len(shown), dtype=np.int32)), pa.array(fp[shown]), pa.array(pid[shown]),
+                        pa.array(least), pa.array(greatest, mask=greatest == least), pa.array(raw, pa.binary()),
+                        *(pa.nulls(len(shown), t) for t in _FOUND_ARROW.types[7:]),
                     ],
-                    names=["ord", "th", "start", "n", "fp", "pid", "least", "greatest", "bytes"],
+                    schema=_FOUND_ARROW,
                 )
+                yield different
+                places = {
+                    "block": block, "at": -1, "ords": ords[rows], "ths": ths[rows], "counts": counts,
+                    "starts": inside.tobytes(), "of": of.tobytes(),
+                }
+                yield pa.RecordBatch.from_pylist([places], schema=_FOUND_ARROW)
+
+    return near.select("ord", "th", "t", "starts", "lens").mapInArrow(work, _FOUND)
 
-    schema = "ord bigint, th bigint, start int, n int, fp bigint, pid bigint, least bigint, greatest bigint, bytes binary"
-    return near.select("ord", "th", "t", "starts", "lens").mapInArrow(work, schema)
+
+_FOUND_ARROW = pa.schema(
+    [
+        ("block", pa.int64()), ("at", pa.int32()), ("fp", pa.int64()), ("pid", pa.int64()), ("least", pa.int64()), ("greatest", pa.int64()),
+        ("bytes", pa.binary()), ("ords", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
+        ("starts", pa.binary()), ("of", pa.binary()),
+    ]
+)
 
 
 def _order(key: np.ndarray) -> np.ndarray:
@@ -320,29 +346,41 @@ def _shares(fp: np.ndarray, size: np.ndarray) -> np.ndarray:
 def lows_of(held: list[pa.RecordBatch], width: int) -> pa.RecordBatch:
     """``_lows`` of rows sorted by fingerprint and piece, of whole fingerprints."""
     t = pa.Table.from_batches(held)
-    fp, pid, least = (t.column(i).to_numpy() for i in range(3))
-    greatest = pc.coalesce(t.column(3), t.column(2)).to_numpy()
-    begin = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (pid[1:] != pid[:-1])]))
-    least, greatest = np.minimum.reduceat(least, begin), np.maximum.reduceat(greatest, begin)
-    raw = t.column(4).take(pa.array(begin)).combine_chunks()
+    fp, pid, least = (t.column(i).to_numpy() for i in (2, 3, 4))
+    greatest = pc.coalesce(t.column(5), t.column(4)).to_numpy()
+    new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (pid[1:] != pid[:-1])])
+    begin = np.flatnonzero(new)
+    least = np.minimum.reduceat(least, begin)
+    raw = t.column(6).take(pa.array(begin)).combine_chunks()
     size = pc.binary_length(raw).to_numpy().astype(np.int64)
     data, ends = np.frombuffer(b"".join(raw.to_pylist()), np.uint8), np.append(0, np.cumsum(size))
     cuts = _shares(fp[begin], size)
     parts = [lowest(data[ends[a] : ends[b]], size[a:b], least[a:b], width) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    of = np.concatenate([a + p[0] for a, p in zip(cuts[:-1], parts, strict=True)])
     low = np.concatenate([p[1] for p in parts])
-    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    smallest, largest = np.minimum.reduceat(low, first), np.maximum.reduceat(low, first)
-    loses, single = smallest < greatest, smallest == largest
-    kept = loses[of] & ~single[of]
-    kept[first] = loses
-    offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(kept.astype(np.int32), first)[loses])]).astype(np.int32)
-    values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(low[kept]))
-    return pa.RecordBatch.from_arrays([pa.array(fp[begin][loses]), pa.array(pid[begin][loses]), values], names=["lf", "lp", "low"])
+    n = size - width + 1
+    first = np.cumsum(n) - n
+    smallest = np.minimum.reduceat(low, first)
+    # Places in a row with one value are a run; back to the rows: each block with a piece is told its runs.
+    run = np.concatenate([[True], low[1:] != low[:-1]])
+    run[first] = True
+    runs = np.flatnonzero(run)
+    length, value = np.diff(runs, append=len(low)).astype(np.uint8), low[runs]
+    first = np.searchsorted(runs, first)
+    told = np.diff(first, append=len(runs))
+    of = np.cumsum(new) - 1
+    rows = np.flatnonzero(smallest[of] < greatest)
+    first, told = first[of[rows]], told[of[rows]]
+    offsets = np.append(0, np.cumsum(told))
+    which = np.repeat(first - offsets[:-1], told) + np.arange(offsets[-1])
+    offsets = pa.array(offsets.astype(np.int32))
+    lists = pa.ListArray.from_arrays(offsets, pa.array(value[which]))
+    lengths = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, offsets.buffers()[1], pa.py_buffer(length[which].tobytes())])
+    columns = [t.column(i).take(pa.array(rows)).combine_chunks() for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([*columns, lists, lengths], names=["told", "piece", "low", "places"])
 
 
 def _lows(rows: DataFrame, width: int) -> DataFrame:
-    """lf, lp, and ``low`` of every piece that loses a place: its places' least ids, or one value for all of them."""
+    """told, piece, ``low`` and ``places`` of every piece of a block that loses a place: its places' least ids, and how many in a row have each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -351,46 +389,76 @@ def _lows(rows: DataFrame, width: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             if size >= ARRAY_BYTES:
-                fp = batch.column(0).to_numpy()
-                same = int(np.searchsorted(fp, held[-1].column(0)[-1].as_py(), "right"))
+                fp = batch.column(2).to_numpy()
+                same = int(np.searchsorted(fp, held[-1].column(2)[-1].as_py(), "right"))
                 if same < batch.num_rows:  # the fingerprint at hand ends in this batch
                     yield lows_of([*held, batch.slice(0, same)], width)
                     held, size, batch = [], 0, batch.slice(same)
             held.append(batch)
-            size += batch.column(4).nbytes
+            size += batch.column(6).nbytes
         if held:
             yield lows_of(held, width)
 
-    return rows.mapInArrow(work, "lf bigint, lp bigint, low array<bigint>")
+    return rows.select("block", "at", "fp", "pid", "least", "greatest", "bytes").mapInArrow(work, "told bigint, piece int, low array<bigint>, places binary")
+
+
+def joined(spans: np.ndarray) -> np.ndarray:
+    """The maximal runs of spans, each start * 2**32 + end, sorted."""
+    if not len(spans):
+        return spans
+    spans = np.sort(spans)
+    start, end = spans >> 32, np.maximum.accumulate(spans & 2**32 - 1)
+    new = np.concatenate([[True], start[1:] > end[:-1]])
+    return start[new] << 32 | end[np.append(new[1:], True)]
+
+
+def _spans(places: pa.Table, lows: pa.Table, width: int) -> pa.Table:
+    """so, sh and ``spans`` of the texts of one block that lose bytes."""
+    out = [[], [], []]
+    for r in places.to_pylist() if lows.num_rows else []:
+        low = lows.column("low").combine_chunks()
+        piece, told, values = lows.column("piece").to_numpy(), pc.list_value_length(low).to_numpy(), low.flatten().to_numpy()
+        length = np.frombuffer(b"".join(lows.column("places").to_pylist()), np.uint8).astype(np.int64)
+        of, start = np.frombuffer(r["of"], np.uint32), np.frombuffer(r["starts"], np.int32).astype(np.int64)
+        counts = np.array(r["counts"])
+        runs, begin = np.zeros(int(of.max()) + 1, np.int64), np.zeros(int(of.max()) + 1, np.int64)
+        runs[piece], begin[piece] = told, np.cumsum(told) - told
+        ahead = np.cumsum(length) - length
+        # A span for each place of a piece and run of it.
+        times = runs[of]
+        at = np.repeat(begin[of] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        text = np.repeat(np.repeat(np.arange(len(counts)), counts), times)
+        gone = values[at] < np.array(r["ords"])[text]
+        a = (np.repeat(start, times) + ahead[at] - np.repeat(ahead[begin[of]], times))[gone]
+        spans, text = a << 32 | a + length[at[gone]] + (width - 1), text[gone]
+        which, first = np.unique(text, return_index=True)
+        for i, s in zip(which.tolist(), np.split(spans, first[1:]), strict=True):
+            for column, x in zip(out, (r["ords"][i], r["ths"][i], joined(s)), strict=True):
+                column.append(x)
+    types = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    return pa.table([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["so", "sh", "spans"])
 
 
 def repeated_spans(docs: DataFrame, width: int, key: str, text: str, scratch: Scratch) -> DataFrame:
-    """ord, th and ``spans``, the byte ranges to remove as start * 2**32 + end, of every row that loses bytes."""
+    """so, sh and ``spans``, the byte ranges to remove as start * 2**32 + end, of every row that loses bytes."""
     rows = _keyed(docs, key, text)
     ranges = 1 + int(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // RANGE_BYTES
     sent = scratch.save(_sent(rows, width, ranges), "sent")
     hits = scratch.save(_hits(sent), "hits")
     scratch.drop("sent")
     near = rows.join(hits, (F.col("ord") == F.col("ho")) & (F.col("th") == F.col("hh")))
-    found = scratch.save(_occurrences(near, width), "found")
+    found = scratch.save(_found(near, width), "found")
     scratch.drop("hits")
-    shown = found.filter("bytes is not null").select("fp", "pid", "least", "greatest", "bytes")
+    shown = found.filter("at >= 0").select("block", "at", "fp", "pid", "least", "greatest", "bytes")
     shown = shown.repartition(ranges, "fp").sortWithinPartitions("fp", "pid")
     lows = scratch.save(_lows(shown, width), "lows")
-    joined = found.drop("bytes", "least", "greatest").join(lows, (F.col("fp") == F.col("lf")) & (F.col("pid") == F.col("lp")))
+    places = found.filter("at < 0").select("block", "ords", "ths", "counts", "starts", "of")
 
-    def span(start: Column, end: Column) -> Column:
-        return start.cast("bigint") * 2**32 + end
+    def told(places: pa.Table, lows: pa.Table) -> pa.Table:
+        return _spans(places, lows, width)
 
-    # One value stands for all places of the piece.
-    start, end = F.col("start"), F.col("start") + F.col("n") + width - 1
-    all_of = F.when(F.get("low", F.lit(0)) < F.col("ord"), F.array(span(start, end)))
-    each = F.filter(
-        F.transform("low", lambda v, i: F.when(v < F.col("ord"), span(start + i, start + i + width))), lambda s: s.isNotNull()
-    )
-    spans = F.when(F.size("low") == 1, all_of).otherwise(each)
-    cuts = joined.select("ord", "th", spans.alias("s")).filter("size(s) > 0")
-    return cuts.groupBy("ord", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    spans = places.groupBy("block").cogroup(lows.groupBy("told")).applyInArrow(told, "so bigint, sh bigint, spans array<bigint>")
+    return spans.dropDuplicates(["so", "sh"])
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -412,10 +480,8 @@ def cut(raw: bytes, spans: np.ndarray) -> tuple[int, int, int, bytes]:
     """Bytes, removed bytes, maximal removed runs, and what is left."""
     if not len(spans):
         return len(raw), 0, 0, raw
-    spans = np.sort(spans)
-    start, end = spans >> 32, np.maximum.accumulate(spans & 2**32 - 1)
-    new = np.concatenate([[True], start[1:] > end[:-1]])
-    start, end = start[new], end[np.append(new[1:], True)]
+    spans = joined(spans)
+    start, end = spans >> 32, spans & 2**32 - 1
     bounds = np.concatenate([[0], np.stack([start, end], 1).ravel(), [len(raw)]]).tolist()
     kept = [raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)]
     return len(raw), int((end - start).sum()), len(start), b"".join(kept)
@@ -432,7 +498,7 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 50) -> DataFrame:
     """``row``, n_bytes, n_removed, n_spans and the ``kept`` bytes of every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "suffixes")
-    spans = scratch.save(repeated_spans(docs, width, key, text, scratch).withColumnsRenamed({"ord": "so", "th": "sh"}), "spans")
+    spans = scratch.save(repeated_spans(docs, width, key, text, scratch), "spans")
     scratch.drop("found", "lows")
     rows = _keyed(docs, key, text).join(spans, (F.col("ord") == F.col("so")) & (F.col("th") == F.col("sh")), "left")
     return rows.select("row", F.pandas_udf(_cut, _CUT)("t", "spans").alias("x")).select("row", "x.*")
