@@ -447,11 +447,11 @@ def repeated_spans(docs: DataFrame, width: int, key: str, text: str, scratch: Sc
     hits = scratch.save(_hits(sent), "hits")
     scratch.drop("sent")
     near = rows.join(hits, (F.col("ord") == F.col("ho")) & (F.col("th") == F.col("hh")))
-    found = scratch.save(_found(near, width), "found")
+    found = scratch.save(_found(near, width), "found", compression="zstd")
     scratch.drop("hits")
     shown = found.filter("at >= 0").select("block", "at", "fp", "pid", "least", "greatest", "bytes")
     shown = shown.repartition(ranges, "fp").sortWithinPartitions("fp", "pid")
-    lows = scratch.save(_lows(shown, width), "lows")
+    lows = scratch.save(_lows(shown, width), "lows", compression="zstd")
     places = found.filter("at < 0").select("block", "ords", "ths", "counts", "starts", "of")
 
     def told(places: pa.Table, lows: pa.Table) -> pa.Table:
