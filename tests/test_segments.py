@@ -113,3 +113,29 @@ def test_segments_write_the_rows_once(spark):
     whole = form.history("horse", ["race_date", "race_id", "horse_no"])
     want = _runs(spark).withColumns({"n": form.prior_count(whole).cast("bigint"), "s": form.prior_sum("result", whole), "l": form.previous("result", whole, 6)})
     assert out.select(want.columns).exceptAll(want).count() == 0 and out.count() == 900
+
+
+def test_trailing_writes_the_rows_once_and_joins_none_back(spark):
+    """The statistics come with the rows; entities without a name are one."""
+    rows = [(i, None if i % 3 == 0 else i % 7, DAY + dt.timedelta(i % 50), float(i % 11)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, k int, day date, v double")
+    scratch = Scratch(spark, "t")
+    out = segments.trailing(df, ["k"], "day", "v", [20], scratch, "x")
+    written = {p.name: spark.read.parquet(str(p)).count() for p in Path(scratch.base).iterdir()}
+    assert list(written.values()) == [600]
+    got = {r["id"]: (r["mean_20"], r["median_20"], r["max_20"], r["min_20"]) for r in out.collect()}
+    assert len(got) == 600
+    for i, k, day, _ in rows:
+        frame = [v for _, of, d, v in rows if of == k and dt.timedelta(0) < day - d < dt.timedelta(20)]
+        want = (np.mean(frame), np.median(frame), max(frame), min(frame)) if frame else (None,) * 4
+        assert got[i] == pytest.approx(want)
+
+
+def test_narrow_and_wide_frames_agree(monkeypatch):
+    r = np.random.default_rng(5)
+    value, n, when = r.integers(0, 9, 500).astype(float), r.integers(1, 4, 500), np.sort(r.integers(0, 400, 500))
+    asked = np.unique(when)
+    side_by_side = segments._walk(when, value, n, [(30, "neither"), (80, "right")], asked)
+    monkeypatch.setattr(segments, "NARROW", 0)
+    for a, b in zip(side_by_side, segments._walk(when, value, n, [(30, "neither"), (80, "right")], asked), strict=True):
+        assert np.array_equal(a, b, equal_nan=True)
