@@ -184,3 +184,27 @@ def test_means_of_the_last_starts_are_in_no_exchange(spark):
     exchanges = [(i, line.split("hashpartitioning(")[1].split("#")[0]) for i, line in enumerate(plan) if "Exchange hashpartitioning(" in line]
     assert [e for _, e in exchanges[:3]] == ["horse", "trainer", "jockey"]  # the last one first
     assert not any("speed" in line or "round(" in line for line in plan[exchanges[0][0] :])
+
+
+def test_rounding_equals_that_of_columns(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal(0, 10.0**k, 200) for k in range(-10, 18, 3)] + [r.integers(-99, 99, 400) / 8, [0.5e-9, 1.5e-9, 2.675, -2.675, 1e300, np.inf]])
+    for digits in (2, 9):
+        want = spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", digits).alias("x")).toPandas()["x"].to_numpy()
+        assert np.array_equal(form.rounded(x, digits), want)
+    assert np.isnan(form.rounded(np.array([np.nan]), 2)[0])
+
+
+def test_form_table_writes_narrow_rows_and_exchanges_them_by_horse_and_race_only(spark, monkeypatch):
+    from strideline.plans import starts
+    from strideline.sources.scratch import Scratch
+
+    written, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, label, **o: (written.append(len(df.columns)), save(self, df, label, **o))[1])
+    out = starts.form_table(spark, "/root/testdata/sf0.001")
+    assert len(written) == 1 and written[0] < 20
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    found = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(found) == 2 and all(any(f"({c}#" in line for line in found) for c in ("horse", "race_id"))
