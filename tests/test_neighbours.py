@@ -2,6 +2,7 @@
 
 import numpy as np
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from strideline.operators import neighbours
 
@@ -55,3 +56,18 @@ def test_pairs_met_grow_slower_than_the_product(spark):
         met[n] = sum(o.get["n"] for o in rounds)
         assert met[n] < n * (n // 4) / 4
     assert met[3200] < 64 * met[400] / 2.5  # eight times the rows: 64 times the pairs without pivots
+
+
+def test_blocks_and_shares_of_single_precision_rows(spark, monkeypatch):
+    """Vectors without clusters, where nothing can be skipped: asked rows travel once a block, in several shares and chunks."""
+    for name, n in (("PART_ROWS", 100), ("ASKED_ROWS", 20), ("CHUNK", 3)):
+        monkeypatch.setattr(neighbours, name, n)
+    x = np.random.default_rng(2).normal(size=(300, 32)).astype(np.float32)
+    x[7] = x[11] = x[0]  # copies are at distance 0
+    df = _frame(spark, x.tolist()).withColumn("v", F.col("v").cast("array<float>"))
+    got = neighbours.nearest_rows(df, df.filter("id % 5 = 0"), "id", "v", "label", 6).collect()
+    want = set()
+    for i in range(0, 300, 5):
+        gaps = sorted((round(float(((x[i] - y).astype(np.float64) ** 2).sum()), 9), j) for j, y in enumerate(x) if j != i)
+        want |= {(i, j) for _, j in gaps[:6]}
+    assert {(r["asked"], r["other"]) for r in got} == want and len(got) == 360
