@@ -93,3 +93,19 @@ def test_alike_rows_are_boosted_as_one(spark, monkeypatch):
     different = len({(*a, b) for a, b in zip(x.tolist(), y, strict=True)})
     assert {written[f"train-{k}"] for k in range(3)} == {different} and written["told"] == 3000
     assert told.filter("label = prediction").count() > 2000
+
+
+def test_rounds_learn_from_cells_and_are_seldom_written(spark, monkeypatch):
+    """Cells are bounded by the bins and written after 1, 2, 4, 8 rounds; when they are written changes nothing."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 2))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    rows = [(i, [float(v) for v in a], float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "id int, x array<double>, label double").withColumn("features", array_to_vector("x"))
+    written, save = {}, models.Scratch.save
+    monkeypatch.setattr(models.Scratch, "save", lambda self, df, label: (out := save(self, df, label), written.update({label: out.count()}))[0])
+    first = {r["id"]: r["prediction"] for r in models.adaboost(df, df, "label", 12).collect()}
+    assert [k for k in written if k != "told"] == [f"train-{k}" for k in (0, 1, 2, 4, 8)] and written["train-8"] <= 2 * 32 * 32
+    assert np.mean([first[i] == b for i, b in enumerate(y)]) > 0.95
+    again = models.adaboost(df, df, "label", 12, keep_every=3)
+    assert "train-10" in written and {r["id"]: r["prediction"] for r in again.collect()} == first
