@@ -29,3 +29,16 @@ def test_planted_rule_and_alike_rows_held_once(spark, monkeypatch):
     assert written[0] <= 300 and all(b <= a for a, b in zip(model.curve, model.curve[1:]))
     told = model.transform(df)
     assert told.filter("prediction = label").count() > 0.9 * 3000
+
+
+def test_single_precision_is_kept_and_near_double():
+    """The work of a chunk stays in single precision, also with far-off inputs, and its sums are near those of double precision."""
+    r = np.random.default_rng(7)
+    x, y, n = r.normal(size=(500, 4)), r.integers(0, 2, 500), r.integers(1, 9, 500).astype(float)
+    x[0] = 1e4
+    theta = r.normal(size=4 * 50 + 50 + 50 * 2 + 2)
+    a, logs = perceptron._forward(x.astype(np.float32), perceptron._parts(theta.astype(np.float32), 4, 50, 2))
+    assert a.dtype == logs.dtype == np.float32 and np.isfinite(a).all() and np.isfinite(logs).all()
+    single = perceptron._slope(x[1:].astype(np.float32), y[1:], n[1:].astype(np.float32), perceptron._parts(theta.astype(np.float32), 4, 50, 2))
+    double = perceptron._slope(x[1:], y[1:], n[1:], perceptron._parts(theta, 4, 50, 2))
+    assert np.abs(single - double).max() < 1e-4 * np.abs(double).max()
