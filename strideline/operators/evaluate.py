@@ -77,14 +77,17 @@ def scored_out_of_fold(df: DataFrame, learners: dict[str, object], fold: str, k:
     """Every row with each learner's ``score`` of class 1, under its name, by the model that has not seen the row's fold.
 
     A fold's rows go through all its models in turn, so rows are neither exchanged nor joined. ``alike`` has the same rows
-    to learn from, alike ones as one with their summed weights; learners that take ``rows`` learn from the rows themselves.
+    to learn from, alike ones as one with their summed weights; learners that take ``rows`` learn from the rows themselves. Those that have ``fit_folds`` learn
+    all folds' models in the same passes.
     """
     parts = []
+    together = {name: learner.fit_folds(df, fold, k) for name, learner in learners.items() if hasattr(learner, "fit_folds")}
     for i in range(k):
         out = df.filter(F.col(fold) == i)
         for name, learner in learners.items():
             by_row = alike is None or getattr(learner, "rows", False)
-            p = learner.copy().fit((df if by_row else alike).filter(F.col(fold) != i)).transform(out)
+            model = together[name][i] if name in together else learner.copy().fit((df if by_row else alike).filter(F.col(fold) != i))
+            p = model.transform(out)
             c = "probability" if "probability" in p.columns else "rawPrediction"
             out = p.withColumn(name, F.get(vector_to_array(c), F.lit(1))).drop("rawPrediction", "probability", "prediction")
         parts.append(out)

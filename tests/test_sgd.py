@@ -77,3 +77,20 @@ def test_walks_side_by_side_reach_the_same_minimum(spark, monkeypatch):
     monkeypatch.setattr(sgd.SGD, "_epoch", lambda self, *a: seen.append(a[-1]) or plain(self, *a))
     many = sgd.SGD("log").fit(df)
     assert max(seen) > 1 and min(many.curve) < 1.01 * min(one.curve)
+
+
+def test_folds_side_by_side_learn_from_the_other_rows_in_the_same_passes(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(1500, 2))
+    y = (x[:, 0] - 2 * x[:, 1] + 0.5 * r.normal(size=1500) > 0).astype(float)
+    y[::3] = 1 - y[::3]  # fold 0 has it the other way round
+    rows = [([float(v) for v in a], float(b), i % 3) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "x array<double>, label double, fold int").withColumn("features", array_to_vector("x"))
+    passes, plain = [], sgd.SGD._epoch
+    monkeypatch.setattr(sgd.SGD, "_epoch", lambda *a: (passes.append(1), plain(*a))[1])
+    models = sgd.SGD("log", 2, epochs=15).fit_folds(df, "fold", 3)
+    assert len(passes) <= 16
+    for i, m in enumerate(models):
+        alone = sgd.SGD("log", 2, epochs=15).fit(df.filter(f"fold != {i}"))
+        assert abs(min(m.curve) - min(alone.curve)) < 0.02 * min(alone.curve)
+    assert models[0].weights[0, 1] > 0.3 and models[0].weights[0, 2] < -0.6
