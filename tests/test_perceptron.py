@@ -37,7 +37,8 @@ def test_single_precision_is_kept_and_near_double():
     x, y, n = r.normal(size=(500, 4)), r.integers(0, 2, 500), r.integers(1, 9, 500).astype(float)
     x[0] = 1e4
     theta = r.normal(size=4 * 50 + 50 + 50 * 2 + 2)
-    a, logs = perceptron._forward(x.astype(np.float32), perceptron._parts(theta.astype(np.float32), 4, 50, 2))
+    with np.errstate(over="raise"):
+        a, logs = perceptron._forward(x.astype(np.float32), perceptron._parts(theta.astype(np.float32), 4, 50, 2))
     assert a.dtype == logs.dtype == np.float32 and np.isfinite(a).all() and np.isfinite(logs).all()
     single = perceptron._slope(x[1:].astype(np.float32), y[1:], n[1:].astype(np.float32), perceptron._parts(theta.astype(np.float32), 4, 50, 2))
     double = perceptron._slope(x[1:], y[1:], n[1:], perceptron._parts(theta, 4, 50, 2))
